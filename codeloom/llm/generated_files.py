@@ -37,12 +37,15 @@ FOREIGN_NOTE = (
 
 #: A file shorter than this many lines is not judged by how its line shapes repeat.
 MIN_LINES_FOR_SHAPES = 100
+#: Nor is one of fewer characters than this by how much of it is literals.
+MIN_CHARS_FOR_LITERALS = 300
 
-#: Longest line, least white space, most digits in numeric literals, most encoded text, fewest line shapes a line. A parameter of the operator.
+#: Longest line, least white space, most digits in numeric literals, most encoded text, fewest line shapes a line,
+#: least share of letters outside literals. A parameter of the operator.
 LAYOUT = {
-    "default": {"max_line": 300, "mean_line": 150, "min_space": 0.08, "max_numeric": 0.4, "max_encoded": 0.4, "min_shapes": 0.06},
-    "javascript": {"max_line": 300, "mean_line": 120, "min_space": 0.08, "max_numeric": 0.4, "max_encoded": 0.4, "min_shapes": 0.06},
-    "go": {"max_line": 300, "mean_line": 200, "min_space": 0.06, "max_numeric": 0.4, "max_encoded": 0.4, "min_shapes": 0.06},
+    "default": {"max_line": 300, "mean_line": 150, "min_space": 0.08, "max_numeric": 0.4, "max_encoded": 0.4, "min_shapes": 0.06, "min_bare": 0.09},
+    "javascript": {"max_line": 300, "mean_line": 120, "min_space": 0.08, "max_numeric": 0.4, "max_encoded": 0.4, "min_shapes": 0.06, "min_bare": 0.09},
+    "go": {"max_line": 300, "mean_line": 200, "min_space": 0.06, "max_numeric": 0.4, "max_encoded": 0.4, "min_shapes": 0.06, "min_bare": 0.09},
 }
 
 
@@ -59,6 +62,8 @@ def layout(content: Column) -> dict[str, Column]:
         "space_share": without(r"\s+"),
         "alnum_share": without(r"[A-Za-z0-9]+"),
         "numeric_share": without(r"\b(?:0[xX][0-9a-fA-F]+|[0-9][0-9.eE]*)\b"),
+        # Letters outside string literals: what is left when data is taken away.
+        "bare_share": F.length(F.regexp_replace(F.regexp_replace(content, r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`", ""), r"[^A-Za-z]+", "")) / n,
         # Distinct line shapes a line: code that a tool repeats for each field or record has few for its length.
         "shape_share": F.size(F.array_distinct(F.split(F.regexp_replace(content, r"\w+", "a"), "\n"))) / F.size(lines),
         "encoded_share": without(r"[A-Za-z0-9+/=]{60,}|(?:\\x[0-9a-fA-F]{2}){15,30}"),
@@ -97,9 +102,9 @@ def classify_files(files: DataFrame, thresholds: dict[str, dict[str, float]] = L
         & (F.col("mean_line") > limit("mean_line")),
         "repeated": (F.col("n_lines") >= MIN_LINES_FOR_SHAPES) & (F.col("shape_share") < limit("min_shapes")),
         "vendored": path.rlike(rf"(^|/)({'|'.join(VENDOR_DIRS)})/[^/]+/") | F.col("_head").rlike(FOREIGN_NOTE),
-        "data": (F.col("numeric_share") > limit("max_numeric")) | (F.col("encoded_share") > limit("max_encoded")),
+        "data": ((F.col("n_chars") >= MIN_CHARS_FOR_LITERALS) & (F.col("bare_share") < limit("min_bare"))) | (F.col("numeric_share") > limit("max_numeric")) | (F.col("encoded_share") > limit("max_encoded")),
     }
-    stats = ["n_chars", "n_lines", "max_line", "mean_line", "space_share", "alnum_share", "numeric_share", "encoded_share", "shape_share"]
+    stats = ["n_chars", "n_lines", "max_line", "mean_line", "space_share", "alnum_share", "numeric_share", "encoded_share", "shape_share", "bare_share"]
     x = x.withColumns(flags).drop("_c", "_head")
     x = x.groupBy("path").agg(
         F.max("repository").alias("repository"),
