@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.io import table
 
-from . import generated_files, leaks, lookalikes, unparsable_files
+from . import function_docs, generated_files, leaks, lookalikes, splitting, unparsable_files
 
 
 def p1_found(spark, d):
@@ -20,6 +20,27 @@ def p1_reasons(spark, d):
     )
 
 
+def p2_found(spark, d):
+    return function_docs.component_pairs(table(spark, d, "components")).select("id")
+
+
+def p2_pairs(spark, d):
+    return function_docs.component_pairs(table(spark, d, "components")).drop("language")
+
+
+def p2_functions(spark, d):
+    return function_docs.source_functions(table(spark, d, "source_files"))
+
+
+def p5_found(spark, d):
+    x = splitting.split_oversized(table(spark, d, "components"), ["snippet", "text"])
+    return x.filter("piece = 0").select("id", "field_name").distinct()
+
+
+def p5_pieces(spark, d):
+    return splitting.split_oversized(table(spark, d, "components"), ["snippet", "text"])
+
+
 def p6_found(spark, d):
     return unparsable_files.parse_verdicts(table(spark, d, "source_files")).filter("not valid").select("path")
 
@@ -49,5 +70,5 @@ def p9_classes(spark, d):
     return lookalikes.classes_of_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p6_found, p6_rates, p8_found, p8_matches, p8_leaked_items, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p2_functions, p5_found, p5_pieces, p6_found, p6_rates, p8_found, p8_matches, p8_leaked_items, p9_found, p9_classes)}
 SQL: dict[str, str] = {}
