@@ -1,7 +1,7 @@
 """Problem 8: evaluation texts leaking into training text.
 
 Method: a distributed positional inverted index. Training texts are tokenized in the consistent form of problem 9;
-their postings (term, document, position, and the terms on either side) are stored in segments sorted by term. For every
+their postings (term, document, position, and a digest of the three terms on either side) are stored in segments sorted by term. For every
 window of twelve test words the rarest term's list is read first and adjusted by the term's offset; the lists of the
 neighbouring terms cut it down, then those of all other terms of the item are intersected at their offsets. Runs of
 consecutive offsets are exact phrase matches; many offsets within a short span without such a run are proximity matches.
@@ -35,6 +35,8 @@ NEAR_WORDS, NEAR_SPAN = 18, 24
 BROADCAST_ROWS = 1_000_000
 #: Test sets of more rows than this are read in blocks of it by the caller.
 MAX_ITEMS = 100_000
+#: A phrase of twelve words has six or more on one side of any of its words; three of them are digested.
+SIDE, DIGEST, DIGEST_BELOW = 3, (31_337, 7_919, 104_729), 65_521
 #: A word: a maximal run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 
@@ -53,29 +55,30 @@ def item_words(items: DataFrame, classes: dict[str, str]) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: dict[str, int], classes: dict[str, str]) -> DataFrame:
-    """(term, doc_id, pos, before, after) of every occurrence of a test term in `docs`; -1 where the word beside it is
-    none. One pass over the texts, whole."""
+    """(term, doc_id, pos, before, after) of every occurrence of a test term in `docs`; before and after digest the three
+    words on that side, where -1 stands for any word that is no test term. One pass over the texts, whole."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(classes)
         for b in batches:
             ids, starts = [], []
             for text in b.column(1).to_pylist():
-                ids.append(-1)
+                ids += [-1] * SIDE
                 starts.append(len(ids))
                 ids += [terms.get(w, -1) for w in words(text)]
-            ids.append(-1)
-            at = np.array(ids, np.int32)
+            ids += [-1] * SIDE
+            at = np.array(ids, np.int64)
+            side = lambda sign: sum((at[where + sign * (i + 1)] + 1) * f for i, f in enumerate(DIGEST)) % DIGEST_BELOW
             begin = np.array([*starts, len(ids) + 1])
             where = np.flatnonzero(at >= 0)
             doc = np.searchsorted(begin, where, "right") - 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(at[where]),
+                    pa.array(at[where].astype(np.int32)),
                     b.column(0).take(pa.array(doc)),
                     pa.array((where - begin[doc]).astype(np.int32)),
-                    pa.array(at[where - 1]),
-                    pa.array(at[where + 1]),
+                    pa.array(side(-1).astype(np.int32)),
+                    pa.array(side(1).astype(np.int32)),
                 ],
                 names=["term", "doc_id", "pos", "before", "after"],
             )
@@ -84,6 +87,11 @@ def postings(docs: DataFrame, terms: dict[str, int], classes: dict[str, str]) ->
     return x.mapInArrow(segment, "term int, doc_id long, pos int, before int, after int")
 
 
+def digest(step, window):
+    """What `postings` digests of the terms before (lag) or after (lead) a row."""
+    return F.pmod(sum((F.coalesce(step("term", i + 1).over(window), F.lit(-1)).cast("long") + 1) * f for i, f in enumerate(DIGEST)), F.lit(DIGEST_BELOW)).cast("int")
+
+
 def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS) -> DataFrame:
     """One row per document and item: doc_id, item_id, longest_run, matched_words (most of the item's words at one
     alignment), match_kind 'phrase' (a run of at least `phrase`) or 'proximity'."""
@@ -99,7 +107,7 @@ def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS) -> Data
     by_item = Window.partitionBy("item_id").orderBy("off")
     query = stored(
         query.join(F.broadcast(numbers), "word").select(
-            "item_id", "off", "term", F.lag("term").over(by_item).alias("term_before"), F.lead("term").over(by_item).alias("term_after")
+            "item_id", "off", "term", *(digest(f, by_item).alias(n) for f, n in ((F.lag, "terms_before"), (F.lead, "terms_after")))
         ),
         "items",
     )
@@ -119,7 +127,7 @@ def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS) -> Data
     anchors = broadcast_if(anchors, n_query, BROADCAST_ROWS)
     candidates = stored(
         index.join(anchors, "term")
-        .filter((F.col("before") == F.col("term_before")) | (F.col("after") == F.col("term_after")))
+        .filter((F.col("before") == F.col("terms_before")) | (F.col("after") == F.col("terms_after")))
         .select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("shift"))
         .distinct(),
         "candidates",
