@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from codeloom.io import stored
+
 #: Cyrillic and Greek letters that are drawn like Latin ones.
 DRAWN_LIKE_LATIN = {
     "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l",
@@ -166,7 +168,7 @@ def classes_of_documents(docs: DataFrame) -> DataFrame:
     keyed = normalized(docs.filter("text is not null").select("doc_id", "text")).select(
         "doc_id", F.md5("consistent_text").alias("key"), F.md5("text").alias("form")
     )
-    return groups_of_forms(keyed.distinct(), "doc_id")
+    return groups_of_forms(stored(keyed.distinct(), "forms"), "doc_id")
 
 
 def groups_of_forms(keyed: DataFrame, id_col: str) -> DataFrame:
@@ -175,11 +177,12 @@ def groups_of_forms(keyed: DataFrame, id_col: str) -> DataFrame:
     forms = keyed.groupBy("key", "form").agg(F.min(id_col).alias("form_id"), F.count("*").alias("_n"))
     keys = forms.groupBy("key").agg(F.min("form_id").alias("class_id"), F.sum("_n").alias("n_documents"), F.count("*").alias("n_forms"))
     small = forms.drop("_n").join(keys, "key").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
+    groups = (
         keyed.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
         .join(small, ["key", "form", "_salt"])
         .select(F.col(id_col), "class_id", "form_id", "n_documents", "n_forms")
     )
+    return stored(groups, "groups")
 
 
 def links_between_forms(groups: DataFrame, id_col: str, pairwise_up_to: int = PAIRWISE_UP_TO) -> DataFrame:
