@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.io import table
 
-from . import function_docs, generated_files, leaks, lookalikes, splitting, unparsable_files
+from . import function_docs, generated_files, leaks, lookalikes, near_duplicates, packing, splitting, unparsable_files
 
 
 def p1_found(spark, d):
@@ -32,6 +32,18 @@ def p2_functions(spark, d):
     return function_docs.source_functions(table(spark, d, "source_files"))
 
 
+def p4_found(spark, d):
+    return near_duplicates.pairs_of_records(*near_duplicates.near_duplicates(table(spark, d, "components")))
+
+
+def p4_classes(spark, d):
+    return near_duplicates.linked_classes(*near_duplicates.near_duplicates(table(spark, d, "components")))
+
+
+def p4_links(spark, d):
+    return near_duplicates.near_duplicates(table(spark, d, "components"))[0]
+
+
 def p5_found(spark, d):
     x = splitting.split_oversized(table(spark, d, "components"), ["snippet", "text"])
     return x.filter("piece = 0").select("id", "field_name").distinct()
@@ -49,6 +61,14 @@ def p6_rates(spark, d):
     return unparsable_files.failure_rates(table(spark, d, "source_files"))
 
 
+def p7_packed(spark, d):
+    return packing.packed(table(spark, d, "documents"))
+
+
+def p7_report(spark, d):
+    return packing.fill_report(packing.packed(table(spark, d, "documents")))
+
+
 def p8_found(spark, d):
     x = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return x.filter("match_kind = 'phrase'").select("doc_id", "item_id")
@@ -70,5 +90,5 @@ def p9_classes(spark, d):
     return lookalikes.classes_of_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p2_functions, p5_found, p5_pieces, p6_found, p6_rates, p8_found, p8_matches, p8_leaked_items, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p2_functions, p4_found, p4_classes, p4_links, p5_found, p5_pieces, p6_found, p6_rates, p7_packed, p7_report, p8_found, p8_matches, p8_leaked_items, p9_found, p9_classes)}
 SQL: dict[str, str] = {}
