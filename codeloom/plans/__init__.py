@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and SQL.
-MODULES = ["vectors", "metrics", "stats", "structure", "snapshot_changes"]
+MODULES = ["vectors", "metrics", "stats", "structure", "texts", "snapshot_changes"]
 
 
 def _collect(name: str) -> dict:
