@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeloom.io import table
+from codeloom.operators import search as S
 from codeloom.operators import vectors as V
 
 REF = 7
@@ -13,10 +14,89 @@ def vector_topk(spark, d):
     return x.select("vec_id", "label", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {"vector_topk": vector_topk}
+def _v(spark, d):
+    return table(spark, d, "embeddings")
+
+
+def _shown(x):
+    return x.select("vec_id", "label", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+def vector_topk_threshold(spark, d):
+    return _shown(V.top_k_by_id(_v(spark, d), REF, 50, 0.2))
+
+
+def vector_query(spark, d):
+    """Nearest to a vector given by value: the mean of one label's vectors."""
+    mean = _v(spark, d).filter("label = 3").select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.round(F.col("x").cast("double"), 6)).alias("x")).orderBy("i")
+    return _shown(V.top_k(_v(spark, d), [round(r.x, 9) for r in mean.collect()], 10))
+
+
+def similar_by_id_exclude_group(spark, d):
+    return _shown(V.similar_outside_group(_v(spark, d), REF, "label", 10))
+
+
+def topk_per_query(spark, d):
+    v = _v(spark, d)
+    x = V.top_k_per_query(v, v.filter("vec_id % 100 = 0"), 3)
+    return x.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def vectors_by_label(spark, d):
+    v = _v(spark, d)
+    return v.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 5).alias("mean_square"))
+
+
+def _delta(v):
+    """An update: a quarter of the rows come with another label, and as many are new."""
+    part = v.filter("vec_id % 4 = 0")
+    return part.withColumn("label", F.col("label") + 100).unionByName(part.withColumn("vec_id", F.col("vec_id") + 1_000_000))
+
+
+def vectors_upsert(spark, d):
+    v = _v(spark, d)
+    return V.upsert(v, _delta(v), "vec_id").groupBy("label").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+
+
+def vectors_delete(spark, d):
+    v = _v(spark, d)
+    return V.delete(v, v.filter("label < 3").select("vec_id"), "vec_id").select("vec_id", "label")
+
+
+def _components(spark, d):
+    return S.vector_table(table(spark, d, "components"))
+
+
+def text_search(spark, d):
+    return S.search(_components(spark, d), "parse the socket cache of a worker", 10).select("id", F.round("score", 6).alias("score"))
+
+
+def symbol_search(spark, d):
+    return S.find_symbol(_components(spark, d), "mapTable").select("id", "name")
+
+
+def test_search(spark, d):
+    return S.related_test_components(_components(spark, d), "cache snapshot").select("file")
+
+
+_F = (vector_topk, vector_topk_threshold, vector_query, similar_by_id_exclude_group, topk_per_query, vectors_by_label, vectors_upsert, vectors_delete, text_search, symbol_search, test_search)
+QUERIES = {f.__name__: f for f in _F}
+_CTE = f"""
+WITH q AS (SELECT embedding::DOUBLE[] AS v, label AS g FROM embeddings WHERE vec_id = {REF}),
+x AS (SELECT vec_id, label, list_distance(embedding::DOUBLE[], q.v) AS dist FROM embeddings, q),
+s AS (SELECT vec_id, label, dist, exp(-dist*dist) AS sc FROM x)
+"""
+_OUT = "SELECT vec_id, label, round(dist, 6) AS distance, round(sc, 6) AS score FROM "
 SQL = {
-    "vector_topk": f"""
-WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = {REF}),
-x AS (SELECT vec_id, label, list_distance(embedding::DOUBLE[], q.v) AS dist FROM embeddings, q)
-SELECT vec_id, label, round(dist, 6) AS distance, round(exp(-dist*dist), 6) AS score FROM x ORDER BY dist, vec_id LIMIT 10"""
+    "vector_topk": _CTE + _OUT + "s ORDER BY dist, vec_id LIMIT 10",
+    "vector_topk_threshold": _CTE + _OUT + "(SELECT * FROM s ORDER BY dist, vec_id LIMIT 50) WHERE sc >= 0.2",
+    "vector_query": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT unnest(range(1, len(v) + 1)) AS i, round(unnest(v), 6) AS x FROM e WHERE label = 3),
+m AS (SELECT list(x ORDER BY i) AS v FROM (SELECT i, round(avg(x), 9) AS x FROM u GROUP BY i)), s AS (SELECT vec_id, label, list_distance(e.v, m.v) AS dist FROM e, m)
+SELECT vec_id, label, round(dist, 6) AS distance, round(exp(-dist*dist), 6) AS score FROM s ORDER BY dist, vec_id LIMIT 10""",
+    "similar_by_id_exclude_group": _CTE + ", n AS (SELECT 10 + count(*) AS k FROM embeddings, q WHERE label = q.g), r AS (SELECT *, row_number() OVER (ORDER BY dist, vec_id) AS rn FROM s) " + _OUT + "r, n, q WHERE rn <= n.k AND label <> q.g",
+    "topk_per_query": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.v, b.v) AS dist FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, vec_id, round(dist, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id)::INT AS rank FROM p) WHERE rank <= 3""",
+    "vectors_by_label": "SELECT label, count(*) AS n, round(avg(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS mean_square FROM embeddings GROUP BY label",
+    "vectors_upsert": "SELECT label, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM (SELECT vec_id, label FROM embeddings WHERE vec_id % 4 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 4 = 0 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 4 = 0) GROUP BY label",
+    "vectors_delete": "SELECT vec_id, label FROM embeddings WHERE NOT label < 3",
 }
