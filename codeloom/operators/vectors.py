@@ -5,6 +5,11 @@ Null vectors, and vectors of another length than the query's, have no distance a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +54,58 @@ def similar_outside_group(vectors: DataFrame, ref_id: int, group_col: str, k: in
     return hits.join(F.broadcast(ref_group), hits[group_col] == F.col("_g"), "left_anti")
 
 
+#: Queries that are compared at once: the size of the matrix that every task gets.
+QUERY_BLOCK = 4096
+
+
 def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The k nearest rows for each row of `queries` (a stated query set, in the same columns), itself excluded. A running
-    top-k per query is kept on the map side by max_by-like aggregation: no pair survives the partial aggregate but k."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q"))
-    x = vectors.join(F.broadcast(q), F.col(id_col) != F.col("query_id"))
-    x = x.select("query_id", id_col, l2_distance(F.col(vec_col), F.col("_q")).alias("distance")).filter("distance is not null")
-    local = Window.partitionBy("query_id", "_part").orderBy("distance", id_col)
-    final = Window.partitionBy("query_id").orderBy("distance", id_col)
-    x = x.withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(32)))  # a query meets all rows: its group is split first
-    x = x.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k)
-    x = x.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
-    return x.select("query_id", id_col, "distance", "rank")
+    """query_id, id, distance, rank: the k nearest rows for each row of `queries` (a stated query set, in the same
+    columns), itself excluded. Queries come in blocks of bounded size; each batch of rows keeps its k nearest per query,
+    so pairs are never written out, and only k rows a query and batch are shuffled. Rows whose vector is null or of
+    another length than the queries' are left out."""
+    q = queries.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col).dropDuplicates([id_col])
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    kind = dict(vectors.dtypes)[id_col]
+    found = None
+    for i in range(blocks):
+        rows = q.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i).collect()  # about QUERY_BLOCK rows
+        if not rows:
+            continue
+        ids = [r[0] for r in rows]
+        matrix = np.array([r[1] for r in rows], np.float64)
+        x = vectors.select(id_col, vec_col).mapInArrow(_nearest(ids, matrix, k), f"query_id {kind}, {id_col} {kind}, distance double")
+        found = x if found is None else found.unionByName(x)
+    if found is None:
+        found = vectors.select(F.col(id_col).alias("query_id"), id_col, F.lit(0.0).alias("distance")).limit(0)
+    w = Window.partitionBy("query_id").orderBy("distance", id_col)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _nearest(ids: list, matrix: np.ndarray, k: int):
+    squares = (matrix**2).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            keep = [j for j, n in enumerate(pc.fill_null(pc.list_value_length(lists), 0).to_pylist()) if n == matrix.shape[1]]
+            if not keep:
+                continue
+            own = b.column(0).take(pa.array(keep)).to_pylist()
+            m = lists.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keep), -1)
+            d = squares[:, None] + (m**2).sum(1)[None, :] - 2 * matrix @ m.T
+            most = min(k + 1, d.shape[1])
+            near = np.argpartition(d, most - 1, axis=1)[:, :most] if most < d.shape[1] else np.tile(np.arange(most), (len(ids), 1))
+            out: tuple[list, list, list] = ([], [], [])
+            for i, row in enumerate(near):
+                # Ties at the edge stay in, so that the order by id is that of all rows.
+                edge = d[i, row].max() + 1e-9
+                for j in np.flatnonzero(d[i] <= edge):
+                    if own[j] != ids[i]:
+                        out[0].append(ids[i]), out[1].append(own[j]), out[2].append(float(np.sqrt(((matrix[i] - m[j]) ** 2).sum())))
+            t = b.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], t), pa.array(out[1], t), pa.array(out[2], pa.float64())], names=["query_id", b.schema.names[0], "distance"])
+
+    return run
 
 
 def upsert(table: DataFrame, delta: DataFrame, key: str) -> DataFrame:
