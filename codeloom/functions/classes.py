@@ -47,9 +47,9 @@ def trend(files_delta: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     """Steps of 1024 with two decimals."""
     n = F.coalesce(n, F.lit(0)).cast("double")
-    step = F.when(n < 1, 0).otherwise(F.floor(F.log(F.lit(1024.0), n))).cast("int")
+    step = F.when(n < 1, 0).otherwise(F.floor(F.log(1024.0, n))).cast("int")
     return F.when(n < 1, F.lit("0 Bytes")).otherwise(
-        F.concat(F.format_number(n / F.pow(F.lit(1024.0), step), "0.##"), F.lit(" "), F.element_at(F.array(*map(F.lit, ["Bytes", "KB", "MB", "GB", "TB", "PB"])), step + 1))
+        F.concat(F.regexp_replace(F.round(n / F.pow(F.lit(1024.0), step), 2).cast("string"), r"\.0$", ""), F.lit(" "), F.element_at(F.array(*map(F.lit, ["Bytes", "KB", "MB", "GB", "TB", "PB"])), step + 1))
     )
 
 
@@ -65,7 +65,7 @@ def time_since(then: Column, now: Column) -> Column:
 
 def duration(ms: Column) -> Column:
     s = F.coalesce(ms, F.lit(0)) / 1000
-    return F.when(s < 1, F.concat(F.coalesce(ms, F.lit(0)).cast("string"), F.lit("ms"))).when(s < 60, F.concat(F.format_number(s, "0.0"), F.lit("s"))).otherwise(
+    return F.when(s < 1, F.concat(F.coalesce(ms, F.lit(0)).cast("string"), F.lit("ms"))).when(s < 60, F.concat(F.round(s, 1).cast("string"), F.lit("s"))).otherwise(
         F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.round(s % 60).cast("int").cast("string"), F.lit("s"))
     )
 

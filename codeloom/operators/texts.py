@@ -113,9 +113,9 @@ def late(docs: DataFrame, hours: int = 24) -> DataFrame:
     return x
 
 
-def parse_numstat(lines: DataFrame) -> DataFrame:
+def parse_numstat(lines: DataFrame, *keep: str) -> DataFrame:
     """line to path, previous_path, status, additions, deletions. '-' counts as 0; renames come as 'a => b' and as
-    'dir/{a => b}/file'; everything else is 'modified'. Lines with fewer than three fields fall out."""
+    'dir/{a => b}/file'; everything else is 'modified'. Lines with fewer than three fields fall out; the columns named are carried along."""
     p = F.split("line", "\t", 3)
     n = lambda i: F.coalesce(F.try_to_number(F.element_at(p, i), F.lit("9999999999")).cast("long"), F.lit(0))
     path, brace = F.element_at(p, 3), r"^(.*?)\{(.+?)\s*=>\s*(.+?)\}(.*)$"
@@ -124,4 +124,4 @@ def parse_numstat(lines: DataFrame) -> DataFrame:
     new = F.when(path.rlike(brace), joined(3)).when(path.rlike(plain), F.trim(F.regexp_extract(path, plain, 2))).otherwise(path)
     old = F.when(path.rlike(brace), joined(2)).when(path.rlike(plain), F.trim(F.regexp_extract(path, plain, 1)))
     x = lines.filter(F.size(p) >= 3)
-    return x.select(new.alias("path"), old.alias("previous_path"), F.when(old.isNotNull(), "renamed").otherwise("modified").alias("status"), n(1).alias("additions"), n(2).alias("deletions"))
+    return x.select(*keep, new.alias("path"), old.alias("previous_path"), F.when(old.isNotNull(), "renamed").otherwise("modified").alias("status"), n(1).alias("additions"), n(2).alias("deletions"))

@@ -1,0 +1,51 @@
+"""A keyed table of Parquet files with upsert and delete: each write is a new version beside the old one.
+
+A version counts once its success mark is there, so readers never see half a write and a failed job leaves the table as it
+was. Rows lie in ranges of the key, so that file statistics prune a look-up.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from codeloom.operators import vectors as V
+
+
+class VersionedTable:
+    def __init__(self, spark: SparkSession, path: str, key: str) -> None:
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def _versions(self) -> list[int]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        done = lambda n: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and done(n))
+
+    def read(self) -> DataFrame | None:
+        """The newest version, or None before the first write."""
+        v = self._versions()
+        return self.spark.read.parquet(f"{self.path}/v={v[-1]}") if v else None
+
+    def write(self, df: DataFrame) -> None:
+        n = (self._versions() or [0])[-1] + 1
+        df.repartitionByRange(self.key).sortWithinPartitions(self.key).write.mode("overwrite").parquet(f"{self.path}/v={n}")
+
+    def upsert(self, delta: DataFrame) -> None:
+        now = self.read()
+        self.write(V.upsert(now if now is not None else delta.limit(0), delta, self.key))
+
+    def delete(self, ids: DataFrame) -> None:
+        now = self.read()
+        if now is not None:
+            self.write(V.delete(now, ids, self.key))
+
+    def get(self, key) -> DataFrame | None:
+        now = self.read()
+        return None if now is None else now.filter(now[self.key] == key)
+
+    def count(self) -> int:
+        now = self.read()
+        return 0 if now is None else now.count()
