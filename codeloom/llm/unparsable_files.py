@@ -45,6 +45,7 @@ REGEX_LITERAL = re.compile(r"/(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\
 TEMPLATE_PART = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(?P<end>`|\$\{)?")
 JSX_TEXT = re.compile(r"[^<{]*+(?P<end></[^<>{}]*>|<|\{)?")
 JSX_TAG = re.compile(r"(?:\s|[\w$.:-]|=|//[^\n]*|/\*[\s\S]*?\*/|\"[^\"]*\"|'[^']*')*+(?P<end>/>|>|\{)?")
+TYPE_PARAMETERS = re.compile(r"\w+\s*(?:,|extends\b)")  # of an arrow function in a .tsx file
 KEY = re.compile(r"\s*[:,}=]")  # what follows a word that is a property name
 CONFLICT = re.compile(r"^(?:<{7}|\|{7}|={7}|>{7})(?=\s|$)", re.M)
 
@@ -92,6 +93,8 @@ def ecma_fault(s: str, ext: str) -> tuple[str, int] | None:
             fresh = fresh or "\n" in m[0] or "\r" in m[0]
             continue
         t = m[0]
+        if fresh and t[0] in "<>=|" and CONFLICT.match(s, start):
+            return "conflict marker", start
         if k == "op" and t in ("/", "/=") and kind not in ("id", "num", "str", "close"):
             r = REGEX_LITERAL.match(s, start)
             if not r:
@@ -129,7 +132,7 @@ def ecma_fault(s: str, ext: str) -> tuple[str, int] | None:
                     return "type annotation outside TypeScript", start
                 elif js and kind == "close" and text == ")" and level[0] != "{" and not stack:
                     return "type annotation outside TypeScript", start
-            elif t == "<" and tsx and kind not in ("id", "num", "str", "close") and (pos < n and (s[pos].isalpha() or s[pos] == ">")):
+            elif t == "<" and tsx and kind not in ("id", "num", "str", "close") and (pos < n and (s[pos].isalpha() or s[pos] == ">") and not TYPE_PARAMETERS.match(s, pos)):
                 got = _jsx(s, pos, stack)
                 if isinstance(got, str):
                     return got, start
@@ -236,6 +239,8 @@ def go_fault(s: str) -> tuple[str, int] | None:
             return "unterminated literal", start
         if k == "bad":
             return "illegal character", start
+        if fresh and t[0] in "<>=|" and CONFLICT.match(s, start):
+            return "conflict marker", start
         ended = fresh and kind in ("id", "num", "str", "close", "") or text == ";"  # a statement begins here
         if not seen:
             if t != "package":
