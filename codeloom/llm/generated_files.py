@@ -66,7 +66,7 @@ def layout(content: Column) -> dict[str, Column]:
         "bare_share": F.length(F.regexp_replace(F.regexp_replace(content, r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`", ""), r"[^A-Za-z]+", "")) / n,
         # Distinct line shapes a line: code that a tool repeats for each field or record has few for its length.
         "shape_share": F.size(F.array_distinct(F.split(F.regexp_replace(content, r"\w+", "a"), "\n"))) / F.size(lines),
-        "encoded_share": without(r"[A-Za-z0-9+/=]{60,}|(?:\\x[0-9a-fA-F]{2}){15,30}"),
+        "encoded_share": without(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{60,}+|(?:\\x[0-9a-fA-F]{2}){15,30}"),
     }
 
 
