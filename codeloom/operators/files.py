@@ -122,6 +122,10 @@ DECLARATIONS = {
 }
 
 
+#: Fixed value: the type that a Go method belongs to.
+GO_RECEIVER = r"^func\s+\(\s*(?:\w+\s+)?\*?\s*([A-Za-z_]\w*)"
+
+
 def family(language: Column) -> Column:
     return F.when(language.isin("typescript", "javascript"), "ecma").when(language.isin("go", "python"), language)
 
@@ -144,8 +148,9 @@ def declarations(files: DataFrame) -> DataFrame:
         for k, pattern in rules:
             hit = (fam == language) & F.col("line").rlike(pattern)
             kind, name = F.coalesce(kind, F.when(hit, k)), F.coalesce(name, F.when(hit, F.regexp_extract("line", pattern, 1)))
-    x = x.withColumn("type", kind).withColumn("name", name).filter("type is not null")
-    exported = F.when(fam == "ecma", F.col("line").startswith("export")).when(fam == "go", F.col("name").rlike(r"^\p{Lu}")).otherwise(~F.col("name").startswith("_"))
+    x = x.withColumn("type", kind).withColumn("own", name).filter("type is not null")
+    x = x.withColumn("name", F.when(F.col("type") == "method", F.concat_ws(".", F.regexp_extract("line", GO_RECEIVER, 1), "own")).otherwise(F.col("own")))
+    exported = F.when(fam == "ecma", F.col("line").startswith("export")).when(fam == "go", F.col("own").rlike(r"^\p{Lu}")).otherwise(~F.col("name").startswith("_"))
     sig = F.trim(F.regexp_replace(F.substring_index("line", "{", 1), r"\s*=>\s*$|\s*=\s*$", ""))
     return x.select(F.concat_ws(":", "path", "name", "line_no").alias("id"), F.col("path").alias("file"), "name", "type", F.col("line_no").alias("start_line"), sig.alias("signature"), exported.alias("exported"))
 
@@ -205,3 +210,31 @@ def folder_sizes(files: DataFrame, levels: int = 2) -> DataFrame:
     p = F.split("path", "/")
     x = x.withColumn("folder", F.array_join(F.slice(p, 1, F.least(F.size(p) - 1, F.lit(levels))), "/"))
     return x.groupBy("folder").agg(F.count("*").alias("files"), F.sum("n").alias("bytes"))
+
+
+#: A method's header one level inside a class.
+METHOD = {
+    "ecma": r"^(?: {2}| {4}|\t)(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?\s*(#?[A-Za-z_$][\w$]*)\s*\(.*\{\s*$",
+    "python": r"^(?: {4}|\t)(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(",
+}
+NOT_METHODS = ["if", "for", "while", "switch", "catch", "with", "return", "function"]
+
+
+def methods(files: DataFrame) -> DataFrame:
+    """id, file, name (Class.method), start_line, signature, is_async: methods one level inside the classes at the left
+    margin. The class carries forward line by line until the margin is met again."""
+    x = source_lines(files.filter(family(language_of(F.col("path"))).isin("ecma", "python")))
+    fam = family(F.col("language"))
+    owner = F.when(F.col("line").rlike(DECLARATIONS["ecma"][1][1]) & (fam == "ecma"), F.regexp_extract("line", DECLARATIONS["ecma"][1][1], 1))
+    owner = owner.when(F.col("line").rlike(DECLARATIONS["python"][1][1]) & (fam == "python"), F.regexp_extract("line", DECLARATIONS["python"][1][1], 1))
+    owner = owner.when(F.col("line").rlike(r"^\S"), "")  # anything else at the margin ends a class
+    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("owner", F.last(owner, ignorenulls=True).over(w)).filter("owner <> ''")
+    name = F.when(fam == "ecma", F.regexp_extract("line", METHOD["ecma"], 1)).otherwise(F.regexp_extract("line", METHOD["python"], 1))
+    x = x.withColumn("own", name).filter((F.col("own") != "") & ~F.col("own").isin(NOT_METHODS))
+    full = F.concat_ws(".", "owner", "own")
+    return x.select(
+        F.concat_ws(":", "path", full, "line_no").alias("id"), F.col("path").alias("file"), full.alias("name"), F.col("line_no").alias("start_line"),
+        F.trim(F.regexp_replace("line", r"\s*[{:]\s*$", "")).alias("signature"), F.col("line").rlike(r"\basync\b").alias("is_async"),
+    )
+

@@ -49,6 +49,19 @@ def scan_declarations(spark, d):
     return S.declarations(_f(spark, d))
 
 
+def scan_methods(spark, d):
+    return S.methods(_f(spark, d))
+
+
+def scan_agreement(spark, d):
+    """How the scanned declarations and methods agree with the components delivered, by type."""
+    f = _f(spark, d)
+    mine = S.declarations(f).select("file", "name").union(S.methods(f).select("file", "name")).distinct().withColumn("_m", F.lit(1))
+    c = table(spark, d, "components").filter("type in ('function', 'method', 'class', 'interface')").select("file", "name", "type").distinct()
+    x = c.join(mine, ["file", "name"], "left").groupBy("type").agg(F.count("*").alias("delivered"), F.count("_m").alias("scanned"))
+    return x
+
+
 def go_docs(spark, d):
     return S.doc_lines(_f(spark, d))
 
@@ -93,7 +106,7 @@ def compare_patterns(spark, d):
     return P.compare(P.file_patterns(_f(spark, d)), P.type_coverage(table(spark, d, "components")), ["repository", "language"])
 
 
-_F = (discover_files, validate_files, related_tests, change_detect, update_plan, state_of_components, state_drift, incremental_update, scan_declarations, go_docs, file_imports, markdown_sections, folder_sizes, file_patterns, import_style, error_style, type_coverage, size_deviation, testing_share, compare_patterns)
+_F = (discover_files, validate_files, related_tests, change_detect, update_plan, state_of_components, state_drift, incremental_update, scan_declarations, scan_methods, scan_agreement, go_docs, file_imports, markdown_sections, folder_sizes, file_patterns, import_style, error_style, type_coverage, size_deviation, testing_share, compare_patterns)
 QUERIES = {f.__name__: f for f in _F}
 
 _DIRS = "|".join(x.replace(".", r"\.") for x in S.EXCLUDED_DIRS)
@@ -124,9 +137,20 @@ def _declarations() -> str:
             kind.append(f"WHEN {test} AND regexp_matches(line, '{pattern}') THEN '{k}'")
             name.append(f"WHEN {test} AND regexp_matches(line, '{pattern}') THEN regexp_extract(line, '{pattern}', 1)")
     return (
-        f", de AS (SELECT path, language, line, line_no, CASE {' '.join(kind)} END AS type, CASE {' '.join(name)} END AS name FROM ln WHERE NOT (language = 'go' AND path IN (SELECT path FROM f WHERE regexp_matches(string_split(content, chr(10))[1], 'Code generated|DO NOT EDIT'))))"
+        f", de AS (SELECT path, language, line, line_no, CASE {' '.join(kind)} END AS type, CASE {' '.join(name)} END AS own FROM ln WHERE NOT (language = 'go' AND path IN (SELECT path FROM f WHERE regexp_matches(string_split(content, chr(10))[1], 'Code generated|DO NOT EDIT'))))"
         r" SELECT path || ':' || name || ':' || line_no AS id, path AS file, name, type, line_no AS start_line, trim(regexp_replace(string_split(line, '{')[1], '\s*=>\s*$|\s*=\s*$', '')) AS signature,"
-        r" CASE WHEN language IN ('typescript', 'javascript') THEN starts_with(line, 'export') WHEN language = 'go' THEN regexp_matches(name, '^\p{Lu}') ELSE NOT starts_with(name, '_') END AS exported FROM de WHERE type IS NOT NULL"
+        r" CASE WHEN language IN ('typescript', 'javascript') THEN starts_with(line, 'export') WHEN language = 'go' THEN regexp_matches(own, '^\p{Lu}') ELSE NOT starts_with(own, '_') END AS exported FROM (SELECT *, CASE WHEN type = 'method' THEN regexp_extract(line, '" + S.GO_RECEIVER + r"', 1) || '.' || own ELSE own END AS name FROM de) WHERE type IS NOT NULL"
+    )
+
+
+def _methods() -> str:
+    e, p = S.DECLARATIONS["ecma"][1][1], S.DECLARATIONS["python"][1][1]
+    ecma = "language IN ('typescript', 'javascript')"
+    bad = ", ".join(f"'{w}'" for w in S.NOT_METHODS)
+    return (
+        f", ow AS (SELECT *, CASE WHEN {ecma} AND regexp_matches(line, '{e}') THEN regexp_extract(line, '{e}', 1) WHEN language = 'python' AND regexp_matches(line, '{p}') THEN regexp_extract(line, '{p}', 1) WHEN regexp_matches(line, '^\\S') THEN '' END AS o FROM ln WHERE {ecma} OR language = 'python'),"
+        f" cf AS (SELECT *, last_value(o IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner, CASE WHEN {ecma} THEN regexp_extract(line, '{S.METHOD['ecma']}', 1) ELSE regexp_extract(line, '{S.METHOD['python']}', 1) END AS own FROM ow)"
+        f" SELECT path || ':' || owner || '.' || own || ':' || line_no AS id, path AS file, owner || '.' || own AS name, line_no AS start_line, trim(regexp_replace(line, '\\s*[{{:]\\s*$', '')) AS signature, regexp_matches(line, '\\basync\\b') AS is_async FROM cf WHERE owner <> '' AND own <> '' AND own NOT IN ({bad})"
     )
 
 
@@ -139,6 +163,8 @@ SQL = {
     "state_of_components": "SELECT file, list_sort(list(DISTINCT id)) AS document_ids, count(DISTINCT id)::INT AS n FROM components WHERE file IS NOT NULL GROUP BY file",
     "state_drift": "SELECT path, count(*) FILTER (a IS NULL) AS missing, count(*) FILTER (b IS NULL) AS stale FROM (SELECT DISTINCT path, unnest(document_ids) AS id, 1 AS a FROM file_state) FULL JOIN (SELECT DISTINCT file AS path, id, 1 AS b FROM components) USING (path, id) GROUP BY path HAVING count(*) FILTER (a IS NULL) + count(*) FILTER (b IS NULL) > 0",
     "scan_declarations": _CTE + _declarations(),
+    "scan_methods": _CTE + _methods(),
+    "scan_agreement": "SELECT type, count(*) AS delivered, count(m) AS scanned FROM (SELECT DISTINCT file, name, type FROM components WHERE type IN ('function', 'method', 'class', 'interface')) LEFT JOIN (SELECT DISTINCT file, name, 1 AS m FROM (SELECT file, name FROM (" + _CTE + _declarations() + ") UNION ALL SELECT file, name FROM (" + _CTE + _methods() + "))) USING (file, name) GROUP BY type",
     "incremental_update": _CTE + ", sd AS (SELECT * FROM (" + (_CTE + _declarations()) + ")), o AS (SELECT DISTINCT ON (id) id, file, type FROM components) SELECT type, count(DISTINCT id) AS components FROM (SELECT id, type FROM o WHERE file NOT IN (SELECT path FROM ch WHERE change IN ('changed', 'deleted')) UNION ALL SELECT id, type FROM sd WHERE file IN (SELECT path FROM ch WHERE change IN ('changed', 'added'))) GROUP BY type",
     "go_docs": _CTE + r""", g AS (SELECT *, starts_with(line, '//') AS c, sum(CASE WHEN starts_with(line, '//') THEN 0 ELSE 1 END) OVER w AS island, lag(starts_with(line, '//')) OVER w AS above FROM ln WHERE ends_with(path, '.go') WINDOW w AS (PARTITION BY path ORDER BY line_no)),
 dd AS (SELECT path, island, string_agg(regexp_replace(line, '^//\s?', ''), chr(10) ORDER BY line_no) AS doc FROM g WHERE c GROUP BY ALL)

@@ -139,7 +139,7 @@ def test_files(spark):
     ).withColumns({"repository": F.lit("r"), "language": F.lit("typescript")})
     assert {r.path for r in Fi.discover(f).collect()} == {"a/x.ts", "a/x.test.ts", "b.go", "c.go", "d.py", "e.md"}
     assert {(r.path, r.test) for r in Fi.related_tests(f).collect() if r.test} == {("a/x.ts", "a/x.test.ts")}
-    assert {(r.id, r.type, r.exported) for r in Fi.declarations(f).collect()} == {("a/x.ts:one:2", "function", True), ("c.go:Run:5", "method", True), ("d.py:go:1", "function", True)}
+    assert {(r.id, r.type, r.exported) for r in Fi.declarations(f).collect()} == {("a/x.ts:one:2", "function", True), ("c.go:T.Run:5", "method", True), ("d.py:go:1", "function", True)}
     assert [(r.file, r.line_no, r.doc) for r in Fi.doc_lines(f).filter("file = 'c.go'").collect()] == [("c.go", 5, "Says a\nlot")]
     assert {(r.id, r.docstring) for r in Fi.markdown_sections(f).collect()} == {("e.md:one:1", "text\n```\n# no\n```"), ("e.md:three:8", "more")}
     lines = spark.createDataFrame([("line 1\nline 2\nline 3\n",)], "c string").select(Fi.line_count(F.col("c")).alias("n")).first().n
