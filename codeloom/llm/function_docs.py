@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 MIN_WORDS = 5
 
 # ---- Fixed values: lexer and noise patterns --------------------------------------------------------------------
-#: Coarse tokens: comments, strings, delimiters, and runs of other code. No nested repetition: it must not recurse.
+#: Coarse tokens: comments, strings, regular expressions (a slash where no value can stand before it), delimiters, and
+#: runs of other code. Repetition is possessive: it must not recurse.
 BRACE_TOKENS = (
-    r"(?s)/\*.*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`"
+    r"(?s)/\*.*?\*/|//[^\n]*|(?<=[(,=:\[!&|?{};\n]\s{0,8})/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[A-Za-z]*+|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`"
+    r"|[{}()\[\];]|[^\s/\"'`{}()\[\];][^/\"'`{}()\[\];\n]*|\S"
+)
+GO_TOKENS = (
+    r"(?s)/\*.*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`]*+`"
     r"|[{}()\[\];]|[^\s/\"'`{}()\[\];][^/\"'`{}()\[\];\n]*|\S"
 )
 PYTHON_TOKENS = (
@@ -139,22 +144,23 @@ LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "go":
 
 
 def _source_tokens(files: DataFrame, pattern: str, extensions: str) -> DataFrame:
-    """(path, copy, pos, raw, token): every token with the white space before it, so that joining them gives the text.
-    A file delivered twice keeps its copies apart until the end."""
+    """(path, copy, digest, pos, raw, token): every token with the white space before it, so that joining them gives the
+    text. A file delivered twice keeps its copies apart until the end."""
     x = files.filter(F.col("path").rlike(rf"(?i)\.({extensions})$") & F.col("content").isNotNull())
-    x = x.select("path", "content", F.monotonically_increasing_id().alias("copy"))
+    x = x.select("path", "content", F.xxhash64("content").alias("digest"), F.monotonically_increasing_id().alias("copy"))
     head, body = ("(?s)", pattern[4:]) if pattern.startswith("(?s)") else ("", pattern)
-    x = x.select("path", "copy", F.posexplode(F.regexp_extract_all("content", F.lit(rf"{head}\s*(?:{body})"), F.lit(0))).alias("pos", "raw"))
+    x = x.select("path", "copy", "digest", F.posexplode(F.regexp_extract_all("content", F.lit(rf"{head}\s*(?:{body})"), F.lit(0))).alias("pos", "raw"))
     return x.withColumn("token", F.trim(F.regexp_replace("raw", r"^\s+", "")))
 
 
 def brace_functions(files: DataFrame) -> DataFrame:
     """Functions of TypeScript, JavaScript and Go files: path, name, signature, code, doc."""
-    t = _source_tokens(files, BRACE_TOKENS, "tsx?|js|go")
+    t = _source_tokens(files, BRACE_TOKENS, "tsx?|js").unionByName(_source_tokens(files, GO_TOKENS, "go"))
     file = Window.partitionBy("path", "copy").orderBy("pos")
     upto, before = file.rowsBetween(Window.unboundedPreceding, 0), file.rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col("token").isin("(", "["), 1).when(F.col("token").isin(")", "]"), -1).otherwise(0)
     brace = F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
+    t = t.withColumn("chars", F.sum(F.length("raw")).over(upto))
     t = t.withColumn("comment", F.col("token").rlike(COMMENT_TOKEN)).withColumn("parens", F.sum(step).over(upto))
     t = t.withColumn("depth", F.sum(brace).over(upto) + F.when(F.col("token") == "}", 1).otherwise(0))
     # A statement ends with a brace or a semicolon outside parentheses, or where the next token begins a line at an operand.
@@ -181,14 +187,15 @@ def brace_functions(files: DataFrame) -> DataFrame:
     # The k-th opening brace of a depth closes with the k-th closing brace of that depth.
     nth = Window.partitionBy("path", "copy", "depth", "token").orderBy("pos")
     braces = t.filter(F.col("token").isin("{", "}")).withColumn("nth", F.row_number().over(nth))
-    opened = braces.filter("token = '{'").select("path", "copy", "depth", "nth", F.col("pos").alias("at"))
-    closed = braces.filter("token = '}'").select("path", "copy", "depth", "nth", F.col("pos").alias("until"))
+    opened = braces.filter("token = '{'").select("path", "copy", "digest", "depth", "nth", F.col("pos").alias("at"), F.col("chars").alias("first"))
+    closed = braces.filter("token = '}'").select("path", "copy", "depth", "nth", F.col("chars").alias("last_char"))
     spans = heads.join(opened, ["path", "copy", "depth", "at"]).join(closed, ["path", "copy", "depth", "nth"])
-    spans = spans.select("path", "copy", "at", "until", "name", "signature", F.coalesce(F.nullif("later", F.lit("")), "lead").alias("doc"))
-    body = t.join(spans.select("path", "copy", "at", "until"), ["path", "copy"]).filter(F.col("pos").between(F.col("at"), F.col("until")))
-    code = body.groupBy("path", "copy", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x.raw), "").alias("body"))
-    x = spans.join(code, ["path", "copy", "at"])
-    return x.select("path", "name", "signature", F.concat("signature", F.lit(" "), F.trim("body")).alias("code"), "doc", "at").distinct()
+    spans = spans.select("path", "digest", "at", "first", "last_char", "name", "signature", F.coalesce(F.nullif("later", F.lit("")), "lead").alias("doc")).distinct()
+    # Bodies are cut out of the text by character positions: no token meets every function of its file.
+    whole = files.filter(F.col("content").isNotNull()).select("path", F.xxhash64("content").alias("digest"), "content")
+    body = F.substring("content", F.col("first"), F.col("last_char") - F.col("first") + 1)
+    x = spans.join(whole, ["path", "digest"])
+    return x.select("path", "name", "signature", F.concat("signature", F.lit(" "), body).alias("code"), "doc", "at").distinct()
 
 
 def python_functions(files: DataFrame) -> DataFrame:
