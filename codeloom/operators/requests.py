@@ -42,14 +42,19 @@ def recent(events: DataFrame, by: str, n: int) -> DataFrame:
 
 def correlate(events: DataFrame, start: str, end: str, by: str, within_seconds: int) -> DataFrame:
     """Each start with the first end of the same key that follows it within the time, and the seconds between; starts
-    without one stay open (null). One pass: the next end is carried backwards by a window over the key's events."""
-    x = events.filter(F.col("event_type").isin(start, end))
-    later = Window.partitionBy(by).orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    e = F.first(F.when(F.col("event_type") == end, F.struct("ts", "event_id")), ignorenulls=True).over(later)
+    without one stay open (null). Time is cut into slots of that length; an end is put into its own slot and the one
+    before, so a window holds one key's events of two slots and a hot key is spread over its slots."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    x = events.filter(F.col("event_type").isin(start, end) & F.col("ts").isNotNull()).select("event_id", by, "ts", "event_type", micros.alias("us"))
+    slot = F.floor(F.col("us") / (within_seconds * 1_000_000))
+    slots = F.when(F.col("event_type") == end, F.array(slot, slot - 1)).otherwise(F.array(slot))
+    x = x.withColumn("slot", F.explode(slots))
+    later = Window.partitionBy(by, "slot").orderBy("us", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    e = F.first(F.when(F.col("event_type") == end, F.struct("us", "event_id")), ignorenulls=True).over(later)
     x = x.withColumn("e", e).filter(F.col("event_type") == start)
-    secs = F.unix_micros(F.col("e.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
-    near = secs <= within_seconds * 1_000_000
-    return x.select("event_id", by, F.when(near, F.col("e.event_id")).alias("end_id"), F.when(near, F.round(secs / 1e6, 3)).alias("seconds"))
+    gap = F.col("e.us") - F.col("us")
+    near = gap <= within_seconds * 1_000_000
+    return x.select("event_id", by, F.when(near, F.col("e.event_id")).alias("end_id"), F.when(near, F.round(gap / 1e6, 3)).alias("seconds"))
 
 
 def daily(events: DataFrame) -> DataFrame:
