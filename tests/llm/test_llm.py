@@ -333,3 +333,37 @@ def test_every_query_runs(spark):
         if name in columns:
             assert df.columns == columns[name]
         assert df.count() == df.distinct().count() or not name.endswith("_found")
+
+
+def test_edges(spark, tmp_path):
+    """Every query over empty tables and over tables with nulls in every column."""
+    import os
+
+    import edges
+
+    from codeloom.llm.queries import QUERIES
+
+    base = os.environ.get("CODELOOM_TESTDATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
+    empty, nulls = tmp_path / "empty", tmp_path / "nulls"
+    empty.mkdir(), nulls.mkdir()
+    edges.write(base, empty, nulls)
+    for name, q in QUERIES.items():
+        assert q(spark, str(empty)).count() == (name == "p7_report")
+        assert q(spark, str(nulls)).count() >= 0
+
+
+def test_functions_of_files_cover_components(spark):
+    """Every documented component is found again in its file by the token windows."""
+    import os
+
+    from codeloom.io import table
+
+    base = os.environ.get("CODELOOM_TESTDATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
+    c = table(spark, base, "components")
+    pairs = D.component_pairs(c).select("id", F.substring_index("name", ".", -1).alias("name")).join(c.select("id", F.col("file").alias("path")).distinct(), "id")
+    found = D.source_functions(table(spark, base, "source_files")).select("path", "name").distinct()
+    assert pairs.count() > 20 and pairs.join(found, ["path", "name"], "left_anti").count() <= 0.01 * pairs.count()
