@@ -143,34 +143,36 @@ FUNCTION_HEADER = (
 LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "go": "go"}
 
 
-def _source_tokens(files: DataFrame, pattern: str, extensions: str) -> DataFrame:
-    """(path, copy, digest, pos, raw, token): every token with the white space before it, so that joining them gives the
-    text. A file delivered twice keeps its copies apart until the end."""
+def _source_tokens(files: DataFrame, pattern: str, extensions: str, lane: int) -> DataFrame:
+    """(copy, digest, pos, raw): every token with the white space before it, so that joining them gives the text. A file
+    delivered twice keeps its copies apart until the end; its path isn't repeated with every token. Two scans
+    number their files in lanes of their own."""
     x = files.filter(F.col("path").rlike(rf"(?i)\.({extensions})$") & F.col("content").isNotNull())
-    x = x.select("path", "content", F.xxhash64("content").alias("digest"), F.monotonically_increasing_id().alias("copy"))
+    x = x.select("content", F.xxhash64("content").alias("digest"), (F.monotonically_increasing_id() * 2 + lane).alias("copy"))
     head, body = ("(?s)", pattern[4:]) if pattern.startswith("(?s)") else ("", pattern)
-    x = x.select("path", "copy", "digest", F.posexplode(F.regexp_extract_all("content", F.lit(rf"{head}\s*(?:{body})"), F.lit(0))).alias("pos", "raw"))
-    return x.withColumn("token", F.trim(F.regexp_replace("raw", r"^\s+", "")))
+    x = x.select("copy", "digest", F.posexplode(F.regexp_extract_all("content", F.lit(rf"{head}\s*(?:{body})"), F.lit(0))).alias("pos", "raw"))
+    return x
 
 
 def brace_functions(files: DataFrame) -> DataFrame:
     """Functions of TypeScript, JavaScript and Go files: path, name, signature, code, doc."""
-    t = _source_tokens(files, BRACE_TOKENS, "tsx?|js").unionByName(_source_tokens(files, GO_TOKENS, "go"))
-    file = Window.partitionBy("path", "copy").orderBy("pos")
+    t = _source_tokens(files, BRACE_TOKENS, "tsx?|js", 0).unionByName(_source_tokens(files, GO_TOKENS, "go", 1))
+    token = F.trim(F.regexp_replace("raw", r"^\s+", ""))  # behind the shuffle: rows carry each token once
+    file = Window.partitionBy("copy").orderBy("pos")
     upto, before = file.rowsBetween(Window.unboundedPreceding, 0), file.rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col("token").isin("(", "["), 1).when(F.col("token").isin(")", "]"), -1).otherwise(0)
     brace = F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
-    t = t.withColumn("chars", F.sum(F.length("raw")).over(upto))
+    t = t.withColumn("chars", F.sum(F.length("raw")).over(upto)).withColumn("token", token)
     t = t.withColumn("comment", F.col("token").rlike(COMMENT_TOKEN)).withColumn("parens", F.sum(step).over(upto))
     t = t.withColumn("depth", F.sum(brace).over(upto) + F.when(F.col("token") == "}", 1).otherwise(0))
     # A statement ends with a brace or a semicolon outside parentheses, or where the next token begins a line at an operand.
     ends = (F.col("parens") == 0) & F.col("token").isin(";", "{", "}")
     t = t.withColumn("statement", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(before), F.lit(0)))
-    inside = Window.partitionBy("path", "copy", "statement").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("copy", "statement").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("code_so_far", F.count_if(~F.col("comment")).over(inside))
     # Of what a statement holds before its brace, the lines before the last blank-line or import boundary are dropped by
     # the header pattern, which must match from the last line that begins a declaration.
-    parts = t.groupBy("path", "copy", "statement").agg(
+    parts = t.groupBy("copy", "statement").agg(
         F.max_by("pos", "pos").alias("at"),
         F.max_by("token", "pos").alias("last"),
         F.max_by("depth", "pos").alias("depth"),
@@ -185,16 +187,16 @@ def brace_functions(files: DataFrame) -> DataFrame:
     names = [F.nullif(F.regexp_extract("signature", FUNCTION_HEADER, i), F.lit("")) for i in (1, 2, 3, 4)]
     heads = parts.withColumn("name", F.coalesce(*names)).filter("name is not null")
     # The k-th opening brace of a depth closes with the k-th closing brace of that depth.
-    nth = Window.partitionBy("path", "copy", "depth", "token").orderBy("pos")
+    nth = Window.partitionBy("copy", "depth", "token").orderBy("pos")
     braces = t.filter(F.col("token").isin("{", "}")).withColumn("nth", F.row_number().over(nth))
-    opened = braces.filter("token = '{'").select("path", "copy", "digest", "depth", "nth", F.col("pos").alias("at"), F.col("chars").alias("first"))
-    closed = braces.filter("token = '}'").select("path", "copy", "depth", "nth", F.col("chars").alias("last_char"))
-    spans = heads.join(opened, ["path", "copy", "depth", "at"]).join(closed, ["path", "copy", "depth", "nth"])
-    spans = spans.select("path", "digest", "at", "first", "last_char", "name", "signature", F.coalesce(F.nullif("later", F.lit("")), "lead").alias("doc")).distinct()
+    opened = braces.filter("token = '{'").select("copy", "digest", "depth", "nth", F.col("pos").alias("at"), F.col("chars").alias("first"))
+    closed = braces.filter("token = '}'").select("copy", "depth", "nth", F.col("chars").alias("last_char"))
+    spans = heads.join(opened, ["copy", "depth", "at"]).join(closed, ["copy", "depth", "nth"])
+    spans = spans.select("digest", "at", "first", "last_char", "name", "signature", F.coalesce(F.nullif("later", F.lit("")), "lead").alias("doc")).distinct()
     # Bodies are cut out of the text by character positions: no token meets every function of its file.
     whole = files.filter(F.col("content").isNotNull()).select("path", F.xxhash64("content").alias("digest"), "content")
     body = F.substring("content", F.col("first"), F.col("last_char") - F.col("first") + 1)
-    x = spans.join(whole, ["path", "digest"])
+    x = spans.join(whole.filter(F.col("path").rlike(r"(?i)\.(tsx?|js|go)$")), "digest")
     return x.select("path", "name", "signature", F.concat("signature", F.lit(" "), body).alias("code"), "doc", "at").distinct()
 
 
