@@ -34,10 +34,9 @@ DRAWN_LIKE_LATIN = {
 #: Invisible characters outside the format category.
 INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0}
 
-#: Documents of one class are linked pair by pair up to this many; a larger class is linked as a star around its first
-#: document of each of two forms, which with `classes` loses no link.
-PAIRWISE_UP_TO = 64
 SALTS = 16
+#: A class, or the copies of one form, of more rows is split into tiles of about so many, paired by different tasks.
+TILE = 500
 
 
 def plain_form(s: str) -> str:
@@ -185,18 +184,51 @@ def groups_of_forms(keyed: DataFrame, id_col: str) -> DataFrame:
     return stored(groups, "groups")
 
 
-def links_between_forms(groups: DataFrame, id_col: str, pairwise_up_to: int = PAIRWISE_UP_TO) -> DataFrame:
-    """Pairs (id_a, id_b), id_a < id_b, of rows in one class with different forms. A class of more rows than
-    `pairwise_up_to` is linked as a star: each row with the class's first row, rows of the first form with the first row
-    of the next form. With `groups` itself, which names each row's class, that loses no link."""
+def pairs_of_key(rows: DataFrame, key: str, id_col: str, size: str) -> DataFrame:
+    """(a, b), a < b: all pairs of the ids of one key, which come once each; `size` counts them. Large keys are paired
+    tile against tile."""
+    x = rows.withColumn("_tiles", F.ceil(F.col(size) / TILE).cast("int"))
+    x = x.withColumn("_tile", F.pmod(F.xxhash64(id_col), F.col("_tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
+    left = x.select(F.col(key).alias("_key"), F.col("_tile").alias("_i"), other.alias("_j"), F.col(id_col).alias("a"))
+    right = x.select(F.col(key).alias("_key"), other.alias("_i"), F.col("_tile").alias("_j"), F.col(id_col).alias("b"))
+    return left.join(right, ["_key", "_i", "_j"]).filter("a < b").select("a", "b")
+
+
+def pairs_of_members(pairs: DataFrame, members: DataFrame, owner: str, id_col: str) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: for each of `pairs` (a, b) of owners every member of one with every member of the
+    other; an owner without rows in `members` (owner, id) stands for itself. Members of large owners are split into tiles."""
+    sizes = members.groupBy(owner).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles")).filter("_tiles > 1")
+    tiles = lambda name: F.coalesce(F.col(name), F.lit(1))
+    m = members.select(owner, id_col).join(sizes, owner, "left").withColumn("_tile", F.pmod(F.xxhash64(id_col), tiles("_tiles")).cast("int"))
+    x = pairs.select("a", "b")
+    for s in "ab":
+        x = x.join(sizes.select(F.col(owner).alias(s), F.col("_tiles").alias(f"_n{s}")), s, "left")
+    for s in "ab":
+        x = x.withColumn(f"_t{s}", F.explode(F.sequence(F.lit(0), tiles(f"_n{s}") - 1)))
+    for s in "ab":
+        side = m.select(F.col(owner).alias(s), F.col("_tile").alias(f"_t{s}"), F.col(id_col).alias(f"_id{s}"))
+        x = x.join(side, [s, f"_t{s}"], "left").withColumn(f"_id{s}", F.coalesce(f"_id{s}", s))
+    x = x.select(F.least("_ida", "_idb").alias(f"{id_col}_a"), F.greatest("_ida", "_idb").alias(f"{id_col}_b"))
+    return x.filter(F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
+
+
+def links_between_forms(groups: DataFrame, id_col: str, pairwise_up_to: int | None = None) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of rows in one class with different forms: all of them. Forms are paired first,
+    then their rows, so exact copies are never compared.
+
+    Only where `pairwise_up_to` is given, a class of more rows is linked as a star instead: each row with the class's
+    first row, rows of the first form with the first row of the next form."""
     g = groups.filter("n_forms > 1")
-    few = g.filter(F.col("n_documents") <= pairwise_up_to)
-    a, b = (few.select("class_id", F.col(id_col).alias(f"{id_col}_{s}"), F.col("form_id").alias(f"_f{s}")) for s in "ab")
-    near = a.join(b, "class_id").filter((F.col("_fa") != F.col("_fb")) & (F.col(f"{id_col}_a") < F.col(f"{id_col}_b")))
+    few = g if pairwise_up_to is None else g.filter(F.col("n_documents") <= pairwise_up_to)
+    forms = pairs_of_key(few.select("class_id", "form_id", "n_forms").distinct(), "class_id", "form_id", "n_forms")
+    near = pairs_of_members(forms, few, "form_id", id_col)
+    if pairwise_up_to is None:
+        return near.distinct()
     many = g.filter(F.col("n_documents") > pairwise_up_to)
     second = many.filter("form_id != class_id").groupBy("class_id").agg(F.min("form_id").alias("_second"))
     second = second.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     star = many.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(second, ["class_id", "_salt"])
     other = F.when(F.col("form_id") == F.col("class_id"), F.col("_second")).otherwise(F.col("class_id"))
     far = star.select(F.least(id_col, other).alias(f"{id_col}_a"), F.greatest(id_col, other).alias(f"{id_col}_b"))
-    return near.select(f"{id_col}_a", f"{id_col}_b").unionByName(far).distinct()
+    return near.unionByName(far).distinct()

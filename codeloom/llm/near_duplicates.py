@@ -225,7 +225,7 @@ def pairs_of_records(links: DataFrame, copies: DataFrame, pairwise_up_to: int =
     `copies` loses no link."""
     member = copies.filter("n_documents > 1").select("id", "class_id", "n_documents")
     # Copies of one class: as different forms of one key.
-    inside = links_between_forms(member.select("id", "class_id", F.col("id").alias("form_id"), "n_documents", F.lit(2).alias("n_forms")), "id", pairwise_up_to)
+    inside = links_between_forms(member.select("id", "class_id", F.col("id").alias("form_id"), "n_documents", F.col("n_documents").alias("n_forms")), "id", pairwise_up_to)
     small = member.filter(F.col("n_documents") <= pairwise_up_to)
     large = member.filter(F.col("n_documents") > pairwise_up_to)
     own = lambda c: F.coalesce(c, F.array().cast("array<string>"))

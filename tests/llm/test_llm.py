@@ -310,6 +310,20 @@ def test_hot_class_of_documents(spark):
     assert star <= all_ and len(star) <= 300 and _groups(star, ids) == _groups(all_, ids)
 
 
+def test_every_pair_of_a_large_class_of_documents(spark, monkeypatch):
+    """However large a class, by copies or by forms, every pair of different texts comes out, tile by tile or not."""
+    rows = [(i, "same text") for i in range(60)] + [(100 + i, f"same{s}text") for i, s in enumerate("\u00a0\u2003\u3000" * 30)]
+    rows += [(300 + i, f"many{chr(0x200B) * i}forms") for i in range(70)] + [(400, "alone")]
+    text = dict(rows)
+    key = lambda i: 0 if i < 300 else 1 if i < 400 else 2
+    want = {(a, b) for a in text for b in text if a < b and key(a) == key(b) and text[a] != text[b]}
+    g = K.classes_of_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    for tile in (K.TILE, 7):
+        monkeypatch.setattr(K, "TILE", tile)
+        got = [(r.doc_id_a, r.doc_id_b) for r in K.links_between_forms(g, "doc_id").collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_lookalike_classes_are_transitive():
     c = K.lookalike_classes({"ё": 5, "е\u0308": 1, "ｅ": 2, "е": 9, "ﬁ": 1, "\u200b": 3})
     assert c["ë"] == c["е\u0308"] == "ё" and c["ｅ"] == c["е"] == "e" and c["ﬁ"] == "fi" and c["\u200b"] == ""
