@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from codeloom.io import broadcast_if, stored
 
-from .lookalikes import SALTS, groups_of_forms, links_between_forms
+from .lookalikes import SALTS, groups_of_forms, pairs_of_key, pairs_of_members
 
 SHINGLE, MIN_TOKENS, SIMILARITY = 3, 40, 0.6
 BANDS, ROWS, AGREE = 36, 3, 2
@@ -36,8 +36,6 @@ DF_BUCKETS = 1 << 18
 #: A bucket of more members is split into tiles of about so many.
 TILE = 500
 BROADCAST_ROWS = 1_000_000
-#: Classes of copies are expanded into pairs up to this many members, else linked as a star.
-PAIRWISE_UP_TO = 64
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 
 
@@ -219,28 +217,24 @@ def near_duplicates(components: DataFrame, similarity: float = SIMILARITY) -> tu
     return stored(verified(candidate_pairs(bands, similarity), sets, idf, similarity), "links"), copies
 
 
-def pairs_of_records(links: DataFrame, copies: DataFrame, pairwise_up_to: int = PAIRWISE_UP_TO) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, over all records. Classes of copies up to `pairwise_up_to` are expanded into pairs; of
-    larger ones each member is linked with the first record of its own class and of every linked class, which with
-    `copies` loses no link."""
+def pairs_of_records(links: DataFrame, copies: DataFrame, pairwise_up_to: int | None = None) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, over all records: all pairs within each class of copies, and for each link all pairs
+    between its two classes.
+
+    Only where `pairwise_up_to` is given, classes of more members are not expanded: each member is linked with the first
+    record of its own class and of every linked class."""
     member = copies.filter("n_documents > 1").select("id", "class_id", "n_documents")
-    # Copies of one class: as different forms of one key.
-    inside = links_between_forms(member.select("id", "class_id", F.col("id").alias("form_id"), "n_documents", F.col("n_documents").alias("n_forms")), "id", pairwise_up_to)
-    small = member.filter(F.col("n_documents") <= pairwise_up_to)
+    small = member if pairwise_up_to is None else member.filter(F.col("n_documents") <= pairwise_up_to)
+    inside = pairs_of_key(small, "class_id", "id", "n_documents").toDF("id_a", "id_b")
+    across = pairs_of_members(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), small, "class_id", "id")
+    if pairwise_up_to is None:
+        return inside.unionByName(across).distinct()
     large = member.filter(F.col("n_documents") > pairwise_up_to)
-    own = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    lists = small.groupBy("class_id").agg(F.collect_list("id").alias("ids"))  # at most pairwise_up_to ids
-    x = links.select("id_a", "id_b")
-    for side in ("a", "b"):
-        ids = lists.select(F.col("class_id").alias(f"id_{side}"), F.col("ids").alias(f"ids_{side}"))
-        x = x.join(ids, f"id_{side}", "left")
-    for side in ("a", "b"):
-        x = x.withColumn(f"id_{side}_", F.explode(F.array_union(F.array(f"id_{side}"), own(F.col(f"ids_{side}")))))
-    across = x.select(F.least("id_a_", "id_b_").alias("id_a"), F.greatest("id_a_", "id_b_").alias("id_b"))
     both = links.select(F.col("id_a").alias("class_id"), F.col("id_b").alias("other")).union(links.select("id_b", "id_a"))
+    both = both.unionByName(large.select("class_id", F.col("class_id").alias("other")).distinct())
     both = both.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     star = large.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(both, ["class_id", "_salt"])
-    star = star.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+    star = star.filter("id <> other").select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
     return inside.unionByName(across).unionByName(star).distinct()
 
 

@@ -171,6 +171,19 @@ def test_hot_group_of_near_duplicates(spark, monkeypatch):
     assert {(a, b) for a, b in want if not a.startswith("hot")} <= got
 
 
+def test_every_pair_of_a_large_class_of_copies(spark, monkeypatch):
+    """Copies that differ in white space, in two linked classes of which one is large: every pair comes out."""
+    hot = [f"h{i}" for i in range(60)]
+    s = {f"a{i:03d}": (" " * (i % 9 + 1)).join(hot) for i in range(90)} | {f"b{i}": "\n".join([*hot, *["x"] * i]) for i in range(1, 3)} | {"c1": " ".join(hot) + " x"}
+    links, copies = N.near_duplicates(_components(spark, s))
+    want = _brute(s)
+    assert len(want) == 93 * 92 // 2
+    for tile in (K.TILE, 7):
+        monkeypatch.setattr(K, "TILE", tile)
+        got = [(r.id_a, r.id_b) for r in N.pairs_of_records(links, copies).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 # ---- 5 ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("text", ["x" * 5001, "a b" * 3000, "\n" * 4100, "😀" * 2001, "word " * 401, "def f():\n    return 1\n\n" * 500, "a\r\n" * 1999 + "\x00" * 10])
 def test_pieces(text):
