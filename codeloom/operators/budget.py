@@ -1,6 +1,7 @@
 """Token-budgeted output of ranked results: how much of a ranking fits, and in how much detail.
 
-Rankings are cut to `most` rows first, so each group that is folded is bounded. Ranks are unique; null texts cost nothing.
+No row is dropped before the budget is applied. The only fold, in `adaptive_cut`, is bounded by the budget itself. Ranks
+are unique; null texts cost nothing.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ def detail_level(rank: Column, remaining: Column | None = None, full: int = 3, s
     return F.when((rank < full) & enough(full_needs), "full").when((rank < full + signature) & enough(signature_needs), "signature").otherwise("minimal")
 
 
-def rank_rows(df: DataFrame, by: list[str], order: list[Column], most: int = 50) -> DataFrame:
-    """df with `rank` from 0 within each group, cut to `most` rows a group (Spark cuts before the shuffle, too)."""
+def rank_rows(df: DataFrame, by: list[str], order: list[Column], most: int | None = None) -> DataFrame:
+    """df with `rank` from 0 within each group; with `most`, cut to so many rows a group, as a search result is."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < most)
+    ranked = df.withColumn("rank", F.row_number().over(w) - 1)
+    return ranked if most is None else ranked.filter(F.col("rank") < most)
 
 
 def budget_cut(ranked: DataFrame, by: list[str], tokens: str, budget: int) -> DataFrame:
@@ -33,9 +35,13 @@ def budget_cut(ranked: DataFrame, by: list[str], tokens: str, budget: int) -> Da
 
 def adaptive_cut(ranked: DataFrame, by: list[str], forms: dict[str, str], budget: int) -> DataFrame:
     """The rows that fit when each one's form depends on its rank and on what is left: forms names the token columns of
-    'full', 'signature' and 'minimal'. A fold over each group's bounded, ordered array."""
+    'full', 'signature' and 'minimal'. A fold over each group's ordered array, which ends where even the cheapest forms
+    exceed the budget: no row after that can fit, so the result is the same. Rows that cost nothing stay in it."""
+    least = F.least(*[F.coalesce(c, F.lit(0)) for c in forms.values()])
+    spent = F.sum(least).over(Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    may_fit = ranked.withColumn("_spent", spent).filter((F.col("_spent") <= budget) | (F.col("rank") == 0)).drop("_spent")
     row = F.struct("rank", *[F.col(c).alias(f"_{k}") for k, c in forms.items()], F.struct(*[c for c in ranked.columns if c not in by]).alias("row"))
-    g = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("k"), row.alias("r")))).alias("rows"))
+    g = may_fit.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("k"), row.alias("r")))).alias("rows"))
     kept_type = "array<struct<rank:int,level:string,tokens:bigint>>"
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(False).alias("over"), F.array().cast(kept_type).alias("kept"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import classes as C
 from codeloom.functions import text as T
+from codeloom.operators import budget as B
 from codeloom.operators import files as Fi
 from codeloom.operators import metrics as M
 from codeloom.operators import requests as R
@@ -227,3 +228,29 @@ def test_rate_limit(spark, tmp_path):
         want[i] = tokens >= 1
         bucket[k] = (tokens - want[i], at)
     assert got == want and 0 < sum(got.values()) < 200
+
+
+def test_budgets_see_every_row_of_a_large_file(spark, tmp_path):
+    """A file of 400 components: detail levels have no limit, and the cuts stop at the budget only."""
+    from codeloom.plans import budget as P
+
+    n = 400
+    rows = [(f"i{k:03d}", "a.ts", "function", "f", k, "f()", None) for k in range(n)] + [("z", "b.ts", "function", "f", 1, "f()", "word " * 3000)]
+    c = spark.createDataFrame(rows, "id string, file string, type string, name string, start_line long, signature string, snippet string")
+    c.write.parquet(f"{tmp_path}/components.parquet")
+    level = lambda k: "full" if k < 3 else "signature" if k < 7 else "minimal"
+    assert {(r.id, r["rank"], r.level) for r in P.detail_levels(spark, str(tmp_path)).collect()} == {(r[0], r[4], level(r[4])) for r in rows[:n]} | {("z", 0, "full")}
+    ranked = {r.id: r for r in P._ranked(spark, str(tmp_path)).collect()}
+    cut, adaptive, used, spent = {"z"}, {("z", "full")}, 0, 0
+    for k in range(n):
+        r = ranked[f"i{k:03d}"]
+        used += r.t_full
+        left = P.BUDGET - spent
+        form = "full" if k < 3 and left > 300 else "signature" if k < 7 and left > 100 else "minimal"
+        spent += r[f"t_{form}"]
+        cut |= {r.id} if used <= P.BUDGET else set()
+        adaptive |= {(r.id, form)} if spent <= P.BUDGET else set()
+    assert len(cut) > 60 and len(adaptive) > 60
+    assert {r.id for r in P.token_budget_cut(spark, str(tmp_path)).collect()} == cut
+    assert {(r.id, r.level) for r in P.token_budget_adaptive(spark, str(tmp_path)).collect()} == adaptive
+    assert B.rank_rows(c, ["file"], [F.col("id")], 50).count() == 51
