@@ -6,6 +6,9 @@ window of twelve test words the rarest term's list is read first and adjusted by
 neighbouring terms cut it down, then those of all other terms of the item are intersected at their offsets. Runs of
 consecutive offsets are exact phrase matches; many offsets within a short span without such a run are proximity matches.
 
+Proximity matches have candidates of their own, by runs of three item words (triples): of a span of NEAR_SPAN words at
+most six are not matched, which leave at most seven runs of 18 words or more together, and these hold at least four triples.
+
 The test set is bounded by its nature; its size is checked before its tables are broadcast. Candidates are broadcast
 only after they were counted; beyond the limit the same join shuffles. No document list is collected, none is cut off.
 
@@ -29,10 +32,16 @@ from codeloom.io import bounded_rows, broadcast_if, stored
 from .lookalikes import rewriter, strings_and_classes
 
 PHRASE_WORDS = 12
-#: A proximity match: so many item words at their places within a span of so many, without a whole phrase.
-NEAR_WORDS, NEAR_SPAN = 18, 24
+#: A proximity match: so many item words within a span of so many, without a whole phrase. They stand at their places
+#: from one shift, or in runs of TRIPLE or more at shifts that differ by up to NEAR_SHIFT words, which a word put in,
+#: left out or moved makes.
+NEAR_WORDS, NEAR_SPAN, NEAR_SHIFT, TRIPLE = 18, 24, 3, 3
+#: A proximity match holds at least so many triples at shifts within NEAR_SHIFT.
+NEAR_TRIPLES = NEAR_WORDS - (TRIPLE - 1) * (NEAR_SPAN - NEAR_WORDS + 1)
 #: Most rows of a table that is broadcast: test terms and candidates. More are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Most different triples of a test set: eight bytes each, in every task.
+MAX_TRIPLES = 4_000_000
 #: Test sets of more rows than this are read in blocks of it by the caller.
 MAX_ITEMS = 100_000
 #: A phrase of twelve words has six or more on one side of any of its words; three of them are digested.
@@ -54,9 +63,12 @@ def item_words(items: DataFrame, classes: dict[str, str]) -> DataFrame:
     return x.select("item_id", F.posexplode("w").alias("off", "word"))
 
 
-def postings(docs: DataFrame, terms: dict[str, int], classes: dict[str, str]) -> DataFrame:
-    """(term, doc_id, pos, before, after) of every occurrence of a test term in `docs`; before and after digest the three
-    words on that side, where -1 stands for any word that is no test term. One pass over the texts, whole."""
+def postings(docs: DataFrame, terms: dict[str, int], classes: dict[str, str], triples: np.ndarray) -> DataFrame:
+    """(term, doc_id, pos, before, after, triple) of every occurrence of a test term in `docs`; before and after digest
+    the three words on that side, where -1 stands for any word that is no test term; triple is the key of the word and
+    the next two if it is among `triples` (sorted), else null. One pass over the texts, whole."""
+    base = len(terms) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(triples)
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(classes)
@@ -72,6 +84,13 @@ def postings(docs: DataFrame, terms: dict[str, int], classes: dict[str, str]) ->
             begin = np.array([*starts, len(ids) + 1])
             where = np.flatnonzero(at >= 0)
             doc = np.searchsorted(begin, where, "right") - 1
+            known = shared.value
+            key = (at[where] * base + at[where + 1]) * base + at[where + 2]
+            found = (at[where + 1] >= 0) & (at[where + 2] >= 0)
+            if len(known):
+                found &= known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+            else:
+                found[:] = False
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(at[where].astype(np.int32)),
@@ -79,12 +98,13 @@ def postings(docs: DataFrame, terms: dict[str, int], classes: dict[str, str]) ->
                     pa.array((where - begin[doc]).astype(np.int32)),
                     pa.array(side(-1).astype(np.int32)),
                     pa.array(side(1).astype(np.int32)),
+                    pa.array(key, pa.int64(), mask=~found),
                 ],
-                names=["term", "doc_id", "pos", "before", "after"],
+                names=["term", "doc_id", "pos", "before", "after", "triple"],
             )
 
     x = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    return x.mapInArrow(segment, "term int, doc_id long, pos int, before int, after int")
+    return x.mapInArrow(segment, "term int, doc_id long, pos int, before int, after int, triple long")
 
 
 def digest(step, window):
@@ -92,9 +112,51 @@ def digest(step, window):
     return F.pmod(sum((F.coalesce(step("term", i + 1).over(window), F.lit(-1)).cast("long") + 1) * f for i, f in enumerate(DIGEST)), F.lit(DIGEST_BELOW)).cast("int")
 
 
-def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS) -> DataFrame:
+def triples_of(query: DataFrame, n_terms: int) -> DataFrame:
+    """(item_id, off, triple) of every three consecutive words of an item (item_id, off, term), keyed as in `postings`."""
+    w = Window.partitionBy("item_id").orderBy("off")
+    key = F.col("term").cast("long")
+    for i in (1, 2):
+        key = key * F.lit(n_terms + 1) + F.lead("term", i).over(w)
+    return query.select("item_id", "off", key.alias("triple")).filter("triple is not null")
+
+
+def near_shifts(index: DataFrame, triples: DataFrame) -> DataFrame:
+    """(doc_id, item_id, shift) of the shifts whose triples, with those up to NEAR_SHIFT words on, reach NEAR_TRIPLES."""
+    hits = (
+        index.filter("triple is not null")
+        .select("doc_id", "pos", "triple")
+        .join(triples, "triple")
+        .groupBy("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("shift"))
+        .agg(F.count("*").alias("n"))
+    )
+    band = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    enough = hits.withColumn("n", F.sum("n").over(band.rangeBetween(0, NEAR_SHIFT)))
+    # A shift belongs to the bands that begin up to NEAR_SHIFT words before it.
+    best = F.max("n").over(band.rangeBetween(-NEAR_SHIFT, 0))
+    return enough.withColumn("n", best).filter(F.col("n") >= NEAR_TRIPLES).select("doc_id", "item_id", "shift")
+
+
+def bands_of_runs(runs: DataFrame) -> DataFrame:
+    """(doc_id, item_id, band_matched, band_near) of runs (doc_id, item_id, shift, first, run): the most item words in
+    runs of TRIPLE or more at shifts within NEAR_SHIFT, and the most of them within NEAR_SPAN."""
+    long = runs.filter(F.col("run") >= TRIPLE)
+    band = F.explode(F.sequence(F.col("shift") - NEAR_SHIFT, F.col("shift")))
+    words = long.withColumn("band", band).select("doc_id", "item_id", "band", F.explode(F.expr("sequence(first, first + run - 1)")).alias("off")).distinct()
+    line = Window.partitionBy("doc_id", "item_id", "band").orderBy(F.col("off").cast("long"))
+    return (
+        words.withColumn("near", F.count("*").over(line.rangeBetween(0, NEAR_SPAN - 1)))
+        .groupBy("doc_id", "item_id", "band")
+        .agg(F.count("*").alias("n"), F.max("near").alias("near"))
+        .groupBy("doc_id", "item_id")
+        .agg(F.max("n").alias("band_matched"), F.max("near").alias("band_near"))
+    )
+
+
+def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS, proximity: bool = True) -> DataFrame:
     """One row per document and item: doc_id, item_id, longest_run, matched_words (most of the item's words at one
-    alignment), match_kind 'phrase' (a run of at least `phrase`) or 'proximity'."""
+    alignment, or in runs of three at alignments within NEAR_SHIFT words), match_kind 'phrase' (a run of at least
+    `phrase`) or 'proximity'. Without `proximity` phrases only, matched at one alignment."""
     spark = docs.sparkSession
     classes = strings_and_classes(docs, items)
     query = item_words(items, classes)
@@ -102,7 +164,6 @@ def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS) -> Data
     if vocabulary is None:
         raise ValueError(f"the test set has more than {MAX_ITEMS} different words: pass it in blocks")
     terms = {r.word: i for i, r in enumerate(sorted(vocabulary))}
-    index = stored(postings(docs, terms, classes), "postings", sort_by=["term", "doc_id"])
     numbers = spark.createDataFrame(list(terms.items()), "word string, term int")
     by_item = Window.partitionBy("item_id").orderBy("off")
     query = stored(
@@ -112,6 +173,15 @@ def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS) -> Data
         "items",
     )
     n_query = query.count()
+    keys = np.empty(0, np.int64)
+    if proximity:
+        triples = triples_of(query, len(terms))
+        rows = bounded_rows(triples.select("triple").distinct(), MAX_TRIPLES)
+        if rows is None:
+            raise ValueError(f"the test set has more than {MAX_TRIPLES} different runs of three words: pass it in blocks")
+        keys = np.array(sorted(r.triple for r in rows), np.int64)
+        triples = broadcast_if(triples, n_query, BROADCAST_ROWS)
+    index = stored(postings(docs, terms, classes, keys), "postings", sort_by=["term", "doc_id"])
     query = broadcast_if(query, n_query, BROADCAST_ROWS)
     frequency = index.groupBy("term").agg(F.count("*").alias("n"))
     # The rarest term of each window of `phrase` words; overlapping windows mostly share it.
@@ -125,13 +195,15 @@ def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS) -> Data
         .join(query, ["item_id", "off"])
     )
     anchors = broadcast_if(anchors, n_query, BROADCAST_ROWS)
-    candidates = stored(
+    candidates = (
         index.join(anchors, "term")
         .filter((F.col("before") == F.col("terms_before")) | (F.col("after") == F.col("terms_after")))
         .select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("shift"))
-        .distinct(),
-        "candidates",
+        .distinct()
     )
+    if proximity:
+        candidates = candidates.unionByName(near_shifts(index, triples)).distinct()
+    candidates = stored(candidates, "candidates")
     chosen = broadcast_if(candidates, candidates.count(), BROADCAST_ROWS)
     # Intersect: every term of the item at its own offset from the same shift. Salting isn't needed: a document's
     # postings are bounded by its text.
@@ -148,19 +220,27 @@ def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS) -> Data
         met.withColumn("island", F.col("off") - F.row_number().over(line))
         .withColumn("near", F.count("*").over(line.rangeBetween(0, NEAR_SPAN - 1)))
         .groupBy("doc_id", "item_id", "shift", "island")
-        .agg(F.count("*").alias("run"), F.max("near").alias("near"))
-        .groupBy("doc_id", "item_id", "shift")
+        .agg(F.min("off").alias("first"), F.count("*").cast("int").alias("run"), F.max("near").alias("near"))
+    )
+    if proximity:
+        runs = stored(runs, "runs")
+    found = (
+        runs.groupBy("doc_id", "item_id", "shift")
         .agg(F.max("run").alias("run"), F.sum("run").alias("matched"), F.max("near").alias("near"))
         .groupBy("doc_id", "item_id")
-        .agg(F.max("run").alias("longest_run"), F.max("matched").alias("matched_words"), F.max("near").alias("near"))
+        .agg(F.max("run").cast("long").alias("longest_run"), F.max("matched").alias("matched_words"), F.max("near").alias("near"))
     )
+    if not proximity:
+        return found.filter(F.col("longest_run") >= phrase).drop("near").withColumn("match_kind", F.lit("phrase"))
+    found = found.join(bands_of_runs(runs), ["doc_id", "item_id"], "left")
+    found = found.withColumns({"matched_words": F.greatest("matched_words", "band_matched"), "near": F.greatest("near", "band_near")}).drop("band_matched", "band_near")
     kind = F.when(F.col("longest_run") >= phrase, "phrase").when(F.col("near") >= NEAR_WORDS, "proximity")
-    return runs.withColumn("match_kind", kind).filter("match_kind is not null").drop("near")
+    return found.withColumn("match_kind", kind).filter("match_kind is not null").drop("near")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per item that leaked: how many documents hold a phrase of it, and the longest run of its words."""
-    hits = leaks(docs, items).filter("match_kind = 'phrase'")
+    hits = leaks(docs, items, proximity=False)
     return (
         hits.groupBy("item_id")
         .agg(F.countDistinct("doc_id").alias("n_documents"), F.max("longest_run").alias("longest_run"))

@@ -299,6 +299,25 @@ def test_leaks(spark):
     assert {r.item_id for r in L.leaked_items(d, e).collect()} == {j for _, j in want}
 
 
+def test_near_passages(spark):
+    """Changed words beside every anchor, and words put in, left out or moved, which split a passage over shifts."""
+    w = [f"item{i}" for i in range(24)]
+    d = {
+        1: [x if k % 4 != 3 else "other" for k, x in enumerate(w)],  # 18 of 24 in runs of three
+        2: w[:11] + ["more"] + w[11:22],  # 11 + 11 at two shifts
+        3: w[:10] + w[12:22],  # 10 + 10, two left out
+        4: w[:9] + ["more"] + w[9:15] + w[18:],  # three runs at three shifts
+        5: w[:11] + ["far"] * 9 + w[11:22],  # the shifts are too far apart
+        6: w[:8] + ["other"] * 8 + w[16:],  # too few
+        7: w[3:16],  # a phrase
+    }
+    items = spark.createDataFrame([(1, "s", "k", " ".join(w))], "item_id long, suite string, kind string, text string")
+    docs = [(i, " ".join(["pad"] * i + x)) for i, x in d.items()] + [(100 + i, f"{' '.join(w)} {i}") for i in range(3)]
+    got = {r.doc_id: (r.match_kind, r.matched_words, r.longest_run) for r in L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    near = {1: ("proximity", 18, 3), 2: ("proximity", 22, 11), 3: ("proximity", 20, 10), 4: ("proximity", 21, 9)}
+    assert got == near | {7: ("phrase", 13, 13)} | {100 + i: ("phrase", 24, 24) for i in range(3)}
+
+
 # ---- 9 ----------------------------------------------------------------------------------------------------------
 def test_consistent_form(spark):
     pairs = [("résumé", "re\u0301sume\u0301"), ("file", "ﬁle"), ("abc １", "ａｂｃ 1"), ("a b", "a\u00a0b"), ("cope", "соре"), ("co\u200bpe\u00ad", "cope"), ("É", "\uff25\u200d\u0301"), ("x²", "x2"), ("Οmega", "Omega")]
