@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most bytes of a table that is broadcast, as measured before it is.
+BROADCAST_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{base}/{name}.parquet")
@@ -41,6 +45,16 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """A broadcast hint only where the counted rows are within the limit."""
-    return F.broadcast(df) if rows <= limit else df
+def broadcast_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint only where the measured bytes of df are within the limit; beyond it the same join shuffles. df is
+    read once more to be measured, so it should be a stored table."""
+    sizes = []
+    for name, kind in df.dtypes:
+        if kind == "string" or kind == "binary":
+            sizes.append(F.coalesce(F.octet_length(name), F.lit(0)) + 16)
+        elif kind.startswith("array"):
+            sizes.append(F.coalesce(F.size(name), F.lit(0)) * 16 + 16)
+        else:
+            sizes.append(F.lit(16))
+    total = df.agg(F.coalesce(F.sum(sum(sizes[1:], sizes[0]).cast("long")), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if total <= limit else df
