@@ -7,7 +7,8 @@ Each record's samples form bands of `ROWS`; two records are candidates if they s
 are verified exactly: the weighted similarity is reported, and pairs below the wanted Jaccard similarity are dropped.
 
 Records with the same tokens are copies: one of each class is sampled and compared, and membership comes beside it.
-Buckets are never cut: a large one is split into tiles that are compared tile against tile by different tasks.
+Buckets are never cut: a large one is split into tiles that are compared tile against tile by different tasks. What goes
+to every task is either of fixed size (document frequencies) or broadcast only after its bytes were measured.
 
 Defined results: null and short snippets (fewer than `MIN_TOKENS` tokens) take part in nothing; rows delivered twice
 count once; an id that comes with different snippets keeps the least of them.
@@ -20,12 +21,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.io import broadcast_if, stored
+from codeloom.io import broadcast_small, stored
 
 from .lookalikes import SALTS, groups_of_forms, pairs_of_key, pairs_of_members
 
@@ -35,7 +35,6 @@ BANDS, ROWS, AGREE = 36, 3, 2
 DF_BUCKETS = 1 << 18
 #: A bucket of more members is split into tiles of about so many.
 TILE = 500
-BROADCAST_ROWS = 1_000_000
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 
 
@@ -70,10 +69,10 @@ def shingle_sets(records: DataFrame) -> DataFrame:
                 ids.append(key)
                 forms.append(_digest("\n".join(words), 16).hex())
                 out.append(u)
-                counts.append(np.minimum(n, 32767).astype(np.int16))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(forms, pa.string()), _lists(out, pa.int32()), _lists(counts, pa.int16())], names=["id", "form", "shingles", "tf"])
+                counts.append(n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(forms, pa.string()), _lists(out, pa.int32()), _lists(counts, pa.int32())], names=["id", "form", "shingles", "tf"])
 
-    return records.mapInArrow(sets, f"id {dict(records.dtypes)['id']}, form string, shingles array<int>, tf array<smallint>")
+    return records.mapInArrow(sets, f"id {dict(records.dtypes)['id']}, form string, shingles array<int>, tf array<int>")
 
 
 def _digest(text: str, size: int = 8) -> bytes:
@@ -86,26 +85,22 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def document_frequencies(sets: DataFrame) -> tuple[np.ndarray, int]:
-    """How many records hold a shingle of each bucket, and how many records there are. Each task sends its table in
-    blocks; blocks are added up on Spark; the driver receives DF_BUCKETS numbers."""
-    block = 1 << 10
+    """How many records hold a shingle of each bucket, and how many records there are. Each task counts its records in a
+    table of DF_BUCKETS numbers and sends those that aren't 0; they are added up by bucket, combined before and behind the
+    shuffle, so no task holds more than its share of the buckets. The driver receives DF_BUCKETS numbers at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DF_BUCKETS, np.int64), 0
+        total = np.zeros(DF_BUCKETS + 1, np.int64)  # the last counts records
         for b in batches:
-            total += np.bincount(b.column(0).flatten().to_numpy().view(np.uint32) % DF_BUCKETS, minlength=DF_BUCKETS)
-            n += len(b)
-        rows = list(total.reshape(-1, block)) + [np.array([n], np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), _lists(rows, pa.int64())], names=["block", "n"])
+            total[:-1] += np.bincount(b.column(0).flatten().to_numpy().view(np.uint32) % DF_BUCKETS, minlength=DF_BUCKETS)
+            total[-1] += len(b)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    def add(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": p["block"].iloc[:1], "n": [np.sum(np.stack(p["n"].to_list()), 0)]})
-
-    rows = sets.select("shingles").mapInArrow(count, "block int, n array<long>").groupBy("block").applyInPandas(add, "block int, n array<long>").collect()
-    by = {r.block: r.n for r in rows}
-    if not by:
-        return np.zeros(DF_BUCKETS), 0
-    return np.concatenate([by[i] for i in range(DF_BUCKETS // block)]).astype(float), int(by[DF_BUCKETS // block][0])
+    rows = sets.select("shingles").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(DF_BUCKETS + 1)
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out[:-1], int(out[-1])
 
 
 def idf_table(df: np.ndarray, n: int) -> np.ndarray:
@@ -165,7 +160,7 @@ def band_keys(sets: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
 def candidate_pairs(bands: DataFrame, similarity: float = SIMILARITY, agree: int = AGREE) -> DataFrame:
     """(a, b), a < b: records that share at least `agree` bands and whose sizes allow the similarity."""
     sizes = stored(bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
-    sizes = broadcast_if(sizes, sizes.count(), BROADCAST_ROWS)
+    sizes = broadcast_small(sizes)
     x = bands.join(sizes, "key").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
     x = x.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -182,7 +177,7 @@ def verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, similarity: flo
     pairs = stored(pairs, "candidates")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     ids = stored(ids, "candidate-ids")
-    few = stored(sets.join(broadcast_if(ids, ids.count(), BROADCAST_ROWS), "id", "left_semi"), "candidate-sets")
+    few = stored(sets.join(broadcast_small(ids), "id", "left_semi"), "candidate-sets")
     a, b = (few.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}"), F.col("tf").alias(f"t{s}")) for s in "ab")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,42 +205,34 @@ def near_duplicates(components: DataFrame, similarity: float = SIMILARITY) -> tu
     sets = stored(shingle_sets(functions_once(components)), "sets")
     copies = groups_of_forms(sets.select("id", F.col("form").alias("key"), F.col("id").alias("form")), "id")
     idf = idf_table(*document_frequencies(sets))
-    bands = stored(band_keys(sets, idf), "bands")
-    # Only the first record of a class is compared.
-    others = copies.filter("id <> class_id").select("id")
-    bands = bands.join(broadcast_if(others, others.count(), BROADCAST_ROWS), "id", "left_anti")
+    # Only the first record of a class is sampled and compared.
+    others = stored(copies.filter("id <> class_id").select("id"), "copies")
+    first = sets.join(broadcast_small(others), "id", "left_anti")
+    bands = stored(band_keys(first, idf), "bands")
     return stored(verified(candidate_pairs(bands, similarity), sets, idf, similarity), "links"), copies
 
 
-def pairs_of_records(links: DataFrame, copies: DataFrame, pairwise_up_to: int | None = None) -> DataFrame:
+def pairs_of_records(links: DataFrame, copies: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b, over all records: all pairs within each class of copies, and for each link all pairs
-    between its two classes.
-
-    Only where `pairwise_up_to` is given, classes of more members are not expanded: each member is linked with the first
-    record of its own class and of every linked class."""
+    between its two classes, whatever their sizes, tile by tile."""
     member = copies.filter("n_documents > 1").select("id", "class_id", "n_documents")
-    small = member if pairwise_up_to is None else member.filter(F.col("n_documents") <= pairwise_up_to)
-    inside = pairs_of_key(small, "class_id", "id", "n_documents").toDF("id_a", "id_b")
-    across = pairs_of_members(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), small, "class_id", "id")
-    if pairwise_up_to is None:
-        return inside.unionByName(across).distinct()
-    large = member.filter(F.col("n_documents") > pairwise_up_to)
-    both = links.select(F.col("id_a").alias("class_id"), F.col("id_b").alias("other")).union(links.select("id_b", "id_a"))
-    both = both.unionByName(large.select("class_id", F.col("class_id").alias("other")).distinct())
-    both = both.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    star = large.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(both, ["class_id", "_salt"])
-    star = star.filter("id <> other").select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
-    return inside.unionByName(across).unionByName(star).distinct()
-
-
-def linked_classes(links: DataFrame, copies: DataFrame, rounds: int = 50) -> DataFrame:
-    """One row per record: id, class_id (the least id it is linked to, directly or not), n_links (links of its text).
-
-    Labels move to the least neighbour's label and on to that label's own until nothing changes; each round is a join
-    and an aggregate, written to the shared folder."""
+    inside = pairs_of_key(member, "class_id", "id", "n_documents").toDF("id_a", "id_b")
+    across = pairs_of_members(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), member, "class_id", "id")
+    return inside.unionByName(across).distinct()
+
+
+def linked_classes(links: DataFrame, copies: DataFrame) -> DataFrame:
+    """One row per record: id, class_id (the first of its copies), n_copies (records of that class), component_id (the
+    least id it is linked to, directly or not) and n_links: how many records it is paired with, which are its copies and
+    the members of all classes linked with its own.
+
+    Labels move to the least neighbour's label and on to that label's own until nothing changes: labels only fall, so the
+    rounds end. Each is a join and an aggregate, written to the shared folder. With `links`, the rows give back every pair
+    of `pairs_of_records`: two records are paired if their classes are the same or linked."""
     edges = stored(links.select("id_a", "id_b").union(links.select("id_b", "id_a")).toDF("x", "y"), "edges")
     label = stored(edges.groupBy("x").agg(F.least("x", F.min("y")).alias("l")), "labels")
-    for _ in range(rounds):
+    changed = 1
+    while changed:
         seen = edges.join(label.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m"))
         step = label.join(seen, "x").select("x", F.least("l", "m").alias("l"), F.col("l").alias("was"))
         jump = label.select(F.col("x").alias("l"), F.col("l").alias("ll"))
@@ -253,11 +240,19 @@ def linked_classes(links: DataFrame, copies: DataFrame, rounds: int = 50) -> Dat
         step = stored(step, "labels")
         changed = step.filter("l <> was").limit(1).count()
         label = step.select("x", "l")
-        if not changed:
-            break
-    degree = edges.groupBy("x").agg(F.count("*").alias("n_links"))
-    by_text = label.join(degree, "x").select(F.col("x").alias("form_id"), F.col("l"), "n_links")
-    by_text = by_text.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    x = copies.withColumn("form_id", F.col("class_id")).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    x = x.join(by_text, ["form_id", "_salt"], "left")
-    return x.select("id", F.coalesce("l", "class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sizes = copies.groupBy("class_id").agg(F.count("*").alias("n_copies"))
+    reached = edges.join(sizes.withColumnRenamed("class_id", "y"), "y").groupBy("x").agg(F.sum("n_copies").alias("near"))
+    near = reached.join(label, "x").select(F.col("x").alias("class_id"), "l", "near")
+    classes = sizes.join(near, "class_id", "left").select(
+        "class_id", "n_copies", F.coalesce("l", "class_id").alias("component_id"), (F.col("n_copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")
+    )
+    classes = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    x = copies.select("id", "class_id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    return x.join(classes, ["class_id", "_salt"]).select("id", "class_id", "n_copies", "component_id", "n_links")
+
+
+def classes_of_copies(components: DataFrame) -> DataFrame:
+    """(id, class_id, n_copies): the records with the same tokens, named by the first of them."""
+    sets = shingle_sets(functions_once(components))
+    groups = groups_of_forms(stored(sets.select("id", F.col("form").alias("key"), F.col("id").alias("form")), "forms"), "id")
+    return groups.select("id", "class_id", F.col("n_documents").alias("n_copies"))
