@@ -9,8 +9,10 @@ consecutive offsets are exact phrase matches; many offsets within a short span w
 Proximity matches have candidates of their own, by runs of three item words (triples): of a span of NEAR_SPAN words at
 most six are not matched, which leave at most seven runs of 18 words or more together, and these hold at least four triples.
 
-The test set is bounded by its nature; its size is checked before its tables are broadcast. Candidates are broadcast
-only after they were counted; beyond the limit the same join shuffles. No document list is collected, none is cut off.
+The index holds postings of words that some test item holds; those of other words are never read, so they aren't stored:
+a whole index would take several times the space of the corpus. A test set of more words than a task can hold is taken in
+blocks of items, each with an index of its own, so no test set is too large. Tables are broadcast only after their bytes
+were measured; beyond the limit the same join shuffles. No document list is collected, none is cut off.
 
 Defined results: null or empty texts and items shorter than the phrase length match nothing; rows delivered twice count
 once; terms that occur in no document rule their windows out.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from codeloom.io import bounded_rows, broadcast_if, stored
+from codeloom.io import broadcast_small, stored
 
-from .lookalikes import rewriter, strings_and_classes
+from .lookalikes import classes_of_unicode, rewriter
 
 PHRASE_WORDS = 12
 #: A proximity match: so many item words within a span of so many, without a whole phrase. They stand at their places
@@ -38,12 +41,8 @@ PHRASE_WORDS = 12
 NEAR_WORDS, NEAR_SPAN, NEAR_SHIFT, TRIPLE = 18, 24, 3, 3
 #: A proximity match holds at least so many triples at shifts within NEAR_SHIFT.
 NEAR_TRIPLES = NEAR_WORDS - (TRIPLE - 1) * (NEAR_SPAN - NEAR_WORDS + 1)
-#: Most rows of a table that is broadcast: test terms and candidates. More are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Most different triples of a test set: eight bytes each, in every task.
-MAX_TRIPLES = 4_000_000
-#: Test sets of more rows than this are read in blocks of it by the caller.
-MAX_ITEMS = 100_000
+#: Most words of the test items that are looked for at once: what every task holds of them, and what the driver numbers.
+BLOCK_WORDS = 1_000_000
 #: A phrase of twelve words has six or more on one side of any of its words; three of them are digested.
 SIDE, DIGEST, DIGEST_BELOW = 3, (31_337, 7_919, 104_729), 65_521
 #: A word: a maximal run of letters and digits.
@@ -153,36 +152,35 @@ def bands_of_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS, proximity: bool = True) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS, proximity: bool = True, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and item: doc_id, item_id, longest_run, matched_words (most of the item's words at one
     alignment, or in runs of three at alignments within NEAR_SHIFT words), match_kind 'phrase' (a run of at least
     `phrase`) or 'proximity'. Without `proximity` phrases only, matched at one alignment."""
-    spark = docs.sparkSession
-    classes = strings_and_classes(docs, items)
-    query = item_words(items, classes)
-    vocabulary = bounded_rows(query.select("word").distinct(), MAX_ITEMS)
-    if vocabulary is None:
-        raise ValueError(f"the test set has more than {MAX_ITEMS} different words: pass it in blocks")
-    terms = {r.word: i for i, r in enumerate(sorted(vocabulary))}
+    query = stored(item_words(items, classes_of_unicode()), "item-words")
+    blocks = max(1, -(-query.count() // block_words))
+    found = [_leaks_of(docs, query.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i), phrase, proximity) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _leaks_of(docs: DataFrame, query: DataFrame, phrase: int, proximity: bool) -> DataFrame:
+    """`leaks` of one block of items, given as (item_id, off, word)."""
+    spark, classes = docs.sparkSession, classes_of_unicode()
+    terms = {r.word: i for i, r in enumerate(sorted(query.select("word").distinct().collect()))}
     numbers = spark.createDataFrame(list(terms.items()), "word string, term int")
     by_item = Window.partitionBy("item_id").orderBy("off")
     query = stored(
-        query.join(F.broadcast(numbers), "word").select(
+        query.join(broadcast_small(numbers), "word").select(
             "item_id", "off", "term", *(digest(f, by_item).alias(n) for f, n in ((F.lag, "terms_before"), (F.lead, "terms_after")))
         ),
         "items",
     )
-    n_query = query.count()
     keys = np.empty(0, np.int64)
     if proximity:
-        triples = triples_of(query, len(terms))
-        rows = bounded_rows(triples.select("triple").distinct(), MAX_TRIPLES)
-        if rows is None:
-            raise ValueError(f"the test set has more than {MAX_TRIPLES} different runs of three words: pass it in blocks")
-        keys = np.array(sorted(r.triple for r in rows), np.int64)
-        triples = broadcast_if(triples, n_query, BROADCAST_ROWS)
+        triples = stored(triples_of(query, len(terms)), "triples")
+        keys = np.sort(triples.select("triple").distinct().toArrow().column("triple").to_numpy())
+        triples = broadcast_small(triples)
     index = stored(postings(docs, terms, classes, keys), "postings", sort_by=["term", "doc_id"])
-    query = broadcast_if(query, n_query, BROADCAST_ROWS)
+    query = broadcast_small(query)
     frequency = index.groupBy("term").agg(F.count("*").alias("n"))
     # The rarest term of each window of `phrase` words; overlapping windows mostly share it.
     window = by_item.rowsBetween(0, phrase - 1)
@@ -194,7 +192,7 @@ def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS, proximi
         .distinct()
         .join(query, ["item_id", "off"])
     )
-    anchors = broadcast_if(anchors, n_query, BROADCAST_ROWS)
+    anchors = broadcast_small(stored(anchors, "anchors"))
     candidates = (
         index.join(anchors, "term")
         .filter((F.col("before") == F.col("terms_before")) | (F.col("after") == F.col("terms_after")))
@@ -204,7 +202,7 @@ def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE_WORDS, proximi
     if proximity:
         candidates = candidates.unionByName(near_shifts(index, triples)).distinct()
     candidates = stored(candidates, "candidates")
-    chosen = broadcast_if(candidates, candidates.count(), BROADCAST_ROWS)
+    chosen = broadcast_small(candidates)
     # Intersect: every term of the item at its own offset from the same shift. Salting isn't needed: a document's
     # postings are bounded by its text.
     met = (

@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -66,7 +66,8 @@ class UnionFind:
 
 def lookalike_classes(counts: dict[str, int]) -> dict[str, str]:
     """Of each string or code point that isn't its class's representative, the representative. The representative is
-    the plain ASCII member if there is one, else the member seen most often; ties go to the shortest, then the lowest."""
+    the plain ASCII member if there is one, whatever its frequency, so that plain text never changes; else the member seen
+    most often; ties go to the shortest, then the lowest. Classes without an ASCII member are thus decided by frequency."""
     sets = UnionFind()
     for s in counts:
         sets.find(s)
@@ -83,6 +84,15 @@ def lookalike_classes(counts: dict[str, int]) -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def classes_of_unicode() -> dict[str, str]:
+    """The classes over every code point that has a look-alike, whether a corpus holds it or not: the same relation as
+    over a corpus, with representatives chosen without frequencies. For comparisons that need no reading of the corpus."""
+    kinds = unicodedata.category
+    points = (chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i <= 0xDFFF and not 0x30000 <= i < 0xE0000 and i < 0xF0000)
+    return lookalike_classes({c: 0 for c in points if kinds(c) in ("Cf", "Zs", "Mn") or c in DRAWN_LIKE_LATIN or ord(c) in INVISIBLE or unicodedata.normalize("NFKD", c) != c})
+
+
 def strings_counted(texts: DataFrame) -> dict[str, int]:
     """How often each non-ASCII code point, and each character with combining marks, occurs in column `text`. At most as
     many entries as Unicode has code points and compositions: strings that compose to nothing are left out."""
@@ -106,6 +116,8 @@ def strings_counted(texts: DataFrame) -> dict[str, int]:
 def rewriter(replace: dict[str, str]):
     """A function that rewrites a text greedily, the longest match from the left first. Where that brings a letter and
     its accent together (an invisible character between them is gone), they compose, and the text is read once more."""
+    import ahocorasick  # here, so that its absence doesn't hide the other operators
+
     auto = ahocorasick.Automaton()
     for s, t in replace.items():
         if s:
@@ -124,11 +136,11 @@ def rewriter(replace: dict[str, str]):
     def rewrite(text: str | None) -> str | None:
         if not text or text.isascii() or not replace:
             return text
-        for _ in range(4):
+        for _ in range(len(text) + 2):  # until it stays as it is; each round brings at least one pair together
             before, text = text, unicodedata.normalize("NFC", once(text))
             if text == before:
-                break
-        return text
+                return text
+        raise RuntimeError("the look-alike classes have no stable form")
 
     return rewrite
 
@@ -213,22 +225,9 @@ def pairs_of_members(pairs: DataFrame, members: DataFrame, owner: str, id_col: s
     return x.filter(F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
 
 
-def links_between_forms(groups: DataFrame, id_col: str, pairwise_up_to: int | None = None) -> DataFrame:
-    """Pairs (id_a, id_b), id_a < id_b, of rows in one class with different forms: all of them. Forms are paired first,
-    then their rows, so exact copies are never compared.
-
-    Only where `pairwise_up_to` is given, a class of more rows is linked as a star instead: each row with the class's
-    first row, rows of the first form with the first row of the next form."""
+def links_between_forms(groups: DataFrame, id_col: str) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of rows in one class with different forms: all of them, whatever the size of the
+    class. Forms are paired first, then their rows, so exact copies are never compared."""
     g = groups.filter("n_forms > 1")
-    few = g if pairwise_up_to is None else g.filter(F.col("n_documents") <= pairwise_up_to)
-    forms = pairs_of_key(few.select("class_id", "form_id", "n_forms").distinct(), "class_id", "form_id", "n_forms")
-    near = pairs_of_members(forms, few, "form_id", id_col)
-    if pairwise_up_to is None:
-        return near.distinct()
-    many = g.filter(F.col("n_documents") > pairwise_up_to)
-    second = many.filter("form_id != class_id").groupBy("class_id").agg(F.min("form_id").alias("_second"))
-    second = second.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    star = many.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(second, ["class_id", "_salt"])
-    other = F.when(F.col("form_id") == F.col("class_id"), F.col("_second")).otherwise(F.col("class_id"))
-    far = star.select(F.least(id_col, other).alias(f"{id_col}_a"), F.greatest(id_col, other).alias(f"{id_col}_b"))
-    return near.unionByName(far).distinct()
+    forms = pairs_of_key(g.select("class_id", "form_id", "n_forms").distinct(), "class_id", "form_id", "n_forms")
+    return pairs_of_members(forms, g, "form_id", id_col).distinct()

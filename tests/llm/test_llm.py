@@ -133,10 +133,7 @@ def test_near_duplicates(spark):
     got = {(r.id_a, r.id_b) for r in N.pairs_of_records(links, copies).collect()}
     want = _brute(s)
     assert not got - want and len(want - got) <= 0.01 * len(want) and len(want) > 40
-    # With no class expanded the star and the membership still connect what belongs together.
-    star = {(r.id_a, r.id_b) for r in N.pairs_of_records(links, copies, pairwise_up_to=1).collect()}
-    assert star <= want and _groups(star, s) == _groups(got, s)
-    label = {r.id: r.class_id for r in N.linked_classes(links, copies).collect()}
+    label = {r.id: r.component_id for r in N.linked_classes(links, copies).collect()}
     assert {frozenset(g) for g in _groups(got, label)} == {frozenset(i for i in label if label[i] == v) for v in set(label.values())}
     empty = N.near_duplicates(c.limit(0))
     assert N.pairs_of_records(*empty).count() == 0 and N.linked_classes(*empty).count() == 0
@@ -184,6 +181,42 @@ def test_every_pair_of_a_large_class_of_copies(spark, monkeypatch):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_classes_and_links_give_every_pair_back(spark):
+    """70 copies of a text, 70 of one with a word changed, and 3 of another: the rows of classes and links hold all pairs."""
+    a, c = [f"h{i}" for i in range(60)], [f"k{i}" for i in range(60)]
+    s = {f"a{i:02d}": " ".join(a) for i in range(70)} | {f"b{i:02d}": " ".join([*a[:30], "other", *a[31:]]) for i in range(70)} | {f"c{i}": " ".join(c) for i in range(3)}
+    links, copies = N.near_duplicates(_components(spark, s))
+    want = _brute(s)
+    assert len(want) == 9733
+    assert {(r.id_a, r.id_b) for r in N.pairs_of_records(links, copies).collect()} == want
+    rows = {r.id: r for r in N.linked_classes(links, copies).collect()}
+    linked = {(r.id_a, r.id_b) for r in links.collect()}
+    linked |= {(y, x) for x, y in linked}
+    assert {(x, y) for x in rows for y in rows if x < y and (rows[x].class_id == rows[y].class_id or (rows[x].class_id, rows[y].class_id) in linked)} == want
+    assert all(r.n_links == sum(i in p for p in want) for i, r in rows.items())
+    assert {(r.class_id, r.n_copies, r.component_id) for r in rows.values()} == {("a00", 70, "a00"), ("b00", 70, "a00"), ("c0", 3, "c0")}
+    assert {(r.id, r.class_id, r.n_copies) for r in N.classes_of_copies(_components(spark, s)).collect()} == {(r.id, r.class_id, r.n_copies) for r in rows.values()}
+
+
+def test_recall_on_random_edits(spark):
+    """Words put in, left out and changed until a plain similarity near the threshold: brute force against the bands."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(300)] + ["(", ")", ";", "=", "."] * 20
+    s = {}
+    for g in range(120):
+        base = [rnd.choice(words) for _ in range(rnd.randrange(60, 200))]
+        s[f"g{g:03d}"] = " ".join(base)
+        for v in range(2):
+            text = []
+            for w in base:
+                r = rnd.random()
+                text += [w] if r > 0.1 else [] if r < 0.03 else [rnd.choice(words)] if r < 0.07 else [w, f"new{rnd.randrange(10**6)}"]
+            s[f"g{g:03d}v{v}"] = " ".join(text)
+    got = {(r.id_a, r.id_b) for r in N.pairs_of_records(*N.near_duplicates(_components(spark, s))).collect()}
+    want = _brute(s)
+    assert got <= want and len(want) > 100 and len(want - got) <= 0.01 * len(want)
+
+
 # ---- 5 ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("text", ["x" * 5001, "a b" * 3000, "\n" * 4100, "😀" * 2001, "word " * 401, "def f():\n    return 1\n\n" * 500, "a\r\n" * 1999 + "\x00" * 10])
 def test_pieces(text):
@@ -354,6 +387,15 @@ def test_leaks(spark):
     assert {r.item_id for r in L.leaked_items(d, e).collect()} == {j for _, j in want}
 
 
+def test_large_test_sets_come_in_blocks(spark):
+    rnd = random.Random(6)
+    items = [(i, "s", "k", " ".join(f"t{rnd.randrange(40)}" for _ in range(15))) for i in range(12)]
+    docs = [(i, f"so {' '.join(items[i % 12][3].split()[1:14])} on {i}") for i in range(40)] + [(99, "nothing " * 20)]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, suite string, kind string, text string")
+    whole = {tuple(r) for r in L.leaks(d, e).collect()}
+    assert len(whole) >= 40 and {tuple(r) for r in L.leaks(d, e, block_words=60).collect()} == whole
+
+
 def test_near_passages(spark):
     """Changed words beside every anchor, and words put in, left out or moved, which split a passage over shifts."""
     w = [f"item{i}" for i in range(24)]
@@ -387,16 +429,6 @@ def test_consistent_form(spark):
     assert [r[0] for r in n] == ["0: résumé"]
 
 
-def test_hot_class_of_documents(spark):
-    """A class of a third of all rows becomes a star that connects what the pairs connect."""
-    rows = [(i, "same text") for i in range(60)] + [(100 + i, f"same{s}text") for i, s in enumerate("\u00a0\u2003\u3000" * 30)] + [(300 + i, f"other {i}") for i in range(50)]
-    g = K.classes_of_documents(spark.createDataFrame(rows, "doc_id long, text string"))
-    all_ = {(r.doc_id_a, r.doc_id_b) for r in K.links_between_forms(g, "doc_id", 1000).collect()}
-    star = {(r.doc_id_a, r.doc_id_b) for r in K.links_between_forms(g, "doc_id", 64).collect()}
-    ids = [i for i, _ in rows]
-    assert star <= all_ and len(star) <= 300 and _groups(star, ids) == _groups(all_, ids)
-
-
 def test_every_pair_of_a_large_class_of_documents(spark, monkeypatch):
     """However large a class, by copies or by forms, every pair of different texts comes out, tile by tile or not."""
     rows = [(i, "same text") for i in range(60)] + [(100 + i, f"same{s}text") for i, s in enumerate("\u00a0\u2003\u3000" * 30)]
