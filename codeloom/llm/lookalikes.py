@@ -118,13 +118,22 @@ def rewriter(replace: dict[str, str]):
     its accent together (an invisible character between them is gone), they compose, and the text is read once more."""
     import ahocorasick  # here, so that its absence doesn't hide the other operators
 
-    auto = ahocorasick.Automaton()
-    for s, t in replace.items():
-        if s:
-            auto.add_word(s, (len(s), t))
-    auto.make_automaton()
+    marks = set().union(*replace) if replace else set()
+    seen: set[str] = set()
+    auto = None
 
     def once(text: str) -> str:
+        nonlocal auto
+        fresh = marks.intersection(text) - seen
+        if fresh:  # the automaton holds what the texts so far can hold: it stays small, whatever the classes
+            seen.update(fresh)
+            auto = ahocorasick.Automaton()
+            for s, t in replace.items():
+                if s and seen.issuperset(s):
+                    auto.add_word(s, (len(s), t))
+            auto.make_automaton()
+        if not auto:
+            return text
         out, at = [], 0
         for end, (n, t) in auto.iter_long(text):
             out.append(text[at : end + 1 - n])
