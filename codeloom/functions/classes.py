@@ -59,7 +59,7 @@ def time_since(then: Column, now: Column) -> Column:
     say = lambda n, unit: F.concat(n.cast("long").cast("string"), F.lit(f" {unit}"), F.when(n > 1, "s").otherwise(""), F.lit(" ago"))
     return (
         F.when(then.isNull(), F.lit("never")).when(m < 1, F.lit("just now")).when(m < 60, say(m, "minute")).when(m < 1440, say(F.floor(m / 60), "hour"))
-        .when(m < 43200, say(F.floor(m / 1440), "day")).otherwise(say(F.floor(m / 43200), "month"))
+        .when(m < 43200, say(F.floor(m / 1440), "day")).when(m < 525600, say(F.floor(m / 43200), "month")).otherwise(say(F.floor(m / 525600), "year"))
     )
 
 

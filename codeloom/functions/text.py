@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 EXT = r"\.(?:tsx?|jsx?|py|go|rs|java|md)"
 #: Words that carry no topic.
-STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would should could may might must can this that these those i you he she it we they"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was",
+    "are", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "should", "could",
+    "may", "might", "must", "can", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they",
+]
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -53,6 +55,7 @@ def mentions(text: Column) -> Column:
 def file_paths(text: Column) -> Column:
     """Paths of source files that a text names, 4 to 199 characters, distinct and sorted."""
     found = F.concat(
+        _all(text, rf"(?i)```\w*\n(?://|#)\s*([^\n]+{EXT})"),
         _all(text, rf"(?i)`([^\n`]+{EXT})`"),
         _all(text, rf"(?m)(?:^|\s)([A-Za-z0-9_./-]+{EXT})(?=\s|$)"),
         _all(text, rf"(?i)((?:src|packages|libs?|tests?)/[A-Za-z0-9_./-]+{EXT})"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: What `stored` wrote, for `clear_stored`.
+WRITTEN: list[str] = []
 #: Most bytes of a table that is broadcast, as measured before it is.
 BROADCAST_BYTES = 32 << 20
 
@@ -19,12 +21,15 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests, local runs) a temporary folder is taken and remembered in the session."""
+    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset and all
+    tasks run on this machine (tests, local runs) a temporary folder is taken and remembered in the session."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("codeloom.scratch", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-codeloom-")
         spark.conf.set("codeloom.scratch", at)
     return at
@@ -36,13 +41,16 @@ def stored(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFr
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_rows(df: DataFrame, limit: int) -> list | None:
-    """The rows of df if there are at most `limit`, else None: the size check before anything is broadcast."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes the tables that this process wrote to the shared folder. Results that still read them must be written
+    before."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -58,3 +66,18 @@ def broadcast_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
             sizes.append(F.lit(16))
     total = df.agg(F.coalesce(F.sum(sum(sizes[1:], sizes[0]).cast("long")), F.lit(0)).alias("n")).first().n
     return F.broadcast(df) if total <= limit else df
+
+
+def running_total(df: DataFrame, by: list[str], order: list[str], n: str) -> DataFrame:
+    """df with `upto`, the sum of n over the rows of the same group up to each one in order, itself included, and `total`,
+    the sum over the group. Rows are split into ranges of (by, order); ranges are added up first, so a group that holds
+    all rows is spread over as many tasks as there are ranges. Rows that tie in order must not be told apart."""
+    ranges = stored(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    per = ranges.groupBy(*by, "_range").agg(F.sum(n).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("total", F.sum("_n").over(Window.partitionBy(*by))).drop("_n")
+    per = per.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), "_before", "total")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    x = ranges.join(per, [*same, F.col("_range") == F.col("_r")])
+    inside = Window.partitionBy(*by, "_range").orderBy(*order)
+    return x.withColumn("upto", F.sum(n).over(inside) + F.col("_before")).drop("_range", "_r", "_before", *[f"_k{i}" for i in range(len(by))])

@@ -11,8 +11,23 @@ from pyspark.sql import functions as F
 from codeloom.functions.classes import extension, language_of
 
 #: Folders and files that discovery leaves out unless told otherwise.
-EXCLUDED_DIRS = ["node_modules", "bower_components", "vendor", "third_party", "dist", "build", "out", "target", ".next", ".turbo", ".nuxt", "coverage", ".nyc_output", "test-results", "playwright-report", ".git", ".svn", ".hg", ".vscode", ".idea", ".cache", ".parcel-cache", ".vite", ".eslintcache", "tmp", "temp", ".tmp", "logs", "__pycache__", ".DS_Store"]
-EXCLUDED_FILES = r"(?:\.log|\.pid|\.d\.ts|\.min\.js|Thumbs\.db)$"
+EXCLUDED_DIRS = [
+    "node_modules", "bower_components", "vendor", "third_party",
+    "dist", "build", "out", "target", ".next", ".turbo", ".nuxt",
+    "mocks", "testdata",
+    ".git", ".svn", ".hg", ".vscode", ".idea", ".vs", ".fleet",
+    ".cache", ".parcel-cache", ".vite", "coverage", ".nyc_output", "logs", "tmp", "temp",
+    "__fixtures__", "__snapshots__", "fixtures", "analysis-reports", ".research", "benchmarks",
+]
+EXCLUDED_FILES = [
+    "*.pb.go", "*.gen.go", "*_gen.go", "*.pb.gw.go", "mock_*.go", ".eslintcache", "*.log", "*.tmp",
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "Gemfile.lock", ".DS_Store", "Thumbs.db",
+]
+
+
+def glob_pattern(names: list[str]) -> str:
+    """The names, where '*' stands for any characters of one path segment, as one pattern."""
+    return "|".join(n.replace(".", r"\.").replace("*", "[^/]*") for n in names)
 
 
 def discover(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -23,9 +38,8 @@ def discover(files: DataFrame, include: list[str] | None = None, exclude: list[s
     dirs = EXCLUDED_DIRS if exclude is None else exclude
     x = files.filter(wanted & p.isNotNull())
     if dirs:
-        quoted = "|".join(d.replace(".", r"\.") for d in dirs)
-        x = x.filter(~p.rlike(rf"(^|/)(?:{quoted})(/|$)"))
-    return x.filter(~p.rlike(EXCLUDED_FILES)) if exclude is None else x
+        x = x.filter(~p.rlike(rf"(^|/)(?:{glob_pattern(dirs)})/"))
+    return x.filter(~p.rlike(rf"(^|/)(?:{glob_pattern(EXCLUDED_FILES)})$")) if exclude is None else x
 
 
 def validated(files: DataFrame) -> DataFrame:
@@ -50,10 +64,11 @@ def test_candidates(path: Column) -> Column:
     return F.array(*[F.concat(stem, F.lit(f".{k}."), ext) for k in ("test", "spec")])
 
 
-def related_tests(files: DataFrame) -> DataFrame:
-    """path, test: each file that is no test with its first existing test file, null where there is none."""
+def related_tests(files: DataFrame, candidates=test_candidates) -> DataFrame:
+    """path, test: each file that is no test with its first existing test file, null where there is none. `candidates`
+    names the test files of a path in order of preference."""
     f = files.select("path").filter("path is not null").distinct()
-    c = f.filter(~is_test_file(F.col("path"))).select("path", F.posexplode(test_candidates(F.col("path"))).alias("n", "test"))
+    c = f.filter(~is_test_file(F.col("path"))).select("path", F.posexplode(candidates(F.col("path"))).alias("n", "test"))
     found = c.join(f.select(F.col("path").alias("test")), "test")
     best = found.groupBy("path").agg(F.min_by("test", "n").alias("test"))
     return f.filter(~is_test_file(F.col("path"))).join(best, "path", "left")
@@ -133,26 +148,42 @@ def family(language: Column) -> Column:
 def source_lines(files: DataFrame) -> DataFrame:
     """(path, language, line_no, line): one row per line, without byte-order mark and carriage returns."""
     text = F.regexp_replace(F.coalesce("content", F.lit("")), "^﻿|\r", "")
-    x = files.filter("path is not null").select("path", language_of(F.col("path")).alias("language"), text.alias("content")).distinct()
+    x = files.filter("path is not null").select("path", language_of(F.col("path")).alias("language"), text.alias("content"))
+    # A file delivered twice is one: first rows of each path and digest are told apart by row, and only digests are shuffled.
+    x = x.withColumn("_row", F.monotonically_increasing_id()).withColumn("_d", F.sha2("content", 256))
+    kept = x.groupBy("path", "_d").agg(F.min("_row").alias("_row")).select("_row")
+    x = x.join(kept, "_row", "left_semi")
     x = x.select("path", "language", F.posexplode(F.split("content", "\n", -1)).alias("n", "line"))
     return x.select("path", "language", (F.col("n") + 1).cast("long").alias("line_no"), "line")
 
 
-def declarations(files: DataFrame) -> DataFrame:
-    """id, file, name, type, start_line, signature, exported: what stands at the left margin of each file. Methods of
-    classes and nested functions aren't at the margin and are left to a parser. Generated Go files are skipped."""
+def declared_lines(files: DataFrame) -> DataFrame:
+    """The lines of files with type, own (the declared name) and name (with a Go method's receiver), null where a line
+    declares nothing at the left margin. Generated Go files are skipped."""
     f = files.filter(~((language_of(F.col("path")) == "go") & generated_go(F.col("content"))))
-    x = source_lines(f).filter(F.col("line").rlike(r"^(?:export|default|async|abstract|function|class|interface|type|const|let|var|func|def)\b"))
+    x = source_lines(f)
+    may = F.col("line").rlike(r"^(?:export|default|async|abstract|function|class|interface|type|const|let|var|func|def)\b")
     fam, kind, name = family(F.col("language")), F.lit(None).cast("string"), F.lit(None).cast("string")
     for language, rules in DECLARATIONS.items():
         for k, pattern in rules:
-            hit = (fam == language) & F.col("line").rlike(pattern)
+            hit = may & (fam == language) & F.col("line").rlike(pattern)
             kind, name = F.coalesce(kind, F.when(hit, k)), F.coalesce(name, F.when(hit, F.regexp_extract("line", pattern, 1)))
-    x = x.withColumn("type", kind).withColumn("own", name).filter("type is not null")
-    x = x.withColumn("name", F.when(F.col("type") == "method", F.concat_ws(".", F.regexp_extract("line", GO_RECEIVER, 1), "own")).otherwise(F.col("own")))
+    x = x.withColumn("type", kind).withColumn("own", name)
+    return x.withColumn("name", F.when(F.col("type") == "method", F.concat_ws(".", F.regexp_extract("line", GO_RECEIVER, 1), "own")).otherwise(F.col("own")))
+
+
+def declared_fields() -> list[Column]:
+    """id, file, name, type, start_line, signature and exported of a row of `declared_lines` that declares something."""
+    fam = family(F.col("language"))
     exported = F.when(fam == "ecma", F.col("line").startswith("export")).when(fam == "go", F.col("own").rlike(r"^\p{Lu}")).otherwise(~F.col("name").startswith("_"))
     sig = F.trim(F.regexp_replace(F.substring_index("line", "{", 1), r"\s*=>\s*$|\s*=\s*$", ""))
-    return x.select(F.concat_ws(":", "path", "name", "line_no").alias("id"), F.col("path").alias("file"), "name", "type", F.col("line_no").alias("start_line"), sig.alias("signature"), exported.alias("exported"))
+    return [F.concat_ws(":", "path", "name", "line_no").alias("id"), F.col("path").alias("file"), F.col("name"), F.col("type"), F.col("line_no").alias("start_line"), sig.alias("signature"), exported.alias("exported")]
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """id, file, name, type, start_line, signature, exported: what stands at the left margin of each file. Methods of
+    classes and nested functions aren't at the margin and are left to a parser. Generated Go files are skipped."""
+    return declared_lines(files).filter("type is not null").select(*declared_fields())
 
 
 def doc_lines(files: DataFrame) -> DataFrame:
@@ -182,7 +213,7 @@ def imports(files: DataFrame) -> DataFrame:
 
 
 def markdown_sections(files: DataFrame) -> DataFrame:
-    """id, file, name, start_line, docstring: one row per heading with content. Fences hide headings; list items, tables
+    """id, file, name, start_line, docstring (the first 200 characters), text: one row per heading with content. Fences hide headings; list items, tables
     and quotes don't count as content; text before the first heading belongs to none. A running count of headings carries
     each line to its section."""
     x = source_lines(files).filter("language = 'markdown'")
@@ -193,15 +224,23 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     x = x.withColumn("head", head).withColumn("section", F.sum(F.when(F.col("head"), 1).otherwise(0)).over(w))
     code = F.col("open") | F.col("fence")
     prose = ~F.col("head") & ~code & (F.trim("line") != "") & ~F.col("line").rlike(r"^\s*(?:[-*+]\s|\d+[.)]\s|>|\||<!--|(?:[-*_]\s*){3,}$)")
-    x = x.filter("section > 0").withColumn("kept", prose | code)
+    kind = F.when(code, "code").when(prose, "prose")
+    # Blocks are set apart by an empty line: one begins with a fence that opens, or with prose behind anything else.
+    x = x.withColumn("kind", kind).withColumn("before", F.lag("kind").over(w))
+    begins = (F.col("fence") & F.col("open")) | ((F.col("kind") == "prose") & ~F.coalesce(F.col("before") == "prose", F.lit(False)))
+    x = x.filter("section > 0").withColumn("piece", F.when(begins, F.concat(F.lit("\n"), "line")).otherwise(F.col("line")))
     name = F.trim(F.regexp_replace(F.regexp_replace("line", r"^#+\s*", ""), r"\s+#+\s*$", ""))
     g = x.groupBy("path", "section").agg(
         F.min(F.when(F.col("head"), F.col("line_no"))).alias("start_line"),
         F.min_by(F.when(F.col("head"), name), F.when(F.col("head"), F.col("line_no"))).alias("name"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("line_no", "line")))), lambda r: r.line), "\n").alias("docstring"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("line_no", "piece")))), lambda r: r.piece), "\n").alias("content"),
     )
+    g = g.withColumn("content", F.regexp_replace("content", r"^\n", ""))
     slug = F.regexp_replace(F.regexp_replace(F.lower("name"), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-    return g.filter("docstring <> ''").select(F.concat_ws(":", "path", slug, "start_line").alias("id"), F.col("path").alias("file"), "name", "start_line", "docstring")
+    return g.filter("content <> ''").select(
+        F.concat_ws(":", "path", slug, "start_line").alias("id"), F.col("path").alias("file"), "name", "start_line",
+        F.substring("content", 1, 200).alias("docstring"), F.concat_ws("\n\n", "name", "content").alias("text"),
+    )
 
 
 def folder_sizes(files: DataFrame, levels: int = 2) -> DataFrame:

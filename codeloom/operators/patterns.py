@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.io import stored
 from codeloom.operators.files import is_test_file, line_count
 
 
@@ -82,7 +83,16 @@ def testing_share(patterns: DataFrame, tests: DataFrame, by: list[str]) -> DataF
 
 def compare(patterns: DataFrame, types: DataFrame, by: list[str]) -> DataFrame:
     """One row per file: its own styles beside the commonest ones of its group."""
-    x = patterns.join(types.select(F.col("file").alias("path"), "coverage"), "path", "left").withColumn("coverage", F.coalesce("coverage", F.lit("none")))
-    for p in ("import_style", "error_style", "coverage"):
-        x = x.join(pattern_mode(x.select(*dict.fromkeys([*by, p, "path"])), p, by).select(*by, F.col("mode").alias(f"common_{p}")), by, "left")
+    kinds = ["import_style", "error_style", "coverage"]
+    x = patterns.select("path", *by, "import_style", "error_style")
+    x = x.join(types.select(F.col("file").alias("path"), "coverage"), "path", "left").withColumn("coverage", F.coalesce("coverage", F.lit("none")))
+    x = stored(x, "patterns")  # texts are matched once; what follows reads narrow rows
+    # All modes come from one aggregate over the few combinations of values that a group has.
+    per = x.groupBy(*by, *kinds).agg(F.count("*").alias("n"), F.min("path").alias("first"))
+    one = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds]))
+    per = per.select(*by, "n", "first", one.alias("o")).groupBy(*by, "o.kind", "o.value").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    best = lambda k: F.min_by(F.when(F.col("kind") == k, F.col("value")), F.when(F.col("kind") == k, F.struct(-F.col("n"), "first"))).alias(f"common_{k}")
+    modes = per.groupBy(*by).agg(*map(best, kinds))
+    same = [x[c].eqNullSafe(modes[c]) for c in by]
+    x = x.join(modes.select(*by, *[f"common_{k}" for k in kinds]), same, "left").drop(*[modes[c] for c in by])
     return x.select("path", *by, "import_style", "common_import_style", "error_style", "common_error_style", "coverage", "common_coverage")

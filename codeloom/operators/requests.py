@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.io import running_total
+
 
 def latency(events: DataFrame, by: list[str], duration: str = "value") -> DataFrame:
-    """by, requests, mean, p50, p95, p99. Percentiles are taken over (value, count) rows, so a hot group is combined
-    before the shuffle."""
+    """by, requests, mean, p50, p95, p99. Percentiles are taken over (value, count) rows, counted before the shuffle and
+    added up range by range, so no task holds all values of a group."""
     per = events.filter(F.col(duration).isNotNull()).groupBy(*by, duration).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(duration)
-    all_ = Window.partitionBy(*by)
-    c = per.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(all_))
+    c = running_total(per, by, [duration], "n")
     at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p), F.col(duration))).alias(f"p{round(p * 100)}")
     return c.groupBy(*by).agg(F.sum("n").alias("requests"), F.round(F.sum(F.col(duration) * F.col("n")) / F.sum("n"), 4).alias("mean"), at(0.5), at(0.95), at(0.99))
 

@@ -43,6 +43,11 @@ def related_test_components(vectors: DataFrame, query: str, provider=hashed) ->
     return found.groupBy("file").agg(F.min("distance").alias("distance")).orderBy("distance", "file")
 
 
+def similar_to_path(vectors: DataFrame, path: str, n: int = 10, threshold: float = 0.75, provider=hashed) -> DataFrame:
+    """Components nearest to a path taken as text: one more than wanted is fetched, those of the file itself fall out."""
+    return search(vectors, path, n + 1, threshold, provider).filter(F.col("file") != path).orderBy("distance", "id").limit(n)
+
+
 def search_suffix(vectors: DataFrame, query: str, suffixes: list[str], k: int = 10, threshold: float = 0.7, provider=hashed) -> DataFrame:
     ends = [F.col("file").endswith(s) for s in suffixes]
     cond = ends[0]

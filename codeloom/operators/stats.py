@@ -54,19 +54,24 @@ def package_of(files: DataFrame, packages: DataFrame) -> DataFrame:
 
 
 def by_package(components: DataFrame, packages: DataFrame) -> DataFrame:
-    """package, files, components, languages (a map of component counts)."""
-    c = components_once(components)
-    x = c.join(package_of(c, packages).filter("package is not null"), "file")
-    per = x.groupBy("package", "language").agg(F.countDistinct("file").alias("_f"), F.count("*").alias("n"))
-    files = x.groupBy("package").agg(F.countDistinct("file").alias("files"))
+    """package, files, components, languages (a map of component counts). One scan: components are counted per file and
+    language, and the longest package is picked among each file's few ancestors; both aggregates come from those rows."""
+    c = components_once(components).filter("file is not null").groupBy("file", "language").agg(F.count("*").alias("n"))
+    own = F.array_sort(F.collect_list(F.struct("language", "n"))).alias("own")
+    c = c.groupBy("file").agg(own)  # the languages of one file
+    x = c.withColumn("package", F.explode(prefixes(F.col("file")))).join(packages.select("package").distinct(), "package")
+    x = x.groupBy("file").agg(F.max_by(F.struct("package", "own"), F.length("package")).alias("b"))
+    x = x.select("b.package", F.posexplode("b.own").alias("k", "l"))  # a file counts with its first language
+    per = x.groupBy("package", F.col("l.language").alias("language")).agg(F.sum("l.n").alias("n"), F.count_if(F.col("k") == 0).alias("files"))
     langs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n"))))
-    return per.groupBy("package").agg(F.sum("n").alias("components"), langs.alias("languages")).join(files, "package").select("package", "files", "components", "languages")
+    per = per.groupBy("package").agg(F.sum("files").alias("files"), F.sum("n").alias("components"), langs.alias("languages"))
+    return per
 
 
-def merge(current: DataFrame, removed: DataFrame, added: DataFrame, key: str, compat: bool = False) -> DataFrame:
+def merge(current: DataFrame, removed: DataFrame, added: DataFrame, key: str, compat: bool = True) -> DataFrame:
     """Statistics after an incremental update: current minus removed plus added, as one union of signed deltas. Counts
-    don't fall below 0; a key without files goes. In compat mode only files are subtracted, as the contract has it, so
-    components and lines drift."""
+    don't fall below 0; a key without files goes. Only files are subtracted, as the contract has it, so components and lines
+    drift; with compat=False all are."""
     sign = lambda df, s: df.select(key, *[(F.coalesce(c, F.lit(0)) * F.lit(s if c == "files" or not compat or s > 0 else 0)).alias(c) for c in METRICS])
     u = sign(current, 1).unionByName(sign(removed, -1)).unionByName(sign(added, 1))
     x = u.groupBy(key).agg(*[F.greatest(F.sum(c), F.lit(0)).alias(c) for c in METRICS])
@@ -107,8 +112,12 @@ def language_activity(languages: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def package_activity(packages: DataFrame, files: DataFrame) -> DataFrame:
-    """Commits of all files under each package path, nested packages included."""
-    x = files.withColumn("package", F.explode(prefixes(F.col("file_path")))).join(packages.select("package").distinct(), "package")
+    """Commits of all files whose path begins with a package path, at a slash or not, as the contract has it; nested packages
+    included. An equi-join on the beginnings of each path that have the length of some package path."""
+    p = packages.select("package").filter("package is not null").distinct()
+    lengths = sorted(r.n for r in p.select(F.length("package").alias("n")).distinct().collect())  # at most as many as a path is long
+    starts = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("file_path")), lambda n: F.substring(F.col("file_path"), F.lit(1), n))
+    x = files.withColumn("package", F.explode(starts)).join(p, "package")
     return x.groupBy("package").agg(F.sum("commit_count").alias("total_commits"), F.max("last_modified").alias("last_change"), F.count("*").alias("files"))
 
 

@@ -21,14 +21,15 @@ def folders(path: Column) -> Column:
 
 def directory_rollup(components: DataFrame, focus: str = "") -> DataFrame:
     """(path, depth, components, own_components, files): each folder with what lies under it at any depth. With a focus
-    only folders at or under it stay. Counts are combined per file before ancestors are exploded."""
+    only folders whose path begins with it stay, at a slash or not, as the contract has it. Counts are combined per file
+    before ancestors are exploded."""
     c = components_once(components).filter("file is not null")
     per_file = c.groupBy("file").agg(F.count("*").alias("n"))
     x = per_file.withColumn("path", F.explode(folders(F.col("file"))))
     own = F.col("path") == F.regexp_replace(F.regexp_extract("file", r"^(.*/)?[^/]*$", 1), "/$", "")
     x = x.groupBy("path").agg(F.sum("n").alias("components"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own_components"), F.count("*").alias("files"))
     x = x.withColumn("depth", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/"))))
-    return x.filter((F.col("path") == focus) | F.col("path").startswith(focus + "/")) if focus else x
+    return x.filter(F.col("path").startswith(focus)) if focus else x
 
 
 def prune_to_depth(nodes: DataFrame, depth: int) -> DataFrame:
@@ -88,14 +89,14 @@ def last_segment(name: Column) -> Column:
 
 
 def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, caller_id, line): calls whose callee is the target, ends in '.target', or is the target's own last part.
-    An equi-join on the last segment; a hot name is left to the skew join of adaptive execution. The target itself isn't
-    its caller."""
-    t = targets.select(F.col("name").alias("target")).distinct().withColumn("_k", last_segment(F.col("target")))
+    """(target_id, target, caller_id, line): calls whose callee is the target, ends in '.target', or is the target's own
+    last part, for targets (id, name). An equi-join on the last segment; a hot name is left to the skew join of adaptive
+    execution. The target itself isn't its caller; another component of its name may be."""
+    t = targets.select(F.col("id").alias("target_id"), F.col("name").alias("target")).distinct().withColumn("_k", last_segment(F.col("target")))
     e = edges.filter("callee_name is not null").withColumn("_k", last_segment(F.col("callee_name")))
     hit = (F.col("callee_name") == F.col("target")) | F.col("callee_name").endswith(F.concat(F.lit("."), "target")) | F.col("target").endswith(F.concat(F.lit("."), "callee_name"))
-    x = e.join(t, "_k").filter(hit & (F.col("caller_name") != F.col("target")))
-    return x.groupBy("target", "caller_id").agg(F.min("line").alias("line"))
+    x = e.join(t, "_k").filter(hit & (F.col("caller_id") != F.col("target_id")))
+    return x.groupBy("target_id", "target", "caller_id").agg(F.min("line").alias("line"))
 
 
 def callees(components: DataFrame, names: DataFrame, limit: int = 20) -> DataFrame:
@@ -113,3 +114,30 @@ def import_counts(components: DataFrame) -> DataFrame:
     """(import, files): in how many files each module is imported, relative imports left out."""
     c = components_once(components).select("file", F.explode("imports").alias("module")).filter(~F.col("module").startswith("."))
     return c.distinct().groupBy("module").agg(F.count("*").alias("files"))
+
+
+def ordered_tree(nodes: DataFrame) -> DataFrame:
+    """(path, parent, position): every folder among its siblings by name, letters before case."""
+    name = F.substring_index("path", "/", -1)
+    parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
+    x = nodes.filter("path <> ''").select("path", parent.alias("parent"), name.alias("name"))
+    w = Window.partitionBy("parent").orderBy(F.lower("name"), "name")  # the children of one folder
+    return x.select("path", "parent", F.row_number().over(w).alias("position"))
+
+
+def with_activity(nodes: DataFrame, activity: DataFrame) -> DataFrame:
+    """The folders of a tree with the activity of what lies under them; 0 and null where nothing is known."""
+    x = nodes.join(activity.select("path", "changed_30d", "changed_90d", "last_change"), "path", "left")
+    return x.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("changed_30d", "changed_90d")})
+
+
+def commit_activity(changes: DataFrame, now, most: int = 100) -> DataFrame:
+    """(path, changed_30d, changed_90d, last_change): commits that touched a file under each folder, counted over the
+    newest `most` of them within 90 days. changes: (commit, path, ts). A commit counts once a folder."""
+    x = changes.filter("path is not null and ts is not null").withColumn("folder", F.explode(folders(F.col("path"))))
+    near = F.col("ts") >= F.lit(now) - F.make_dt_interval(F.lit(90))
+    x = x.filter(near & (F.col("ts") <= F.lit(now))).groupBy(F.col("folder").alias("path"), "commit").agg(F.max("ts").alias("ts"))
+    w = Window.partitionBy("path").orderBy(F.desc("ts"), "commit")
+    x = x.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
+    month = F.col("ts") >= F.lit(now) - F.make_dt_interval(F.lit(30))
+    return x.groupBy("path").agg(F.count_if(month).alias("changed_30d"), F.count("*").alias("changed_90d"), F.max("ts").alias("last_change"))

@@ -38,6 +38,17 @@ def related(docs: DataFrame, numbered: DataFrame) -> DataFrame:
     return x.groupBy("doc_id").agg(F.transform(rows, lambda r: r.related_id).alias("related"))
 
 
+def related_with_pulls(docs: DataFrame, numbered: DataFrame) -> DataFrame:
+    """doc_id, issues, pulls: the documents whose number a text names as an issue or as a pull request, in order of their
+    ids; a number may stand in both."""
+    n = numbered.select("number", F.col("doc_id").alias("related_id"), "repository")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("numbers")) for k, v in (("issue", T.issue_references(F.col("text"))), ("pull", T.pull_references(F.col("text"))))])
+    x = docs.select("doc_id", "repository", F.explode(kinds).alias("k")).select("doc_id", "repository", "k.kind", F.explode("k.numbers").alias("number")).distinct()
+    x = x.join(n, ["repository", "number"]).filter("doc_id <> related_id").select("doc_id", "kind", "related_id").distinct()
+    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("related_id")))).alias(f"{k}s")
+    return x.groupBy("doc_id").agg(of("issue"), of("pull"))
+
+
 def keywords(docs: DataFrame, n: int = 10) -> DataFrame:
     """doc_id, rank, word, times: the most frequent words of each text, the first seen first among equals."""
     x = once(docs.select("doc_id", "text")).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
@@ -60,23 +71,26 @@ def title_and_body(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"title": F.substring_index("text", "\n", 1), "body": F.trim(F.regexp_replace("text", r"^[^\n]*\n?", ""))})
 
 
-def relevance(title: Column, body: Column, query: str) -> Column:
-    """20 for each hit in the title, 5 in the body, 20 more if the title is the query. The query is plain text."""
+def relevance(title: Column, body: Column, query: str, labels: Column | None = None, pattern: bool = False) -> Column:
+    """20 for each hit in the title, 5 in the body, 10 for each label that holds the query, 20 more if the title is the
+    query. The query is plain text; with `pattern` hits are those of a regular expression, as the contract has it."""
     q = F.lit(query.lower())
-    hits = lambda c: (F.length(c) - F.length(F.replace(F.lower(c), q, F.lit("")))) / len(query)
+    hits = lambda c: F.regexp_count(F.lower(c), q) if pattern else (F.length(c) - F.length(F.replace(F.lower(c), q, F.lit("")))) / len(query)
     none = F.lit("")
     t, b = F.coalesce(title, none), F.coalesce(body, none)
-    return (hits(t) * 20 + hits(b) * 5 + F.when(F.lower(t) == q, 20).otherwise(0)).cast("long")
+    named = F.lit(0) if labels is None else F.coalesce(F.size(F.filter(labels, lambda x: F.contains(F.lower(x), q))), F.lit(0))
+    return (hits(t) * 20 + hits(b) * 5 + named * 10 + F.when(F.lower(t) == q, 20).otherwise(0)).cast("long")
 
 
-def ranked(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    x = title_and_body(once(docs)).withColumn("relevance", relevance(F.col("title"), F.col("body"), query))
+def ranked(docs: DataFrame, query: str, limit: int = 20, labels: str | None = None, pattern: bool = False) -> DataFrame:
+    score = relevance(F.col("title"), F.col("body"), query, None if labels is None else F.col(labels), pattern)
+    x = title_and_body(once(docs)).withColumn("relevance", score)
     return x.filter("relevance > 0").orderBy(F.desc("relevance"), "doc_id").limit(limit)
 
 
-def matching(docs: DataFrame, query: str) -> DataFrame:
-    """Documents that hold the query in their text, kind, repository or number."""
-    hay = F.lower(F.concat_ws(" ", "text", "kind", "repository", F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("doc_id").cast("string"))))
+def matching(docs: DataFrame, query: str, *more: str) -> DataFrame:
+    """Documents that hold the query in their text, kind, repository, number or the columns named (labels, author)."""
+    hay = F.lower(F.concat_ws(" ", "text", *more, "kind", "repository", F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("doc_id").cast("string"))))
     return once(docs).filter(F.contains(hay, F.lit(query.lower())))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and SQL.
-MODULES = ["vectors", "metrics", "stats", "structure", "texts", "files", "budget", "streams", "snapshot_changes"]
+MODULES = ["vectors", "metrics", "stats", "structure", "texts", "files", "components", "history", "budget", "streams", "snapshot_changes"]
 
 
 def _collect(name: str) -> dict:

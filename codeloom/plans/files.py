@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from codeloom.io import table
 from codeloom.operators import files as S
 from codeloom.operators import patterns as P
+from codeloom.operators import scanner as N
 
 
 def _f(spark, d):
@@ -62,6 +63,33 @@ def scan_agreement(spark, d):
     return x
 
 
+def scan_spans(spark, d):
+    """Classes and interfaces as the scanner sees them, of those that were delivered: their ends, texts and export."""
+    s = N.spans(_f(spark, d)).select("file", "name", "start_line", "end_line", "exported", F.md5(F.regexp_replace("snippet", r"\s+", "")).alias("digest"))
+    c = table(spark, d, "components").filter("type in ('class', 'interface')").select("id", "file", "name", "start_line").distinct()
+    return c.join(s, ["file", "name", "start_line"]).select("id", "end_line", "exported", "digest")
+
+
+def scan_variables(spark, d):
+    """Arrow functions, hooks and constants among the variables of TypeScript and JavaScript files."""
+    s = N.spans(_f(spark, d)).filter("type = 'variable'").select("file", "name", "start_line", "end_line", "is_arrow_function", "is_hook", "is_async", "is_constant", "constant_kind")
+    c = table(spark, d, "components").filter("type = 'variable'").select("id", "file", "name", "start_line").distinct()
+    return c.join(s, ["file", "name", "start_line"]).drop("file", "name", "start_line")
+
+
+def go_members(spark, d):
+    return N.go_members(_f(spark, d)).select("id", "type", "exported", "signature")
+
+
+def type_parameters(spark, d):
+    c = table(spark, d, "components").filter("lower(language) = 'go'").select("id", N.type_parameters(F.coalesce("signature", F.lit(""))).alias("parameters")).distinct()
+    return c.filter(F.size("parameters") > 0)
+
+
+def scan_errors(spark, d):
+    return N.scan_errors(_f(spark, d))
+
+
 def go_docs(spark, d):
     return S.doc_lines(_f(spark, d))
 
@@ -71,7 +99,7 @@ def file_imports(spark, d):
 
 
 def markdown_sections(spark, d):
-    return S.markdown_sections(_f(spark, d)).select("id", "name", "start_line", F.md5("docstring").alias("digest"))
+    return S.markdown_sections(_f(spark, d)).select("id", "name", "start_line", "docstring", F.md5("text").alias("digest"))
 
 
 def folder_sizes(spark, d):
@@ -106,10 +134,9 @@ def compare_patterns(spark, d):
     return P.compare(P.file_patterns(_f(spark, d)), P.type_coverage(table(spark, d, "components")), ["repository", "language"])
 
 
-_F = (discover_files, validate_files, related_tests, change_detect, update_plan, state_of_components, state_drift, incremental_update, scan_declarations, scan_methods, scan_agreement, go_docs, file_imports, markdown_sections, folder_sizes, file_patterns, import_style, error_style, type_coverage, size_deviation, testing_share, compare_patterns)
+_F = (discover_files, validate_files, related_tests, change_detect, update_plan, state_of_components, state_drift, incremental_update, scan_declarations, scan_methods, scan_agreement, scan_spans, scan_variables, go_members, type_parameters, scan_errors, go_docs, file_imports, markdown_sections, folder_sizes, file_patterns, import_style, error_style, type_coverage, size_deviation, testing_share, compare_patterns)
 QUERIES = {f.__name__: f for f in _F}
 
-_DIRS = "|".join(x.replace(".", r"\.") for x in S.EXCLUDED_DIRS)
 _CTE = r"""
 WITH f AS (SELECT DISTINCT ON (path) * FROM source_files),
 p AS (SELECT path, repository, lower(language) AS language, len(string_split(content, chr(10))) AS lines, length AS bytes,
@@ -155,7 +182,9 @@ def _methods() -> str:
 
 
 SQL = {
-    "discover_files": "SELECT DISTINCT path, language FROM source_files WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx|mjs|cjs|go|py|md|mdx|markdown)$', 'i') AND NOT regexp_matches(path, '(^|/)(?:" + _DIRS + ")(/|$)') AND NOT regexp_matches(path, '" + S.EXCLUDED_FILES + "')",
+    "discover_files": """SELECT DISTINCT path, language FROM source_files WHERE lower(string_split(path, '.')[-1]) IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'go', 'py', 'md', 'mdx', 'markdown') AND contains(path, '.')
+AND NOT list_has_any(string_split(path, '/')[:-2], ['node_modules', 'bower_components', 'vendor', 'third_party', 'dist', 'build', 'out', 'target', '.next', '.turbo', '.nuxt', 'mocks', 'testdata', '.git', '.svn', '.hg', '.vscode', '.idea', '.vs', '.fleet', '.cache', '.parcel-cache', '.vite', 'coverage', '.nyc_output', 'logs', 'tmp', 'temp', '__fixtures__', '__snapshots__', 'fixtures', 'analysis-reports', '.research', 'benchmarks'])
+AND NOT (ends_with(path, '.pb.go') OR ends_with(path, '.gen.go') OR ends_with(path, '_gen.go') OR ends_with(path, '.pb.gw.go') OR ends_with(path, '.log') OR ends_with(path, '.tmp') OR string_split(path, '/')[-1] IN ('.eslintcache', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'Cargo.lock', 'Gemfile.lock', '.DS_Store', 'Thumbs.db') OR (starts_with(string_split(path, '/')[-1], 'mock_') AND ends_with(path, '.go')))""",
     "validate_files": r"SELECT path, CASE WHEN content = '' THEN 'empty' WHEN regexp_replace(content, '\s+', '', 'g') = '' THEN 'blank' WHEN contains(content, chr(0)) THEN 'binary' ELSE 'ok' END AS status FROM (SELECT DISTINCT path, content FROM source_files)",
     "related_tests": _CTE + "SELECT * FROM rt",
     "change_detect": _CTE + "SELECT * FROM ch",
@@ -173,6 +202,22 @@ SELECT g.path AS file, g.line_no, doc FROM g JOIN dd ON dd.path = g.path AND dd.
 UNION ALL SELECT path, 'cjs', unnest(regexp_extract_all(content, '\brequire\s*\(\s*[''"]([^''"\n]+)[''"]', 1)) FROM f WHERE language IN ('typescript', 'javascript')
 UNION ALL SELECT path, 'go', unnest(regexp_extract_all(content, '(?m)^\t(?:[\w.]+\s+)?"([^"\n]+)"\r?$', 1)) FROM f WHERE language = 'go'
 UNION ALL SELECT path, 'python', unnest(regexp_extract_all(content, '(?m)^(?:from|import)\s+([\w.]+)', 1)) FROM f WHERE language = 'python') SELECT DISTINCT * FROM i""",
+    "scan_spans": "SELECT DISTINCT id, end_line, exported, md5(regexp_replace(snippet, '\\s+', '', 'g')) AS digest FROM components WHERE type IN ('class', 'interface')",
+    "scan_variables": "SELECT DISTINCT id, end_line, is_arrow_function, is_hook, is_async, is_constant, constant_kind FROM components WHERE type = 'variable' AND regexp_matches(file, '\\.(ts|tsx|js)$') AND regexp_matches(snippet, '^(?:export )?(?:const|let|var) ')",
+    "go_members": _CTE + r""", g AS (SELECT path, line, line_no, last_value(CASE WHEN regexp_matches(line, '^const\s*\(') THEN 1 WHEN regexp_matches(line, '^\S') THEN 0 END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) AS b FROM ln WHERE ends_with(path, '.go') AND path NOT IN (SELECT path FROM f WHERE regexp_matches(string_split(content, chr(10))[1], 'Code generated|DO NOT EDIT'))),
+t AS (SELECT *, regexp_extract(line, '^type\s+([A-Za-z_]\w*)(?:\[[^\]]*\])?\s+(?:=\s*)?([^\s=(]\w*)', ['n', 'k']) AS a, coalesce(nullif(regexp_extract(line, '^const\s+([A-Z]\w*)\b', 1), ''), CASE WHEN b = 1 THEN nullif(regexp_extract(line, '^\s+([A-Z]\w*)\b', 1), '') END) AS c FROM g),
+n AS (SELECT *, CASE WHEN a.n <> '' AND a.k NOT IN ('struct', 'interface') THEN a.n END AS ty FROM t)
+SELECT path || ':' || coalesce(ty, c) || ':' || line_no AS id, CASE WHEN ty IS NULL THEN 'variable' ELSE 'type' END AS type, ascii(coalesce(ty, c)) BETWEEN 65 AND 90 AS exported, trim(regexp_replace(line, '\s*//.*$', '')) AS signature FROM n WHERE coalesce(ty, c) IS NOT NULL""",
+    "type_parameters": "SELECT DISTINCT id, list_filter(list_transform(string_split(replace(regexp_extract(signature, '\\[([^\\]]+)\\]', 1), ', ', ','), ','), lambda x: trim(x)), lambda x: x <> '') AS parameters FROM components WHERE lower(language) = 'go' AND regexp_matches(signature, '\\[[^\\]]+\\]')",
+    "scan_errors": """SELECT language, error, count(*) AS files FROM (SELECT DISTINCT path, CASE string_split(path, '.')[-1] WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'md' THEN 'markdown' ELSE 'unknown' END AS language,
+CASE WHEN contains(content, chr(0)) THEN 'binary' WHEN length(regexp_replace(content, '\\s+', '', 'g')) = 0 THEN 'empty' WHEN ends_with(path, '.go') AND regexp_matches(split_part(content, chr(10), 1), 'Code generated|DO NOT EDIT') THEN 'generated' END AS error FROM source_files) WHERE error IS NOT NULL GROUP BY ALL""",
+    "markdown_sections": _CTE + r""", a AS (SELECT path, line, line_no, regexp_matches(line, '^\s{0,3}(?:```|~~~)') AS fence, sum(regexp_matches(line, '^\s{0,3}(?:```|~~~)')::INT) OVER (PARTITION BY path ORDER BY line_no) % 2 = 1 AS open FROM ln WHERE regexp_matches(path, '\.(md|mdx|markdown)$')),
+h AS (SELECT *, NOT fence AND NOT open AND regexp_matches(line, '^#{1,6}(?:\s|$)') AS head FROM a),
+k AS (SELECT *, sum(head::INT) OVER (PARTITION BY path ORDER BY line_no) AS section, CASE WHEN fence OR open THEN 'code' WHEN NOT head AND trim(line, ' ') <> '' AND NOT regexp_matches(line, '^\s*(?:[-*+]\s|\d+[.)]\s|>|\||<!--|(?:[-*_]\s*){3,}$)') THEN 'prose' END AS kind FROM h),
+b AS (SELECT *, lag(kind) OVER (PARTITION BY path ORDER BY line_no) AS before FROM k),
+pc AS (SELECT *, CASE WHEN fence AND open OR kind = 'prose' AND before IS DISTINCT FROM 'prose' THEN chr(10) ELSE '' END || line AS piece FROM b WHERE section > 0),
+s AS (SELECT path, section, min(line_no) FILTER (head) AS start_line, any_value(trim(regexp_replace(regexp_replace(line, '^#+\s*', ''), '\s+#+\s*$', ''), ' ')) FILTER (head) AS name, regexp_replace(string_agg(piece, chr(10) ORDER BY line_no) FILTER (kind IS NOT NULL), '^\n', '') AS content FROM pc GROUP BY ALL)
+SELECT path || ':' || regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || ':' || start_line AS id, name, start_line, substr(content, 1, 200) AS docstring, md5(name || chr(10) || chr(10) || content) AS digest FROM s WHERE content <> ''""",
     "folder_sizes": _CTE + "SELECT array_to_string(string_split(path, '/')[1:least(len(string_split(path, '/')) - 1, 2)], '/') AS folder, count(*) AS files, sum(length)::BIGINT AS bytes FROM f GROUP BY 1",
     "file_patterns": _CTE + "SELECT path, language, lines, bytes, import_style, imports, error_style, is_test FROM q",
     "import_style": _CTE + _MODE.format("import_style", "q"),

@@ -50,9 +50,9 @@ def stats_diff(spark, d):
 
 def languages_added_removed(spark, d):
     f = table(spark, d, "file_state")
-    # Languages of the index and of the larger files as they are now, both ways.
+    # Languages of the index and of the files as they are now, both ways.
     a = f.select(F.lower("language").alias("language")).distinct()
-    b = table(spark, d, "source_files").filter("length > 3000").select(F.lower("language").alias("language")).distinct()
+    b = table(spark, d, "source_files").select(F.lower("language").alias("language")).distinct()
     return a.exceptAll(b).withColumn("side", F.lit("removed")).union(b.exceptAll(a).withColumn("side", F.lit("added"))).union(
         a.join(b, "language", "left_semi").withColumn("side", F.lit("kept"))
     )
@@ -119,20 +119,20 @@ SQL = {
     "package_stats": _CTE + "SELECT package, count(DISTINCT file) AS files, count(*) AS components, list_sort(list(DISTINCT language)) AS languages FROM c JOIN pk ON starts_with(file, package || '/') GROUP BY package",
     "package_longest_prefix": _CTE + ", pp AS (SELECT package FROM pk UNION SELECT package || '/src' FROM pk) SELECT f.file, max_by(package, length(package)) AS package FROM (SELECT DISTINCT file FROM c) f LEFT JOIN pp ON starts_with(f.file, package || '/') GROUP BY f.file",
     "stats_merge": _CTE
-    + "SELECT language, greatest(sum(f), 0)::BIGINT AS files, greatest(sum(n), 0)::BIGINT AS components, greatest(sum(k), 0)::BIGINT AS lines FROM (SELECT language, files AS f, components AS n, lines AS k FROM stat UNION ALL SELECT language, -files, -components, -lines FROM hub UNION ALL SELECT * FROM rest) GROUP BY language HAVING greatest(sum(f), 0) > 0",
+    + "SELECT language, greatest(sum(f), 0)::BIGINT AS files, greatest(sum(n), 0)::BIGINT AS components, greatest(sum(k), 0)::BIGINT AS lines FROM (SELECT language, files AS f, components AS n, lines AS k FROM stat UNION ALL SELECT language, -files, 0, 0 FROM hub UNION ALL SELECT * FROM rest) GROUP BY language HAVING greatest(sum(f), 0) > 0",
     "stats_diff": _CTE
     + """, u AS (SELECT 'files' AS metric, coalesce(h.language, r.language) AS language, h.language IS NULL AS a, r.language IS NULL AS g, coalesce(h.files, 0) AS b, coalesce(r.files, 0) AS n FROM hub h FULL JOIN rest r USING (language)
 UNION ALL SELECT 'components', coalesce(h.language, r.language), h.language IS NULL, r.language IS NULL, coalesce(h.components, 0), coalesce(r.components, 0) FROM hub h FULL JOIN rest r USING (language)
 UNION ALL SELECT 'lines', coalesce(h.language, r.language), h.language IS NULL, r.language IS NULL, coalesce(h.lines, 0), coalesce(r.lines, 0) FROM hub h FULL JOIN rest r USING (language))
 SELECT language, metric, b::DOUBLE AS before, n::DOUBLE AS after, (n - b)::DOUBLE AS absolute, CASE WHEN b = 0 THEN CASE WHEN n = 0 THEN 0.0 ELSE 100.0 END ELSE round((n - b)::DOUBLE / b * 100, 2) END::DOUBLE AS percent,
 CASE WHEN a THEN 'added' WHEN g THEN 'removed' WHEN n <> b THEN 'changed' ELSE 'unchanged' END AS status FROM u""",
-    "languages_added_removed": "WITH a AS (SELECT DISTINCT lower(language) AS language FROM file_state), b AS (SELECT DISTINCT lower(language) AS language FROM source_files WHERE length > 3000) (SELECT language, 'removed' AS side FROM (FROM a EXCEPT FROM b)) UNION ALL (SELECT language, 'added' FROM (FROM b EXCEPT FROM a)) UNION ALL SELECT language, 'kept' FROM (FROM a INTERSECT FROM b)",
+    "languages_added_removed": "WITH a AS (SELECT DISTINCT lower(language) AS language FROM file_state), b AS (SELECT DISTINCT lower(language) AS language FROM source_files) (SELECT language, 'removed' AS side FROM (FROM a EXCEPT FROM b)) UNION ALL (SELECT language, 'added' FROM (FROM b EXCEPT FROM a)) UNION ALL SELECT language, 'kept' FROM (FROM a INTERSECT FROM b)",
     "stats_trend": _CTE + "SELECT b AS before, a AS after, CASE WHEN a - b > 10 THEN 'growing' WHEN a - b < -10 THEN 'shrinking' ELSE 'stable' END AS trend FROM (SELECT sum(files)::BIGINT AS b FROM hub), (SELECT sum(files)::BIGINT AS a FROM rest)",
     "language_total": _CTE + "SELECT CASE WHEN grouping(language) = 1 THEN 'Total' ELSE language END AS language, sum(files)::BIGINT AS files, sum(components)::BIGINT AS components, sum(lines)::BIGINT AS lines FROM stat GROUP BY ROLLUP (language)",
     "stats_export_csv": _CTE + "SELECT 'language' AS category, replace(language, ',', ';') AS subcategory, 'files' AS metric, files::VARCHAR AS value FROM stat UNION ALL SELECT 'language', replace(language, ',', ';'), 'components', components::VARCHAR FROM stat UNION ALL SELECT 'language', replace(language, ',', ';'), 'lines', lines::VARCHAR FROM stat",
     "stats_export_json": _CTE + """SELECT language, '{"files":' || files || ',"components":' || components || ',"lines":' || lines || '}' AS json FROM stat""",
     "stats_export_markdown": _CTE + "SELECT language, '| ' || language || ' | ' || files || ' | ' || components || ' | ' || lines || ' |' AS line FROM stat",
     "language_activity": _CTE + ", a AS (SELECT " + _LANG.format("file_path") + " AS language, sum(commit_count)::BIGINT AS t, round(avg(commit_count), 4) AS v, max(last_modified) AS x FROM m GROUP BY 1) SELECT stat.language, files, coalesce(t, 0) AS total_commits, coalesce(v, 0.0) AS avg_commits, x AS last_change FROM stat LEFT JOIN a USING (language)",
-    "package_activity": _CTE + "SELECT package, sum(commit_count)::BIGINT AS total_commits, max(last_modified) AS last_change, count(*) AS files FROM m JOIN pk ON starts_with(file_path, package || '/') GROUP BY package",
+    "package_activity": _CTE + "SELECT package, sum(commit_count)::BIGINT AS total_commits, max(last_modified) AS last_change, count(*) AS files FROM m JOIN pk ON starts_with(file_path, package) GROUP BY package",
     "extension_counts": "SELECT regexp_extract(lower(path), '\\.([^./\\\\]+)$', 1) AS extension, " + _LANG.format("path") + " AS language, count(DISTINCT path) AS files FROM source_files GROUP BY ALL",
 }

@@ -97,6 +97,11 @@ SQL = {
     "issue_refs": _CTE + "SELECT doc_id, issues, list_transform(list_distinct(regexp_extract_all(text, '#(\\d+)', 1)), lambda x: x::BIGINT) AS others FROM r JOIN d USING (doc_id) WHERE len(issues) > 0",
     "referenced_numbers": _CTE + "SELECT repository, number, count(*) AS documents FROM u GROUP BY ALL",
     "issue_context": _CTE + "SELECT u.doc_id, list(d.doc_id ORDER BY number, d.doc_id) AS related FROM u JOIN d ON d.doc_id = number AND d.repository IS NOT DISTINCT FROM u.repository WHERE d.repository IS NOT NULL AND d.doc_id <> u.doc_id GROUP BY u.doc_id",
+    "mentions_paths": _CTE + r""", e AS (SELECT '\.(?:tsx?|jsx?|py|go|rs|java|md)' AS x), q AS (SELECT doc_id, list_concat(regexp_extract_all(text, '(?i)```\w*\n(?://|#)\s*([^\n]+' || x || ')', 1), list_concat(regexp_extract_all(text, '(?i)`([^\n`]+' || x || ')`', 1),
+list_concat(list_filter(string_split(replace(replace(replace(replace(text, chr(9), ' '), chr(13), ' '), chr(10), ' '), chr(11), ' '), ' '), lambda w: regexp_full_match(w, '[A-Za-z0-9_./-]+' || x)), regexp_extract_all(text, '(?i)((?:src|packages|libs?|tests?)/[A-Za-z0-9_./-]+' || x || ')', 1)))) AS p,
+regexp_extract_all(regexp_replace(text, '@[A-Za-z0-9][-A-Za-z0-9]*\.', '.', 'g'), '(?:^|[^A-Za-z0-9])@([A-Za-z0-9][-A-Za-z0-9]*)', 1) AS m FROM d, e),
+z AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(p, lambda w: trim(trim(w), '`''"')), lambda w: length(w) > 3 AND length(w) < 200))) AS paths, list_sort(list_distinct(m)) AS mentions FROM q)
+SELECT * FROM z WHERE len(paths) > 0 OR len(mentions) > 0""",
     "keywords": _CTE + f""", w AS (SELECT doc_id, {_WORDS} AS w FROM d), x AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM w),
 g AS (SELECT doc_id, word, count(*) AS times, min(pos) AS first FROM x GROUP BY ALL)
 SELECT doc_id, rank, word, times FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, first)::INT AS rank FROM g) WHERE rank <= 10""",

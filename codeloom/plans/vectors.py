@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from codeloom.io import table
 from codeloom.operators import search as S
 from codeloom.operators import vectors as V
+from codeloom.plans.embedding_sql import distances, embedded
 
 REF = 7
 
@@ -68,7 +69,14 @@ def _components(spark, d):
 
 
 def text_search(spark, d):
-    return S.search(_components(spark, d), "parse the socket cache of a worker", 10).select("id", F.round("score", 6).alias("score"))
+    return S.search(_components(spark, d), "parse the socket cache of a worker", 10).select("id", F.round("score", 4).alias("score"))
+
+
+def similar_by_path(spark, d):
+    """Components like the path of a file, its own left out: the first path of the table is looked up."""
+    c = _components(spark, d)
+    path = table(spark, d, "components").agg(F.min("file").alias("p")).first().p
+    return S.similar_to_path(c, path, 20, 0.1).select("id", F.round("score", 4).alias("score"))
 
 
 def symbol_search(spark, d):
@@ -79,8 +87,16 @@ def test_search(spark, d):
     return S.related_test_components(_components(spark, d), "cache snapshot").select("file")
 
 
-_F = (vector_topk, vector_topk_threshold, vector_query, similar_by_id_exclude_group, topk_per_query, vectors_by_label, vectors_upsert, vectors_delete, text_search, symbol_search, test_search)
+_F = (vector_topk, vector_topk_threshold, vector_query, similar_by_id_exclude_group, topk_per_query, vectors_by_label, vectors_upsert, vectors_delete, text_search, symbol_search, test_search, similar_by_path)
 QUERIES = {f.__name__: f for f in _F}
+_TEXTS = "WITH c AS (SELECT DISTINCT ON (id) * FROM components), t AS (SELECT id, concat_ws(chr(10) || chr(10), CASE WHEN coalesce(name, '') <> '' THEN concat_ws(': ', type, name) END, nullif(text, '')) AS text FROM c), "
+
+
+def _searched(queries: str) -> str:
+    """CTEs down to `hit`(query_id, id, distance) of all components for the queries given as VALUES (id, text)."""
+    return _TEXTS + f"qs AS (SELECT * FROM (VALUES {queries}) v(id, text)), " + embedded("qe", "qs") + "," + embedded("ce", "t") + "," + distances("hit", "qe", "ce", "t")
+
+
 _CTE = f"""
 WITH q AS (SELECT embedding::DOUBLE[] AS v, label AS g FROM embeddings WHERE vec_id = {REF}),
 x AS (SELECT vec_id, label, list_distance(embedding::DOUBLE[], q.v) AS dist FROM embeddings, q),
@@ -98,5 +114,12 @@ SELECT vec_id, label, round(dist, 6) AS distance, round(exp(-dist*dist), 6) AS s
 SELECT query_id, vec_id, round(dist, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id)::INT AS rank FROM p) WHERE rank <= 3""",
     "vectors_by_label": "SELECT label, count(*) AS n, round(avg(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS mean_square FROM embeddings GROUP BY label",
     "vectors_upsert": "SELECT label, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM (SELECT vec_id, label FROM embeddings WHERE vec_id % 4 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 4 = 0 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 4 = 0) GROUP BY label",
+    "text_search": _searched("('q', 'parse the socket cache of a worker')") + " SELECT id, round(exp(-distance * distance), 4) AS score FROM hit ORDER BY distance, id LIMIT 10",
+    "symbol_search": _searched("('q', 'mapTable')") + """, h AS (SELECT c.id, name, file, signature, distance FROM hit JOIN c ON c.id = hit.id ORDER BY distance, c.id LIMIT 10)
+SELECT id, name FROM h ORDER BY CASE WHEN name = 'mapTable' THEN 0 WHEN contains(file, 'mapTable') OR contains(signature, 'mapTable') THEN 1 ELSE 2 END, distance, id LIMIT 1""",
+    "test_search": _searched("(0, 'test cache snapshot'), (1, 'cache snapshot test'), (2, 'cache snapshot spec'), (3, 'describe cache snapshot')") + """
+SELECT DISTINCT file FROM (SELECT query_id, file, row_number() OVER (PARTITION BY query_id ORDER BY distance, c.id) AS r FROM hit JOIN c ON c.id = hit.id WHERE contains(file, '.test.') OR contains(file, '.spec.')) WHERE r <= 5""",
+    "similar_by_path": _TEXTS + "qs AS (SELECT 'q' AS id, min(file) AS text FROM components), " + embedded("qe", "qs") + "," + embedded("ce", "t") + "," + distances("hit", "qe", "ce", "t") + """
+SELECT c.id AS id, round(exp(-distance * distance), 4) AS score FROM (SELECT * FROM hit ORDER BY distance, id LIMIT 21) h JOIN c ON c.id = h.id WHERE exp(-distance * distance) >= 0.1 AND c.file <> (SELECT text FROM qs) ORDER BY distance, c.id LIMIT 20""",
     "vectors_delete": "SELECT vec_id, label FROM embeddings WHERE NOT label < 3",
 }
