@@ -72,7 +72,9 @@ def running_total(df: DataFrame, by: list[str], order: list[str], n: str) -> Dat
     """df with `upto`, the sum of n over the rows of the same group up to each one in order, itself included, and `total`,
     the sum over the group. Rows are split into ranges of (by, order); ranges are added up first, so a group that holds
     all rows is spread over as many tasks as there are ranges. Rows that tie in order must not be told apart."""
-    ranges = stored(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    by, keys = [*by, "_group"], by  # one constant more, so that there may be no group
+    df = df.withColumn("_group", F.lit(0))
+    ranges = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     per = ranges.groupBy(*by, "_range").agg(F.sum(n).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     per = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("total", F.sum("_n").over(Window.partitionBy(*by))).drop("_n")
@@ -80,4 +82,4 @@ def running_total(df: DataFrame, by: list[str], order: list[str], n: str) -> Dat
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
     x = ranges.join(per, [*same, F.col("_range") == F.col("_r")])
     inside = Window.partitionBy(*by, "_range").orderBy(*order)
-    return x.withColumn("upto", F.sum(n).over(inside) + F.col("_before")).drop("_range", "_r", "_before", *[f"_k{i}" for i in range(len(by))])
+    return x.withColumn("upto", F.sum(n).over(inside) + F.col("_before")).drop("_range", "_r", "_before", "_group", *[f"_k{i}" for i in range(len(by))])

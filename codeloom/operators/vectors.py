@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.io import running_total
+
 
 def l2_distance(a: Column, b: Column) -> Column:
     """Accumulated in double; null where a side is null or the lengths differ."""
@@ -45,42 +47,72 @@ def top_k_by_id(vectors: DataFrame, ref_id: int, k: int = 10, threshold: float |
 
 
 def similar_outside_group(vectors: DataFrame, ref_id: int, group_col: str, k: int = 10, threshold: float = 0.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Rows similar to a stored one from other groups (files): k plus the size of its own group are fetched, its own
-    group is dropped, the rest isn't cut again."""
-    own = vectors.join(vectors.filter(F.col(id_col) == ref_id).select(group_col).limit(1), group_col, "left_semi")
-    fetch = k + own.count()
-    ref_group = vectors.filter(F.col(id_col) == ref_id).select(F.col(group_col).alias("_g")).limit(1)
-    hits = top_k_by_id(vectors, ref_id, fetch, threshold, id_col, vec_col)
-    return hits.join(F.broadcast(ref_group), hits[group_col] == F.col("_g"), "left_anti")
+    """Rows similar to a stored one from other groups (files): of the k plus own-group-size nearest those of its own group
+    are dropped, the rest isn't cut again. Places in that order are counted range by range, so a large group isn't sorted
+    in one task."""
+    ref = vectors.filter(F.col(id_col) == ref_id).select(F.col(vec_col).alias("_q"), F.col(group_col).alias("_g")).limit(1)
+    x = vectors.join(F.broadcast(ref), how="cross")
+    own = F.col(group_col).eqNullSafe(F.col("_g"))
+    x = x.withColumn("distance", l2_distance(F.col(vec_col), F.col("_q"))).filter("distance is not null").withColumn("_own", own).drop("_q", "_g", vec_col)
+    x = running_total(x.withColumn("_one", F.lit(1)), [], ["distance", id_col], "_one")
+    fetch = k + vectors.join(F.broadcast(ref.select("_g")), vectors[group_col].eqNullSafe(F.col("_g")), "left_semi").count()
+    x = x.filter((F.col("upto") <= fetch) & ~F.col("_own")).withColumn("score", score(F.col("distance")))
+    return x.filter(F.col("score") >= threshold).drop("_own", "_one", "upto", "total")
 
 
-#: Queries that are compared at once: the size of the matrix that every task gets.
-QUERY_BLOCK = 4096
+#: Queries, and rows, that are compared at once: the size of a matrix in a task.
+QUERY_BLOCK, ROW_TILE = 4096, 4096
 
 
 def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, id, distance, rank: the k nearest rows for each row of `queries` (a stated query set, in the same
-    columns), itself excluded. Queries come in blocks of bounded size; each batch of rows keeps its k nearest per query,
-    so pairs are never written out, and only k rows a query and batch are shuffled. Rows whose vector is null or of
-    another length than the queries' are left out."""
+    columns), itself excluded. Each batch of rows keeps its k nearest per query in the task, so pairs are never written
+    out, and only k rows a query and batch are shuffled. Rows whose vector is null or of another length than the queries'
+    are left out.
+
+    Queries that fit one block go to every task. More are blocks in a table of their own: they meet the rows, packed into
+    tiles, by an equi-join on lanes, so neither the driver nor a task holds the query set."""
     q = queries.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col).dropDuplicates([id_col])
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     kind = dict(vectors.dtypes)[id_col]
-    found = None
-    for i in range(blocks):
-        rows = q.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i).collect()  # about QUERY_BLOCK rows
-        if not rows:
-            continue
-        ids = [r[0] for r in rows]
-        matrix = np.array([r[1] for r in rows], np.float64)
-        x = vectors.select(id_col, vec_col).mapInArrow(_nearest(ids, matrix, k), f"query_id {kind}, {id_col} {kind}, distance double")
-        found = x if found is None else found.unionByName(x)
-    if found is None:
-        found = vectors.select(F.col(id_col).alias("query_id"), id_col, F.lit(0.0).alias("distance")).limit(0)
+    schema = f"query_id {kind}, {id_col} {kind}, distance double"
+    rows = vectors.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col)
+    if blocks == 1:
+        own = q.collect()  # at most QUERY_BLOCK rows
+        if not own:
+            return vectors.select(F.col(id_col).alias("query_id"), id_col, F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
+        found = rows.mapInArrow(_nearest([r[0] for r in own], np.array([r[1] for r in own], np.float64), k), schema)
+    else:
+        lanes = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dim = F.size(vec_col)
+        pack = lambda df: df.groupBy("_p", "_dim").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))).alias("m"))
+        tiles = max(1, -(-rows.count() // ROW_TILE))
+        b = pack(q.withColumn("_p", F.pmod(F.xxhash64(id_col), F.lit(blocks))).withColumn("_dim", dim))
+        t = pack(rows.withColumn("_p", F.pmod(F.xxhash64(id_col), F.lit(tiles))).withColumn("_dim", dim))
+        b = b.select("_dim", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("m").alias("q"))
+        t = t.select("_dim", F.pmod("_p", F.lit(lanes)).cast("int").alias("lane"), F.col("m").alias("r"))
+        found = t.join(b, ["lane", "_dim"]).select("q", "r").mapInArrow(_nearest_of_tiles(k, id_col), schema)
     w = Window.partitionBy("query_id").orderBy("distance", id_col)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _kept(ids: list, matrix: np.ndarray, squares: np.ndarray, own: list, m: np.ndarray, k: int) -> tuple[list, list, list]:
+    """Query ids, row ids and distances of the k nearest rows of a batch to each query; ties at the edge stay in, so that
+    the order by id is that of all rows."""
+    d = squares[:, None] + (m**2).sum(1)[None, :] - 2 * matrix @ m.T
+    most = min(k + 1, d.shape[1])
+    edge = (np.partition(d, most - 1, axis=1)[:, most - 1] if most < d.shape[1] else d.max(1)) + 1e-9
+    out: tuple[list, list, list] = ([], [], [])
+    for i, j in zip(*np.nonzero(d <= edge[:, None])):
+        if own[j] != ids[i]:
+            out[0].append(ids[i]), out[1].append(own[j]), out[2].append(float(np.sqrt(((matrix[i] - m[j]) ** 2).sum())))
+    return out
+
+
+def _batch(rows: tuple[list, list, list], kind: pa.DataType, id_col: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], kind), pa.array(rows[1], kind), pa.array(rows[2], pa.float64())], names=["query_id", id_col, "distance"])
+
+
 def _nearest(ids: list, matrix: np.ndarray, k: int):
     squares = (matrix**2).sum(1)
 
@@ -92,18 +124,22 @@ def _nearest(ids: list, matrix: np.ndarray, k: int):
                 continue
             own = b.column(0).take(pa.array(keep)).to_pylist()
             m = lists.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keep), -1)
-            d = squares[:, None] + (m**2).sum(1)[None, :] - 2 * matrix @ m.T
-            most = min(k + 1, d.shape[1])
-            near = np.argpartition(d, most - 1, axis=1)[:, :most] if most < d.shape[1] else np.tile(np.arange(most), (len(ids), 1))
-            out: tuple[list, list, list] = ([], [], [])
-            for i, row in enumerate(near):
-                # Ties at the edge stay in, so that the order by id is that of all rows.
-                edge = d[i, row].max() + 1e-9
-                for j in np.flatnonzero(d[i] <= edge):
-                    if own[j] != ids[i]:
-                        out[0].append(ids[i]), out[1].append(own[j]), out[2].append(float(np.sqrt(((matrix[i] - m[j]) ** 2).sum())))
-            t = b.schema.field(0).type
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], t), pa.array(out[1], t), pa.array(out[2], pa.float64())], names=["query_id", b.schema.names[0], "distance"])
+            yield _batch(_kept(ids, matrix, squares, own, m, k), b.schema.field(0).type, b.schema.names[0])
+
+    return run
+
+
+def _nearest_of_tiles(k: int, id_col: str):
+    def side(column: pa.Array, i: int) -> tuple[list, np.ndarray]:
+        rows = column[i].values
+        ids, lists = rows.field("id").to_pylist(), rows.field("v")
+        return ids, lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                (ids, matrix), (own, m) = side(b.column(0), i), side(b.column(1), i)
+                yield _batch(_kept(ids, matrix, (matrix**2).sum(1), own, m, k), b.column(0).type.value_type.field("id").type, id_col)
 
     return run
 

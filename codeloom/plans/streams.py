@@ -12,7 +12,7 @@ def _e(spark, d):
 
 def rate_limit_stream(spark, d):
     x = replayed(S.rate_limited(_e(spark, d).select("event_id", "ts", "user_id", "event_type"), "event_type", 20.0, 0.02))
-    return x.select("event_type", "event_id", "allowed")
+    return x.select("event_type", "event_id", "allowed", "retry_after")
 
 
 def request_correlation_stream(spark, d):
@@ -36,6 +36,10 @@ def snapshot_stream(spark, d):
 _F = (rate_limit_stream, request_correlation_stream, windowed_stream, recent_history_stream, snapshot_stream)
 QUERIES = {f.__name__: f for f in _F}
 SQL = {
+    "rate_limit_stream": """WITH RECURSIVE e AS (SELECT event_type AS k, event_id AS i, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+b AS (SELECT k, i, t, 1::BIGINT AS r, 19.0::DOUBLE AS left_, true AS ok FROM e WHERE r = 1
+UNION ALL SELECT e.k, e.i, e.t, e.r, x.now_ - CASE WHEN x.now_ >= 1 THEN 1 ELSE 0 END, x.now_ >= 1 FROM b JOIN e ON e.k = b.k AND e.r = b.r + 1, LATERAL (SELECT least(20.0::DOUBLE, b.left_ + (e.t - b.t) / 1e6::DOUBLE * 0.02::DOUBLE) AS now_) x)
+SELECT k AS event_type, i AS event_id, ok AS allowed, CASE WHEN NOT ok THEN 50 END::BIGINT AS retry_after FROM b""",
     "request_correlation_stream": "SELECT s.user_id, s.event_id AS start_id, e.event_id AS end_id FROM events s JOIN events e ON s.user_id = e.user_id AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 1 HOUR WHERE s.event_type = 'view' AND e.event_type = 'purchase'",
     "windowed_stream": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS start, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "recent_history_stream": "SELECT event_type, list_sort(list(event_id)) AS event_ids FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20 GROUP BY event_type",

@@ -56,6 +56,40 @@ class GitLogReader(DataSourceReader):
             yield (record,)
 
 
+class GitBlame(DataSource):
+    """Options: repository, path, and first and last for a range of lines (both or none). Rows: file, n, line, as
+    `parse_blame` takes them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_blame"
+
+    def schema(self) -> str:
+        return "file string, n long, line string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return GitBlameReader(self.options)
+
+
+class GitBlameReader(DataSourceReader):
+    def __init__(self, options) -> None:
+        o = dict(options)
+        self.repository, self.path = o["repository"], o["path"]
+        self.range = ["-L", f"{o['first']},{o['last']}"] if o.get("first") and o.get("last") else []
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(0)]  # one file
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, str]]:
+        for n, line in enumerate(_git(self.repository, "blame", "--porcelain", *self.range, "--", self.path).split("\n")):
+            yield self.path, n, line
+
+
+def commit_of(commits_: DataFrame, hash: str) -> DataFrame:
+    """The commit of a full or short hash; no row if there is none."""
+    return commits_.filter((F.col("hash") == hash) | (F.col("short_hash") == hash))
+
+
 def commits(records: DataFrame) -> DataFrame:
     """Raw records to commits with issue and pull references; records with too few fields fall out."""
     p = F.split("record", "\x1f")

@@ -48,3 +48,8 @@ def search(docs: DataFrame, kind=None, state=None, author=None, labels: list[str
 
 def state_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("type").pivot("state", ["open", "closed", "merged"]).count().na.fill(0)
+
+
+def all_documents(issues: DataFrame, pulls: DataFrame, repository: str) -> DataFrame:
+    """Issues and pull requests of two exports, one after the other."""
+    return to_documents(issues, "issue", repository).unionByName(to_documents(pulls, "pull_request", repository))

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from codeloom.io import shared_dir
 
 
-def read_table_stream(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A table as a file stream: a folder of files, or one file picked from its folder by name."""
+def read_table_stream(spark: SparkSession, base: str, name: str, files_per_trigger: int = 16) -> DataFrame:
+    """A table as a file stream: a folder of files, or one file picked from its folder by name. A trigger takes so many
+    files at most."""
     at = f"{base}/{name}.parquet"
     schema = spark.read.parquet(at).schema
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    stream = spark.readStream.schema(schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if fs.getFileStatus(path).isDirectory():
         return stream.parquet(at)
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(base)

@@ -15,16 +15,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def rate_limited(stream: DataFrame, key: str, capacity: float = 100.0, per_second: float = 10.0, time: str = "ts", order: str = "event_id") -> DataFrame:
-    """key, event_id, ts, allowed: a token bucket per key. The bucket starts full, refills by elapsed time up to its
-    capacity, and an event passes if a whole token is left. Events of one trigger are taken in the order of time and id;
-    an event older than the bucket's clock refills nothing."""
+    """key, event_id, ts, allowed, retry_after: a token bucket per key. The bucket starts full, refills by elapsed time up
+    to its capacity, and an event passes if a whole token is left; an event that doesn't may come again after the seconds
+    that one token takes. Events of one trigger are taken in the order of time and id, so a trigger should be small (the
+    source's maxFilesPerTrigger); an event older than the bucket's clock refills nothing."""
     if capacity <= 0 or per_second <= 0:
         raise ValueError("capacity and rate must be positive")
     kinds = dict(stream.dtypes)
+    wait = int(-(-1 // per_second))
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, clock = state.get if state.exists else (capacity, None)
-        rows = pd.concat(list(batches)).sort_values([time, order])
+        rows = pd.concat([b[[order, time]] for b in batches]).sort_values([time, order])
         allowed = []
         for at in rows[time].astype("int64") // 1000 if str(rows[time].dtype) == "datetime64[ns]" else rows[time].astype("datetime64[us]").astype("int64"):
             if clock is not None and at > clock:
@@ -34,10 +36,11 @@ def rate_limited(stream: DataFrame, key: str, capacity: float = 100.0, per_secon
             tokens -= ok
             allowed.append(bool(ok))
         state.update((float(tokens), int(clock)))
-        yield pd.DataFrame({key: k[0], order: rows[order], time: rows[time], "allowed": allowed})
+        later = pd.array([None if ok else wait for ok in allowed], dtype="Int64")
+        yield pd.DataFrame({key: k[0], order: rows[order].to_numpy(), time: rows[time].to_numpy(), "allowed": allowed, "retry_after": later})
 
-    return stream.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kinds[key]}, {order} {kinds[order]}, {time} {kinds[time]}, allowed boolean", "tokens double, clock long", "append", GroupStateTimeout.NoTimeout
+    return stream.select(key, order, time).groupBy(key).applyInPandasWithState(
+        step, f"{key} {kinds[key]}, {order} {kinds[order]}, {time} {kinds[time]}, allowed boolean, retry_after long", "tokens double, clock long", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -57,17 +60,21 @@ def windowed_counts(stream: DataFrame, by: str, size: str = "1 day", late: str =
 
 
 def recent_history(stream: DataFrame, key: str, n: int) -> DataFrame:
-    """key, event_ids: the last n events of each key after every trigger that brings one (a bounded buffer)."""
+    """key, event_ids: the last n events of each key by time and id, oldest first, after every trigger that brings one. No
+    more than n events and one batch of a key are held at a time."""
     kinds = dict(stream.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        kept = (kept + rows["event_id"].tolist())[-n:]
-        state.update((kept,))
-        yield pd.DataFrame({key: [k[0]], "event_ids": [kept]})
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, event_ids array<long>", "kept array<long>", "update", GroupStateTimeout.NoTimeout)
+        ids, times = state.get if state.exists else ([], [])
+        kept = list(zip(times, ids))
+        for b in batches:
+            micros = b["ts"].astype("datetime64[us]").astype("int64")
+            kept = sorted([*kept, *zip(micros.tolist(), b["event_id"].tolist())])[-n:]
+        ids, times = [i for _, i in kept], [t for t, _ in kept]
+        state.update((ids, times))
+        yield pd.DataFrame({key: [k[0]], "event_ids": [ids]})
+
+    return stream.select(key, "ts", "event_id").groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, event_ids array<long>", "ids array<long>, times array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def distinct_rows(stream: DataFrame, key: str, late: str = "2 days") -> DataFrame:

@@ -101,8 +101,10 @@ def test_map_and_calls(spark):
         [("a", "src/planner.ts", "createPlan", [("fetchIssue", "src/github.ts", 15), ("analyzeCode", None, 20)]), ("b", "src/executor.ts", "runPlan", [("createPlan", "src/planner.ts", 10), ("this.createPlan", None, 12)]), ("c", "src/cli.ts", "main", None)],
         "id string, file string, name string, callees array<struct<name string, file string, line long>>",
     ).withColumns({"language": F.lit("typescript"), "start_line": F.lit(1)})
-    t = spark.createDataFrame([("createPlan",)], "name string")
-    assert [(r.target, r.caller_id, r.line) for r in Sr.callers(Sr.call_edges(k), t).collect()] == [("createPlan", "b", 10)]
+    t = spark.createDataFrame([("a", "createPlan")], "id string, name string")
+    # A component of the target's name in another file is a caller, the target itself is not.
+    k = k.union(spark.createDataFrame([("d", "src/other.ts", "createPlan", [("createPlan", "src/planner.ts", 3)], "typescript", 1), ("a", "src/planner.ts", "createPlan", [("createPlan", None, 9)], "typescript", 1)], k.schema).filter("id = 'd'"))
+    assert {(r.target, r.caller_id, r.line) for r in Sr.callers(Sr.call_edges(k), t).collect()} == {("createPlan", "b", 10), ("createPlan", "d", 3)}
     assert [r.callee_name for r in Sr.callees(k, t).orderBy("position").collect()] == ["fetchIssue", "analyzeCode"]
 
 
@@ -142,7 +144,7 @@ def test_files(spark):
     assert {(r.path, r.test) for r in Fi.related_tests(f).collect() if r.test} == {("a/x.ts", "a/x.test.ts")}
     assert {(r.id, r.type, r.exported) for r in Fi.declarations(f).collect()} == {("a/x.ts:one:2", "function", True), ("c.go:T.Run:5", "method", True), ("d.py:go:1", "function", True)}
     assert [(r.file, r.line_no, r.doc) for r in Fi.doc_lines(f).filter("file = 'c.go'").collect()] == [("c.go", 5, "Says a\nlot")]
-    assert {(r.id, r.docstring) for r in Fi.markdown_sections(f).collect()} == {("e.md:one:1", "text\n```\n# no\n```"), ("e.md:three:8", "more")}
+    assert {(r.id, r.docstring) for r in Fi.markdown_sections(f).collect()} == {("e.md:one:1", "text\n\n```\n# no\n```"), ("e.md:three:8", "more")}
     lines = spark.createDataFrame([("line 1\nline 2\nline 3\n",)], "c string").select(Fi.line_count(F.col("c")).alias("n")).first().n
     assert lines == 4
     state = spark.createDataFrame([("a/x.ts", "old"), ("gone.ts", "h")], "path string, hash string")
@@ -164,7 +166,7 @@ def test_tokens_and_formats(spark):
 
 
 def test_git(spark, tmp_path):
-    from codeloom.sources.git import GitLog, change_frequency, commit_files, commits, parse_blame
+    from codeloom.sources.git import GitBlame, GitLog, change_frequency, commit_files, commit_of, commits, parse_blame
 
     def git(*a):
         subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=T", "-c", "user.email=t@x.org", *a], check=True, capture_output=True)
@@ -183,14 +185,19 @@ def test_git(spark, tmp_path):
     raw = subprocess.run(["git", "-C", str(tmp_path), "blame", "--porcelain", "file1.ts"], capture_output=True, text=True).stdout.split("\n")
     b = parse_blame(spark.createDataFrame([("file1.ts", i, x) for i, x in enumerate(raw)], "file string, n long, line string"))
     assert [(r.line_no, r.author, r.content) for r in b.orderBy("line_no").collect()] == [(1, "T", "line"), (2, "T", "line"), (3, "T", "line")]
+    spark.dataSource.register(GitBlame)
+    part = parse_blame(spark.read.format("git_blame").option("repository", str(tmp_path)).option("path", "file1.ts").option("first", "2").option("last", "3").load())
+    assert [r.line_no for r in part.orderBy("line_no").collect()] == [2, 3]
+    first = c.filter("subject = 'Initial commit'").first()
+    assert commit_of(c, first.short_hash).first().hash == first.hash and commit_of(c, "0" * 40).count() == 0
 
 
 def test_issues_and_tables(spark, tmp_path):
     import json
 
     from codeloom.sources import issues as I
+    from codeloom.sources import tables as Tb
     from codeloom.sources.trees import read_tree
-    from codeloom.sources.versioned import VersionedTable
 
     (tmp_path / "i.json").write_text(json.dumps([{"number": 42, "title": "Add login", "body": "see #7 and https://h.org/o/r/pull/9 `src/a.ts` @ann #42", "state": "OPEN", "labels": [{"name": "feature"}], "author": {"login": "bob"}, "createdAt": "2024-01-01T00:00:00Z", "comments": [{"body": "x"}]}, {"number": 43, "title": None, "state": "CLOSED", "mergedAt": "2024-02-01T00:00:00Z"}]))
     d = I.to_documents(I.read_export(spark, str(tmp_path / "i.json")), "pull_request", "o/r")
@@ -198,12 +205,15 @@ def test_issues_and_tables(spark, tmp_path):
     assert (a.state, a.related_issues, a.related_prs, a.linked_files, a.mentions, a.comments, a.labels) == ("open", [7], [9], ["src/a.ts"], ["ann"], 1, ["feature"])
     assert (b.state, b.body, b.labels, b.comments) == ("merged", "", [], 0)
     assert I.search(d, labels=["feature"], since="2023-01-01").count() == 1 and I.state_counts(d).first().merged == 1
-    t = VersionedTable(spark, str(tmp_path / "t"), "k")
-    assert t.read() is None and t.count() == 0
-    t.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"))
-    t.upsert(spark.createDataFrame([(2, "c")], "k long, v string"))
-    t.delete(spark.createDataFrame([(1,)], "k long"))
-    assert [tuple(r) for r in t.read().collect()] == [(2, "c")] and t.get(2).count() == 1
+    t = str(tmp_path / "t")
+    Tb.save(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), t, "k")
+    Tb.upsert_into(spark, t, spark.createDataFrame([(2, "c")], "k long, v string"), "k")
+    Tb.delete_from(spark, t, spark.createDataFrame([(1,)], "k long"), "k")
+    assert [tuple(r) for r in spark.read.parquet(t).collect()] == [(2, "c")]
+    Tb.clear(spark, t)
+    assert spark.read.parquet(t).columns == ["k", "v"] and spark.read.parquet(t).count() == 0
+    both = I.all_documents(I.read_export(spark, str(tmp_path / "i.json")), I.read_export(spark, str(tmp_path / "i.json")), "o/r")
+    assert {(r.type, r.number) for r in both.collect()} == {(k, n) for k in ("issue", "pull_request") for n in (42, 43)}
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.ts").write_text("x")
     r = read_tree(spark, str(tmp_path / "src"), "o/r", "*.ts").first()
@@ -254,3 +264,130 @@ def test_budgets_see_every_row_of_a_large_file(spark, tmp_path):
     assert {r.id for r in P.token_budget_cut(spark, str(tmp_path)).collect()} == cut
     assert {(r.id, r.level) for r in P.token_budget_adaptive(spark, str(tmp_path)).collect()} == adaptive
     assert B.rank_rows(c, ["file"], [F.col("id")], 50).count() == 51
+
+
+def test_queries_in_blocks_give_the_same_neighbours(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    v = spark.createDataFrame([(i, [rnd.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(200)] + [(900, None), (901, [1.0])], "vec_id long, embedding array<float>")
+    q = v.filter("vec_id % 10 = 0")
+    one = {(r.query_id, r.vec_id, r["rank"]) for r in V.top_k_per_query(v, q, 4).collect()}
+    monkeypatch.setattr(V, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(V, "ROW_TILE", 30)
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in V.top_k_per_query(v, q, 4).collect()} == one and len(one) == 80
+
+
+def test_running_totals_over_ranges(spark):
+    from codeloom.io import running_total
+
+    rows = [("a" if i % 3 else None, i % 17, 1 + i % 2) for i in range(300)]
+    per = spark.createDataFrame(rows, "g string, v long, n long").groupBy("g", "v").agg(F.sum("n").alias("n"))
+    got = {(r.g, r.v): (r.upto, r.total) for r in running_total(per, ["g"], ["v"], "n").collect()}
+    want = {(g, v): (sum(n for h, w, n in rows if h == g and w <= v), sum(n for h, _, n in rows if h == g)) for g, v, _ in rows}
+    assert got == want and running_total(per.limit(0), [], ["v"], "n").count() == 0
+
+
+def test_shared_folder_and_small_tables(spark, monkeypatch):
+    from codeloom import io
+
+    class Far:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": "yarn"}.get(key, default)
+
+    with pytest.raises(ValueError):
+        io.shared_dir(Far)
+    df = spark.createDataFrame([("x" * 100, [1, 2])] * 20, "s string, a array<int>")
+    broadcast = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert broadcast(io.broadcast_small(df)) and not broadcast(io.broadcast_small(df, 1000))
+    import os
+
+    io.WRITTEN.clear()
+    io.stored(df, "gone")
+    path = io.WRITTEN[0]
+    assert os.path.isdir(path)
+    io.clear_stored(spark)
+    assert not os.path.exists(path) and not io.WRITTEN
+
+
+def test_spans(spark):
+    from codeloom.operators import scanner as N
+
+    ts = "// Adds one.\n// @internal\nexport const useAdd = async (\n  a: number,\n): Promise<number> => {\n  return a;\n};\n\nexport const LIST = [\n  1,\n];\nexport type T = 'a';\n\ninterface I {\n  x: number;\n}\n"
+    py = 'class A:\n    """Says what it is."""\n\n    def run(self):\n        return 1\n\n\n# about f\ndef f(\n    a,\n):\n    return a\n'
+    go = "package a\n\n// Kind of thing.\ntype Kind int\n\ntype S[T any, K comparable] struct {\n\tA int\n}\n\nconst (\n\tOne Kind = iota\n\ttwo\n)\n\nconst Max = 3 // most\n"
+    f = spark.createDataFrame([("a.ts", ts, 1), ("b.py", py, 1), ("c.go", go, 1), ("a.ts", ts, 1), ("n.ts", None, 0), (None, "x", 1)], "path string, content string, length long").withColumn("language", F.lit(None).cast("string"))
+    got = {r.name: r for r in N.spans(f).collect()}
+    assert {(n, r.start_line, r.end_line) for n, r in got.items()} == {("useAdd", 3, 7), ("LIST", 9, 11), ("T", 12, 12), ("I", 14, 16), ("A", 1, 5), ("f", 9, 12), ("S", 6, 8)}
+    assert got["useAdd"].docstring == "Adds one." and got["A"].docstring == "Says what it is." and got["I"].docstring is None
+    assert (got["useAdd"].is_async, got["useAdd"].is_arrow_function, got["useAdd"].is_hook, got["useAdd"].is_constant) == (True, True, True, False)
+    assert (got["LIST"].is_constant, got["LIST"].constant_kind) == (True, "array") and got["f"].snippet.endswith("return a")
+    assert {(r.name, r.type, r.exported) for r in N.go_members(f).collect()} == {("Kind", "type", True), ("One", "variable", True), ("Max", "variable", True)}
+    assert one(spark, N.type_parameters, "type S[T any, K comparable] struct") == ["T any", "K comparable"] and one(spark, N.type_parameters, "func f()") == []
+    assert {(r.language, r.error, r.files) for r in N.scan_errors(f).collect()} == {("typescript", "empty", 1)}
+    assert N.spans(f.limit(0)).count() == 0
+
+
+def test_spans_agree_with_delivered_components(spark):
+    import os
+
+    from codeloom.io import table
+    from codeloom.operators import scanner as N
+
+    base = os.environ.get("CODELOOM_TESTDATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
+    rows = N.span_agreement(table(spark, base, "source_files"), table(spark, base, "components")).collect()
+    found = sum(r.found for r in rows)
+    assert found > 50 and sum(r.same_end for r in rows) == found and sum(r.same_snippet for r in rows) >= 0.97 * found
+
+
+def test_history(spark):
+    from codeloom.operators import history as H
+
+    rows = [(i, f"feat: step {i}\n\n" + "body " * 200, "commit", f"f{i % 2}.ts", "r", f"2024-01-{i + 1:02d}") for i in range(25)] + [(90, None, "commit", "old.ts", "r", "2023-01-01"), (91, "x", "issue", "f0.ts", "r", "2024-01-01"), (92, "note", "commit", None, None, None)]
+    d = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, kind string, file string, repository string, t string").withColumn("created_at", F.to_timestamp("t"))
+    got = {(r.file, r.position): r.doc_id for r in H.file_history(d, n=3).collect()}
+    assert got == {("f0.ts", 1): 24, ("f0.ts", 2): 22, ("f0.ts", 3): 20, ("f1.ts", 1): 23, ("f1.ts", 2): 21, ("f1.ts", 3): 19, ("old.ts", 1): 90}
+    renames = spark.createDataFrame([("f0.ts", "mid.ts"), ("mid.ts", "old.ts"), ("old.ts", "older.ts")], "path string, previous_path string")
+    assert {tuple(r) for r in H.earlier_names(renames).filter("path = 'f0.ts'").collect()} == {("f0.ts", "mid.ts"), ("f0.ts", "old.ts"), ("f0.ts", "older.ts")}
+    assert {r.doc_id for r in H.file_history(d, renames, 30).filter("file = 'f0.ts'").collect()} == {i for i in range(25) if i % 2 == 0} | {90}
+    cut = H.commit_budget(d.filter("doc_id < 25"), "repository", 330).orderBy("rank").collect()
+    assert cut[0].doc_id == 24 and cut[0].tokens > 200 and all(r.tokens < 10 for r in cut[1:]) and cut[-1].used + 50 <= 330 < cut[-1].used + 50 + 10
+    assert {r.criterion for r in H.acceptance_criteria(spark.createDataFrame([(1, "- [ ] other\n## Acceptance Criteria\n- [ ] one\n- [x] two\n- [ ] three\n## Notes\n- [ ] four"), (2, None)], "doc_id long, text string")).collect()} == {"one", "three"}
+    q = spark.createDataFrame([("Title #1", "see [docs](http://x) and `code`\n```\nhidden\n```\nend")], "title string, body string").select(H.search_query().alias("q")).first().q
+    assert q == "Title 1 see docs and code\n\nend"
+    assert one(spark, H.clean_description, " a<!-- x\ny -->\n\n\n\nb ") == "a\n\nb"
+    assert H.commit_search(d.limit(0), "x").count() == 0 and H.related_by_title(d, 12345).count() == 0
+
+
+def test_components(spark):
+    from codeloom.operators import components as K
+
+    rows = [("a", "x.ts", "function", "TypeScript", True, "f", ["m", "n"], 2, 3), ("b", "x.ts", "class", None, None, "C", ["m"], 1, 1), ("c", "y.go", "Function", "go", False, None, None, None, None)]
+    c = spark.createDataFrame(rows + rows[:1], "id string, file string, type string, language string, exported boolean, name string, imports array<string>, start_line long, end_line long")
+    ids = lambda d: sorted({r.id for r in d.collect()})
+    assert ids(K.by_export(c)) == ["a"] and ids(K.by_export(c, False)) == ["c"] and ids(K.by_types(c, ["function"])) == ["a"] and ids(K.by_languages(c, ["typescript"])) == ["a"]
+    f = spark.createDataFrame([("x.ts", "l1\nl2\nl3"), ("x.ts", "l1\nl2\nl3"), ("y.go", None)], "path string, content string")
+    ch = spark.createDataFrame([("x.ts", 3, 2, None)], "file_path string, commit_count long, author_count long, last_modified timestamp")
+    got = {r.file_path: (r.num_components, r.num_functions, r.num_imports, r.lines_of_code, r.commit_count, r.author_count) for r in K.code_metadata(c, f, ch).collect()}
+    assert got == {"x.ts": (2, 1, 2, 3, 3, 2), "y.go": (1, 0, 0, 1, 0, 0)}
+    assert {r.id: r.lines for r in K.component_lines(c.withColumn("x", F.lit(1)), f).collect()} == {"a": "l2\nl3", "b": "l1"}
+    s = spark.createDataFrame([("x.ts", "2024-01-01 00:00:00"), ("z", None), (None, None)], "path string, t string").withColumn("last_indexed", F.to_timestamp("t"))
+    now = F.to_timestamp(F.lit("2024-01-01 00:15:00"))
+    assert {(r.path, r.stale) for r in K.stale(s, now).collect()} == {("x.ts", False), ("z", True)}
+
+
+def test_one_scan_of_texts_for_all_pattern_modes(spark):
+    """The contents are matched once, and one aggregate gives all modes."""
+    from codeloom.operators import patterns as P
+
+    rows = [(f"p{i}.ts", "import a\n" if i % 3 else "require('x')", "r" if i < 8 else None) for i in range(10)]
+    f = spark.createDataFrame([(p, t, r, "typescript", len(t)) for p, t, r in rows], "path string, content string, repository string, language string, length long")
+    t = spark.createDataFrame([], "file string, coverage string")
+    x = P.compare(P.file_patterns(f), t, ["repository"])
+    p = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in p
+    assert {(r.repository, r.common_import_style, r.common_coverage) for r in x.collect()} == {("r", "esm", "none"), (None, "esm", "none")}
