@@ -20,6 +20,10 @@ def p1_reasons(spark, d):
     )
 
 
+def p1_evidence(spark, d):
+    return generated_files.evidence(table(spark, d, "source_files"))
+
+
 def p2_found(spark, d):
     return function_docs.component_pairs(table(spark, d, "components")).select("id")
 
@@ -94,7 +98,7 @@ def p9_classes(spark, d):
     return lookalikes.classes_of_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_pairs, p2_functions, p4_found, p4_classes, p4_copies, p4_links, p5_found, p5_pieces, p6_found, p6_rates, p7_packed, p7_report, p8_found, p8_matches, p8_leaked_items, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_evidence, p2_found, p2_pairs, p2_functions, p4_found, p4_classes, p4_copies, p4_links, p5_found, p5_pieces, p6_found, p6_rates, p7_packed, p7_report, p8_found, p8_matches, p8_leaked_items, p9_found, p9_classes)}
 SQL: dict[str, str] = {
     "p5_found": "SELECT DISTINCT id, 'snippet' AS field_name FROM components WHERE length(snippet) > 2000 UNION ALL SELECT DISTINCT id, 'text' FROM components WHERE length(text) > 2000",
 }

@@ -39,6 +39,11 @@ def test_generated_files(spark):
         ("a/data.py", "python", "X = [\n" + "  1.25, 3.5, 99, 100, 7, 8, 9,\n" * 40 + "]\n"),
         ("a/blob.ts", "typescript", "export const x = [\n" + f"'{'Ab9+' * 20}',\n" * 30 + "];\n"),
         ("a/getters.js", "javascript", "".join(f"export function get{i}(m) {{\n  return m.f{i};\n}}\n\n" for i in range(60))),
+        ("a/block.js", "javascript", "/*\n  A banner without marks on its lines.\n  Copied from foo 1.2.3 (MIT)\n  generated by hand, not by a tool\n */\n" + code),
+        ("a/doc.py", "python", '"""\nThis file was automatically generated by x.\n"""\n' + "def f():\n    return 1\n"),
+        ("a/later.ts", "typescript", "/* First.\n second */\n" + code + "/*\nCode generated by x. DO NOT EDIT.\n*/\n"),
+        ("a/few.js", "javascript", "export const x = 1;\n" * 3),
+        ("a/package.go", "go", "package issuex\n"),
         ("a/node_modules/p/readme.md", "markdown", "x"),
         ("a/empty.ts", "typescript", ""),
         ("a/null.ts", None, None),
@@ -46,8 +51,10 @@ def test_generated_files(spark):
     ]
     df = files(spark, rows + rows[:3]).withColumns({"_c": F.lit(1), "reason": F.lit("x")})
     got = {r.path: r.reason for r in G.classify_files(df).collect()}
-    assert {p for p, r in got.items() if r} == {"a/note.go", "a/node_modules/p/x.ts", "a/copy.js", "a/min.js", "a/data.py", "a/blob.ts", "a/getters.js"}
-    assert len(got) == 15 and G.hand_written(df).filter("path = 'a/hand.ts'").count() == 2
+    assert {p for p, r in got.items() if r} == {"a/note.go", "a/node_modules/p/x.ts", "a/copy.js", "a/min.js", "a/data.py", "a/blob.ts", "a/getters.js", "a/block.js", "a/doc.py"}
+    e = {r.language: (r.n_cases, r.by_layout, r.by_both, r.by_mark) for r in G.evidence(df).collect()}
+    assert e["javascript"] == (4, 2, 0, 2) and e["python"] == (2, 1, 0, 1)
+    assert len(got) == 20 and G.hand_written(df).filter("path = 'a/hand.ts'").count() == 2
     assert G.classify_files(df.limit(0)).count() == 0
 
 
