@@ -145,23 +145,22 @@ def family(language: Column) -> Column:
     return F.when(language.isin("typescript", "javascript"), "ecma").when(language.isin("go", "python"), language)
 
 
-def source_lines(files: DataFrame) -> DataFrame:
-    """(path, language, line_no, line): one row per line, without byte-order mark and carriage returns."""
+def source_lines(files: DataFrame, by_file: bool = False) -> DataFrame:
+    """(path, language, line_no, line): one row per line, without byte-order mark and carriage returns. The lines of a file
+    delivered twice come twice; with `by_file` they come once and lie together, so that windows by path shuffle nothing more."""
     text = F.regexp_replace(F.coalesce("content", F.lit("")), "^﻿|\r", "")
     x = files.filter("path is not null").select("path", language_of(F.col("path")).alias("language"), text.alias("content"))
-    # A file delivered twice is one: first rows of each path and digest are told apart by row, and only digests are shuffled.
-    x = x.withColumn("_row", F.monotonically_increasing_id()).withColumn("_d", F.sha2("content", 256))
-    kept = x.groupBy("path", "_d").agg(F.min("_row").alias("_row")).select("_row")
-    x = x.join(kept, "_row", "left_semi")
+    if by_file:
+        x = x.repartition("path").dropDuplicates(["path", "content"])
     x = x.select("path", "language", F.posexplode(F.split("content", "\n", -1)).alias("n", "line"))
     return x.select("path", "language", (F.col("n") + 1).cast("long").alias("line_no"), "line")
 
 
-def declared_lines(files: DataFrame) -> DataFrame:
+def declared_lines(files: DataFrame, by_file: bool = False) -> DataFrame:
     """The lines of files with type, own (the declared name) and name (with a Go method's receiver), null where a line
     declares nothing at the left margin. Generated Go files are skipped."""
     f = files.filter(~((language_of(F.col("path")) == "go") & generated_go(F.col("content"))))
-    x = source_lines(f)
+    x = source_lines(f, by_file)
     may = F.col("line").rlike(r"^(?:export|default|async|abstract|function|class|interface|type|const|let|var|func|def)\b")
     fam, kind, name = family(F.col("language")), F.lit(None).cast("string"), F.lit(None).cast("string")
     for language, rules in DECLARATIONS.items():
@@ -183,12 +182,12 @@ def declared_fields() -> list[Column]:
 def declarations(files: DataFrame) -> DataFrame:
     """id, file, name, type, start_line, signature, exported: what stands at the left margin of each file. Methods of
     classes and nested functions aren't at the margin and are left to a parser. Generated Go files are skipped."""
-    return declared_lines(files).filter("type is not null").select(*declared_fields())
+    return declared_lines(files).filter("type is not null").select(*declared_fields()).distinct()  # narrow rows, not texts
 
 
 def doc_lines(files: DataFrame) -> DataFrame:
     """file, line_no, doc: of each Go declaration the comment lines right above it, by gaps and islands over the lines."""
-    x = source_lines(files.filter(F.col("path").endswith(".go")))
+    x = source_lines(files.filter(F.col("path").endswith(".go")), by_file=True)
     w = Window.partitionBy("path").orderBy("line_no")
     comment = F.col("line").startswith("//")
     x = x.withColumn("c", comment).withColumn("island", F.sum(F.when(comment, 0).otherwise(1)).over(w))
@@ -216,7 +215,7 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     """id, file, name, start_line, docstring (the first 200 characters), text: one row per heading with content. Fences hide headings; list items, tables
     and quotes don't count as content; text before the first heading belongs to none. A running count of headings carries
     each line to its section."""
-    x = source_lines(files).filter("language = 'markdown'")
+    x = source_lines(files.filter(language_of(F.col("path")) == "markdown"), by_file=True)
     w = Window.partitionBy("path").orderBy("line_no")
     x = x.withColumn("fence", F.col("line").rlike(r"^\s{0,3}(?:```|~~~)"))
     x = x.withColumn("open", F.sum(F.when(F.col("fence"), 1).otherwise(0)).over(w) % 2 == 1)
@@ -262,7 +261,7 @@ NOT_METHODS = ["if", "for", "while", "switch", "catch", "with", "return", "funct
 def methods(files: DataFrame) -> DataFrame:
     """id, file, name (Class.method), start_line, signature, is_async: methods one level inside the classes at the left
     margin. The class carries forward line by line until the margin is met again."""
-    x = source_lines(files.filter(family(language_of(F.col("path"))).isin("ecma", "python")))
+    x = source_lines(files.filter(family(language_of(F.col("path"))).isin("ecma", "python")), by_file=True)
     fam = family(F.col("language"))
     owner = F.when(F.col("line").rlike(DECLARATIONS["ecma"][1][1]) & (fam == "ecma"), F.regexp_extract("line", DECLARATIONS["ecma"][1][1], 1))
     owner = owner.when(F.col("line").rlike(DECLARATIONS["python"][1][1]) & (fam == "python"), F.regexp_extract("line", DECLARATIONS["python"][1][1], 1))

@@ -25,18 +25,20 @@ def spans(files: DataFrame) -> DataFrame:
 
     Declarations at the margin don't overlap, so every line goes to one of them at most: as part of the declaration that
     it lies in, or of the comment above the next one. A file's lines are held by one window, never copied."""
-    x, line = declared_lines(files), F.col("line")
+    x, line = declared_lines(files, by_file=True), F.col("line")
     fam = family(F.col("language"))
     file = Window.partitionBy("path").orderBy("line_no")
-    upto, ahead, rest = (file.rowsBetween(*r) for r in ((Window.unboundedPreceding, 0), (1, Window.unboundedFollowing), (0, Window.unboundedFollowing)))
+    upto = file.rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("path").orderBy(F.desc("line_no"))  # what follows is seen from the end: each row is read once
+    ahead, rest = (back.rowsBetween(Window.unboundedPreceding, n) for n in (-1, 0))
     closes = F.when(fam == "python", line.rlike(r"^[^\s#)\]}]")).otherwise(line.rlike(CLOSES) & ~line.rlike(OPENS))
-    stop = F.coalesce(F.min(F.when(closes, F.col("line_no"))).over(ahead) - F.when(fam == "python", 1).otherwise(0), F.lit(1 << 40))
+    stop = F.coalesce(F.last(F.when(closes, F.col("line_no")), ignorenulls=True).over(ahead) - F.when(fam == "python", 1).otherwise(0), F.lit(1 << 40))
     comment = line.rlike(r"^(?://|/\*| ?\*|#)")
     x = x.withColumns({"stop": stop, "comment": comment}).withColumn("island", F.sum(F.when(F.col("comment"), 0).otherwise(1)).over(file))
     one_line = (fam != "python") & ~line.rlike(OPENS)
     here = F.when(F.col("type").isNotNull(), F.struct(F.col("line_no").alias("at"), F.when(one_line, F.col("line_no")).otherwise(F.col("stop")).alias("end")))
     x = x.withColumn("own_", F.last(here, ignorenulls=True).over(upto))
-    x = x.withColumn("next_", F.first(F.when(F.col("type").isNotNull(), F.struct(F.col("line_no").alias("at"), "island")), ignorenulls=True).over(rest))
+    x = x.withColumn("next_", F.last(F.when(F.col("type").isNotNull(), F.struct(F.col("line_no").alias("at"), "island")), ignorenulls=True).over(rest))
     inside = F.col("line_no") <= F.col("own_.end")
     above = F.col("comment") & ~F.coalesce(inside, F.lit(False)) & (F.col("next_.island") == F.col("island") + 1)
     # Of a Python block the comments and blank lines at its end don't belong to it.
@@ -93,7 +95,7 @@ def go_members(files: DataFrame) -> DataFrame:
     """(id, file, name, type, start_line, signature, exported, type_parameters): Go's type aliases (named types that are
     neither struct nor interface) and exported constants, single or in a block. Generated files are skipped."""
     f = files.filter((language_of(F.col("path")) == "go") & ~generated_go(F.col("content")))
-    x = source_lines(f)
+    x = source_lines(f, by_file=True)
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     edge = F.when(F.col("line").rlike(r"^const\s*\("), 1).when(F.col("line").rlike(r"^\S"), 0)
     x = x.withColumn("block", F.coalesce(F.last(edge, ignorenulls=True).over(w), F.lit(0)) == 1)
