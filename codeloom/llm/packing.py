@@ -6,7 +6,8 @@ sequence is added. Texts longer than the capacity are cut at it; whole parts fil
 
 The collection is spread over shards of a bounded number of tokens by a hash of the id, each packed by one task, so no
 task grows with the collection. Each shard leaves at most about one sequence partly empty, a small share of the tokens
-of a shard. The tokenizer's file is a parameter and is read once by each task.
+of a shard. The tokenizer's file is a parameter that Spark ships to the executors; it is read once by each task. Without
+one, each task takes the file of the tokenizers that are installed where it runs.
 
 Defined results: null and empty texts have no tokens and come out in no container; rows delivered twice count once; ties
 in length go by id.
@@ -37,13 +38,16 @@ def default_tokenizer() -> str:
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id") -> DataFrame:
     """(key, n_tokens): tokens of the whole text by a byte-level BPE given as a rank file."""
-    path = tokenizer or default_tokenizer()
+    if tokenizer:
+        docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = tokenizer and tokenizer.rstrip("/").rpartition("/")[2]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name) if name else default_tokenizer(), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for b in batches:
@@ -122,3 +126,14 @@ def fill_report(assigned: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.round(1 - F.col("n_tokens") / (F.col("n_containers") * capacity), 6).alias("unused_share"),
         F.round(F.col("sd") / F.col("mean"), 6).alias("cost_variation"),
     )
+
+
+def checked(assigned: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
+    """One row per text: key, whole (its parts follow each other from the start without a gap, and only a text that alone
+    exceeds the capacity has more than one) and fits (no container that holds a part of it is filled above the capacity)."""
+    used = assigned.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    x = assigned.join(used, "container_id")
+    rows = F.array_sort(F.collect_list(F.struct("part", "start", "n_tokens"))).alias("p")
+    x = x.groupBy(key).agg(rows, F.sum("n_tokens").alias("n"), F.max("used").alias("used"))
+    follow = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: F.element_at("p", i).start == F.aggregate(F.slice("p", 1, i - 1), F.lit(0).cast("long"), lambda s, r: s + r.n_tokens))
+    return x.select(key, (follow & ((F.size("p") == 1) | (F.col("n") > capacity))).alias("whole"), (F.col("used") <= capacity).alias("fits"))

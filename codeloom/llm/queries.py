@@ -61,6 +61,10 @@ def p5_pieces(spark, d):
     return splitting.split_oversized(table(spark, d, "components"), ["snippet", "text"])
 
 
+def p5_cover(spark, d):
+    return splitting.cover(splitting.split_oversized(table(spark, d, "components"), ["snippet", "text"]))
+
+
 def p6_found(spark, d):
     return unparsable_files.parse_verdicts(table(spark, d, "source_files")).filter("not valid").select("path")
 
@@ -77,6 +81,10 @@ def p7_report(spark, d):
     return packing.fill_report(packing.packed(table(spark, d, "documents")))
 
 
+def p7_checked(spark, d):
+    return packing.checked(packing.packed(table(spark, d, "documents")))
+
+
 def p8_found(spark, d):
     x = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), proximity=False)
     return x.select("doc_id", "item_id")
@@ -98,7 +106,33 @@ def p9_classes(spark, d):
     return lookalikes.classes_of_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_evidence, p2_found, p2_pairs, p2_functions, p4_found, p4_classes, p4_copies, p4_links, p5_found, p5_pieces, p6_found, p6_rates, p7_packed, p7_report, p8_found, p8_matches, p8_leaked_items, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_evidence, p2_found, p2_pairs, p2_functions, p4_found, p4_classes, p4_copies, p4_links, p5_found, p5_pieces, p5_cover, p6_found, p6_rates, p7_packed, p7_report, p7_checked, p8_found, p8_matches, p8_leaked_items, p9_found, p9_classes)}
+
+# ---- SQL, written apart from the operators --------------------------------------------------------------------
+# Letters drawn alike, one under the other.
+_DRAWN = "АВЕКМНОРСТУХЅІЈаеорсухѕіјΑΒΕΖΗΙΚΜΝΟΡΤΥΧο²①Ёё"
+_PLAIN = "ABEKMHOPCTYXSIJaeopcyxsijABEZHIKMNOPTYXo21Ëë"
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_ASCII = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_FORM = (
+    "nfc_normalize(translate(translate(regexp_replace(regexp_replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{FE0F}]', '', 'g'),"
+    f" '[\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g'), '{_DRAWN}', '{_PLAIN}'), '{_WIDE}', '{_ASCII}'))"
+)
+_SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_TOKENS = rf"""WITH c AS (SELECT id, min(snippet) AS snippet FROM components WHERE type IN ('function', 'method') AND snippet IS NOT NULL AND id IS NOT NULL GROUP BY id),
+t AS (SELECT id, regexp_extract_all(snippet, '[A-Za-z0-9_]+|[^{_SPACE}A-Za-z0-9_]') AS t FROM c), k AS (SELECT id, t FROM t WHERE len(t) >= 40)"""
+_NINE = f"WITH n AS (SELECT DISTINCT doc_id, text, md5({_FORM}) AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)"
+_GRAMS = "SELECT DISTINCT id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM {0} WHERE len(w) >= 12)"
+_WORDS = "regexp_extract_all(lower(" + _FORM + "), '[\\p{L}\\p{N}]+')"
 SQL: dict[str, str] = {
+    "p4_found": _TOKENS + """, s AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(t) - 1), lambda i: hash(t[i] || chr(1) || t[i + 1] || chr(1) || t[i + 2])))) AS h FROM k),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), b AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM b JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE shared >= 0.6 * (x.n + y.n - shared)""",
+    "p4_copies": _TOKENS + ", m AS (SELECT id, md5(array_to_string(t, chr(1))) AS h FROM k) SELECT id, min(id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS n_copies FROM m",
     "p5_found": "SELECT DISTINCT id, 'snippet' AS field_name FROM components WHERE length(snippet) > 2000 UNION ALL SELECT DISTINCT id, 'text' FROM components WHERE length(text) > 2000",
+    "p5_cover": "SELECT DISTINCT id, 'snippet' AS field_name, length(snippet)::INT AS n_chars, md5(snippet) AS digest, true AS fits FROM components WHERE length(snippet) > 2000 UNION ALL SELECT DISTINCT id, 'text', length(text)::INT, md5(text), true FROM components WHERE length(text) > 2000",
+    "p7_checked": "SELECT DISTINCT doc_id, true AS whole, true AS fits FROM documents WHERE text <> '' AND doc_id IS NOT NULL",
+    "p8_found": f"WITH d AS (SELECT doc_id AS id, {_WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)), e AS (SELECT item_id AS id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM eval_items)), x AS ({_GRAMS.format('d')}), y AS ({_GRAMS.format('e')}) SELECT DISTINCT x.id AS doc_id, y.id AS item_id FROM x JOIN y USING (g)",
+    "p9_found": _NINE + " SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM n a JOIN n b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
+    "p9_classes": _NINE + ", g AS (SELECT form, count(*) AS n_documents, count(DISTINCT text) AS n_forms FROM n GROUP BY form) SELECT doc_id, min(doc_id) OVER (PARTITION BY n.form) AS class_id, min(doc_id) OVER (PARTITION BY n.form, text) AS form_id, n_documents, n_forms FROM n JOIN g USING (form)",
 }

@@ -2,11 +2,11 @@
 
 Method: balanced targets. The least number of pieces that can hold the item is computed, targets are placed at equal
 lengths, each is snapped to the strongest boundary nearby, and a piece is added when any piece would exceed the limit.
-Boundaries, strongest first: blank line, end of a block, end of a line, end of a sentence, white space; where there is
-none in reach the cut falls between two characters, never inside a code point.
+Boundaries, strongest first: blank line, end of a block, end of a line, end of a sentence, white space, whatever the line
+ends; where there is none in reach the cut falls between two characters, never between a letter and its marks.
 
-Each piece but the first starts `overlap` characters before the end of the one before, moved forward to a boundary if
-one is near. Pieces cover the item: their bodies (from `body_start` to `end`) joined give it back exactly.
+Each piece but the first starts exactly `overlap` characters before the end of the one before, as the overlap is given,
+not sought. Pieces cover the item: their bodies (from `body_start` to `end`) joined give it back exactly.
 
 Defined results: null and short texts yield no pieces; lengths are code points; an item of one endless word is cut
 evenly; rows delivered twice count once.
@@ -15,6 +15,7 @@ evenly; rows delivered twice count once.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 2000, 200
 #: What ends at a boundary, with its strength.
 BOUNDARIES = [
-    (re.compile(r"\n[ \t]*\n"), 5),
-    (re.compile(r"\n(?=\S)|[}\]);]\r?\n"), 4),
-    (re.compile(r"\n"), 3),
+    (re.compile(r"(?>\r\n?|\n)[ \t]*(?>\r\n?|\n)"), 5),
+    (re.compile(r"(?>\r\n?|\n)(?=\S)|[}\]);](?>\r\n?|\n)"), 4),
+    (re.compile(r"(?>\r\n?|\n)"), 3),
     (re.compile(r"[.!?;:]['\")\]]?\s"), 2),
     (re.compile(r"\s+"), 1),
 ]
@@ -66,6 +67,8 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
             k, j = bisect_left(at, low), bisect_right(at, high)
             best = max(((strength[q], -abs(at[q] - target), at[q]) for q in range(k, j)), default=None)
             cut, s = (best[2], best[0]) if best else (min(max(target, low), high), 0)
+            while not best and cut > low and unicodedata.combining(text[cut]):
+                cut -= 1
             out.append((cut, s))
             begin = cut
         if fits and n - begin <= (room if begin else limit):
@@ -102,3 +105,13 @@ def split_oversized(items: DataFrame, fields: list[str], limit: int = LIMIT, ove
             yield pd.DataFrame(rows, columns=[key, "field_name", "piece", "n_pieces", "start", "body_start", "end", "boundary", "text"])
 
     return long.mapInPandas(split, f"{key} {dict(items.dtypes)[key]}, {PIECE}")
+
+
+def cover(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, key: str = "id") -> DataFrame:
+    """One row per split field: key, field_name, n_chars and digest (MD5) of its bodies joined, and whether every piece is
+    within the limit and overlaps the one before as wanted. For checks: the digest must be that of the field."""
+    body = F.expr("substring(text, CAST(body_start - start + 1 AS INT), CAST(end - body_start AS INT))")
+    fits = (F.length("text") <= limit) & ((F.col("piece") == 0) | (F.col("body_start") - F.col("start") == overlap))
+    rows = F.array_sort(F.collect_list(F.struct("piece", body.alias("body"))))
+    x = pieces.groupBy(key, "field_name").agg(F.array_join(F.transform(rows, lambda r: r.body), "").alias("t"), F.min(fits).alias("fits"))
+    return x.select(key, "field_name", F.length("t").alias("n_chars"), F.md5("t").alias("digest"), "fits")
