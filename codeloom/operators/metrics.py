@@ -43,10 +43,15 @@ def latest(snapshots: DataFrame, *by: str) -> DataFrame:
     return x.select("r.*")
 
 
-def file_trend(snapshots: DataFrame, metadata: DataFrame, file_path: str, limit: int = 10) -> DataFrame:
-    """The newest rows of one file, each with its snapshot's time and the change of commits and lines since the row
-    before in its series."""
-    m = clean(metadata).filter(F.col("file_path") == file_path)
+def busiest_file(metadata: DataFrame) -> DataFrame:
+    """(file_path) of the file with most rows, the first by name among equals."""
+    return clean(metadata).groupBy("file_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file_path").limit(1).select("file_path")
+
+
+def file_trend(snapshots: DataFrame, metadata: DataFrame, file: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest rows of one file, given as a table of one row (file_path), each with its snapshot's time and the change
+    of commits and lines since the row before in its series."""
+    m = clean(metadata).join(F.broadcast(file.limit(1)), "file_path", "left_semi")
     s = once(snapshots, "id").select(F.col("id").alias("snapshot_id"), "ts", "repository_path")
     w = Window.partitionBy("repository_path", "file_path").orderBy("ts", "snapshot_id")
     x = m.join(s, "snapshot_id")

@@ -20,11 +20,16 @@ def import_style(content: Column) -> tuple[Column, Column]:
     return style, esm + cjs
 
 
+#: How code handles errors, and how a signature names its type.
+THROWS, RESULTS, RETURNS = r"throw\s+new\s+\w*Error", r"Result<|\{\s*ok:\s*(?:true|false)", r"\)\s*:?\s*\([^)]*,\s*error\)"
+TYPED = r"(?:\)|=>)\s*:\s*\w+"
+
+
 def error_style(content: Column) -> Column:
     """throw, result, error-return, mixed or unknown."""
-    throw = F.regexp_count(content, F.lit(r"throw\s+new\s+\w*Error"))
-    result = F.regexp_count(content, F.lit(r"Result<|\{\s*ok:\s*(?:true|false)"))
-    returned = F.regexp_count(content, F.lit(r"\)\s*:?\s*\([^)]*,\s*error\)"))
+    throw = F.regexp_count(content, F.lit(THROWS))
+    result = F.regexp_count(content, F.lit(RESULTS))
+    returned = F.regexp_count(content, F.lit(RETURNS))
     kinds = (throw > 0).cast("int") + (result > 0).cast("int") + (returned > 0).cast("int")
     return F.when(kinds == 0, "unknown").when(kinds > 1, "mixed").when(throw > 0, "throw").when(result > 0, "result").otherwise("error-return")
 
@@ -43,7 +48,7 @@ def file_patterns(files: DataFrame) -> DataFrame:
 def type_coverage(components: DataFrame) -> DataFrame:
     """file, annotated, functions, coverage (full, partial, minimal or none): explicit return types of a file's functions."""
     c = components.dropDuplicates(["id"]).filter(F.col("type").isin("function", "method") & F.col("file").isNotNull())
-    hit = F.coalesce("signature", F.lit("")).rlike(r"(?:\)|=>)\s*:\s*\w+")
+    hit = F.coalesce("signature", F.lit("")).rlike(TYPED)
     x = c.groupBy("file").agg(F.count_if(hit).alias("annotated"), F.count("*").alias("functions"))
     share = F.col("annotated") / F.col("functions")
     return x.withColumn("coverage", F.when(share >= 0.9, "full").when(share >= 0.5, "partial").when(share > 0, "minimal").otherwise("none"))

@@ -132,6 +132,7 @@ def parse_numstat(lines: DataFrame, *keep: str) -> DataFrame:
     'dir/{a => b}/file'; everything else is 'modified'. Lines with fewer than three fields fall out; the columns named are carried along."""
     p = F.split("line", "\t", 3)
     n = lambda i: F.coalesce(F.try_to_number(F.element_at(p, i), F.lit("9999999999")).cast("long"), F.lit(0))
+    # The two ways in which such a line writes a rename.
     path, brace = F.element_at(p, 3), r"^(.*?)\{(.+?)\s*=>\s*(.+?)\}(.*)$"
     plain = r"^(.+?)\s*=>\s*(.+)$"
     joined = lambda i: F.regexp_replace(F.concat(F.regexp_extract(path, brace, 1), F.regexp_extract(path, brace, i), F.regexp_extract(path, brace, 4)), "/+", "/")

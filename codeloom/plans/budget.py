@@ -33,7 +33,8 @@ def token_budget_adaptive(spark, d):
 def component_texts(spark, d):
     c = table(spark, d, "components").dropDuplicates(["id"])
     t = document_text(F.col("type"), F.col("name"), F.col("text"))
-    return c.select("id", F.length(t).alias("n_text"), F.length(truncate_to_tokens(t, 50)).alias("n_cut"), F.length(clean_document(F.col("snippet"))).alias("n_clean"), F.length(snippet_head(F.col("snippet"), 10)).alias("n_head"), slug(F.col("name")).alias("slug"), F.length(signature_of(F.col("snippet"))).alias("n_signature"))
+    texts = {"text": t, "cut": truncate_to_tokens(t, 50), "clean": clean_document(F.col("snippet")), "head": snippet_head(F.col("snippet"), 10), "signature": signature_of(F.col("snippet"))}
+    return c.select("id", slug(F.col("name")).alias("slug"), *[F.md5(v).alias(k) for k, v in texts.items()])
 
 
 def _e(spark, d):
@@ -105,10 +106,10 @@ SELECT id, file, rank, prior + tokens, level, tokens FROM (SELECT r.id, r.file,
  FROM w JOIN r ON r.file = w.file AND r.rank = w.rank + 1) WHERE prior + tokens <= {BUDGET})
 SELECT id, file, rank, level, tokens FROM w""",
     "component_texts": _CTE + r""", t AS (SELECT *, concat_ws(chr(10) || chr(10), CASE WHEN coalesce(name, '') <> '' THEN concat_ws(': ', type, name) END, nullif(text, '')) AS t FROM c)
-SELECT id, length(t) AS n_text, CASE WHEN """ + _tokens("t") + r""" <= 50 THEN length(t) ELSE least(length(t), 197) + 3 END AS n_cut,
-length(trim(regexp_replace(regexp_replace(snippet, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS n_clean,
-CASE WHEN len(string_split(snippet, chr(10))) <= 10 THEN length(snippet) ELSE length(array_to_string(string_split(snippet, chr(10))[1:10], chr(10))) + length(chr(10) || '// ... ' || (len(string_split(snippet, chr(10))) - 10) || ' more lines') END AS n_head,
-regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, length(trim(string_split(snippet, '{')[1], ' ')) AS n_signature FROM t""",
+SELECT id, md5(t) AS text, md5(CASE WHEN """ + _tokens("t") + r""" <= 50 THEN t ELSE substr(t, 1, 197) || '...' END) AS cut,
+md5(trim(regexp_replace(regexp_replace(snippet, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS clean,
+md5(CASE WHEN len(string_split(snippet, chr(10))) <= 10 THEN snippet ELSE array_to_string(string_split(snippet, chr(10))[1:10], chr(10)) || chr(10) || '// ... ' || (len(string_split(snippet, chr(10))) - 10) || ' more lines' END) AS head,
+regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, md5(trim(string_split(snippet, '{')[1], ' ')) AS signature FROM t""",
     "request_metrics": _LAT.format("'all' AS scope,", ""),
     "request_by_tool": _LAT.format("event_type,", "GROUP BY event_type"),
     "request_health": "SELECT *, CASE WHEN errors / requests > 0.1 THEN 'unhealthy' WHEN errors > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM (SELECT user_id, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*) * 100, 2) AS error_percent FROM events GROUP BY user_id)",

@@ -37,8 +37,7 @@ def snapshot_by_id(spark, d):
 
 
 def file_trend(spark, d):
-    busiest = M.clean(_m(spark, d)).groupBy("file_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file_path").first()
-    x = M.file_trend(_s(spark, d), _m(spark, d), busiest.file_path if busiest else "", 10)
+    x = M.file_trend(_s(spark, d), _m(spark, d), M.busiest_file(_m(spark, d)), 10)
     return x.select("file_path", "snapshot_id", "ts", "commit_count", "lines_of_code", "commit_count_delta", "lines_of_code_delta")
 
 
