@@ -129,10 +129,21 @@ SQL: dict[str, str] = {
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id), b AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM b JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE shared >= 0.6 * (x.n + y.n - shared)""",
     "p4_copies": _TOKENS + ", m AS (SELECT id, md5(array_to_string(t, chr(1))) AS h FROM k) SELECT id, min(id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS n_copies FROM m",
+    "p4_classes": "WITH RECURSIVE " + _TOKENS.removeprefix("WITH ") + """, s AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(t) - 1), lambda i: hash(t[i] || chr(1) || t[i + 1] || chr(1) || t[i + 2])))) AS h FROM k),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), b AS (SELECT a.id AS x, b.id AS y, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.id <> b.id GROUP BY ALL),
+e AS (SELECT b.x, b.y FROM b JOIN n p ON p.id = b.x JOIN n q ON q.id = b.y WHERE shared >= 0.6 * (p.n + q.n - shared)),
+r AS (SELECT id, id AS other FROM k UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.other),
+m AS (SELECT id, md5(array_to_string(t, chr(1))) AS h FROM k), c2 AS (SELECT id, min(id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS n_copies FROM m)
+SELECT c2.*, component_id, coalesce(n_links, 0) AS n_links FROM c2 JOIN (SELECT id, min(other) AS component_id FROM r GROUP BY id) USING (id) LEFT JOIN (SELECT x AS id, count(*) AS n_links FROM e GROUP BY x) USING (id)""",
     "p5_found": "SELECT DISTINCT id, 'snippet' AS field_name FROM components WHERE length(snippet) > 2000 UNION ALL SELECT DISTINCT id, 'text' FROM components WHERE length(text) > 2000",
     "p5_cover": "SELECT DISTINCT id, 'snippet' AS field_name, length(snippet)::INT AS n_chars, md5(snippet) AS digest, true AS fits FROM components WHERE length(snippet) > 2000 UNION ALL SELECT DISTINCT id, 'text', length(text)::INT, md5(text), true FROM components WHERE length(text) > 2000",
     "p7_checked": "SELECT DISTINCT doc_id, true AS whole, true AS fits FROM documents WHERE text <> '' AND doc_id IS NOT NULL",
     "p8_found": f"WITH d AS (SELECT doc_id AS id, {_WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)), e AS (SELECT item_id AS id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM eval_items)), x AS ({_GRAMS.format('d')}), y AS ({_GRAMS.format('e')}) SELECT DISTINCT x.id AS doc_id, y.id AS item_id FROM x JOIN y USING (g)",
+    "p8_leaked_items": f"WITH d AS (SELECT doc_id AS id, {_WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)), e AS (SELECT item_id AS id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM eval_items)), x AS ({_GRAMS.format('d')}), y AS ({_GRAMS.format('e')}), f AS (SELECT DISTINCT x.id AS doc_id, y.id AS item_id FROM x JOIN y USING (g)),"
+    """ dw AS (SELECT id AS doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d WHERE id IN (SELECT doc_id FROM f)), iw AS (SELECT id AS item_id, unnest(w) AS word, unnest(range(0, len(w))) AS off FROM e),
+m AS (SELECT doc_id, item_id, pos - off AS shift, off FROM f JOIN dw USING (doc_id) JOIN iw USING (item_id, word)),
+i AS (SELECT *, off - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY off) AS island FROM m), r AS (SELECT item_id, count(*) AS run FROM i GROUP BY doc_id, item_id, shift, island)
+SELECT item_id, n_documents, longest_run, suite, kind FROM (SELECT item_id, count(DISTINCT doc_id) AS n_documents FROM f GROUP BY 1) JOIN (SELECT item_id, max(run) AS longest_run FROM r GROUP BY 1) USING (item_id) JOIN (SELECT DISTINCT item_id, suite, kind FROM eval_items) USING (item_id)""",
     "p9_found": _NINE + " SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM n a JOIN n b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
     "p9_classes": _NINE + ", g AS (SELECT form, count(*) AS n_documents, count(DISTINCT text) AS n_forms FROM n GROUP BY form) SELECT doc_id, min(doc_id) OVER (PARTITION BY n.form) AS class_id, min(doc_id) OVER (PARTITION BY n.form, text) AS form_id, n_documents, n_forms FROM n JOIN g USING (form)",
 }

@@ -18,9 +18,10 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
@@ -93,7 +94,7 @@ def split_oversized(items: DataFrame, fields: list[str], limit: int = LIMIT, ove
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
     f = F.explode(F.array(*[F.struct(F.lit(x).alias("field_name"), F.col(x).alias("text")) for x in fields]))
-    long = items.filter(F.greatest(*[F.coalesce(F.length(x), F.lit(0)) for x in fields]) > limit)
+    long = items.filter(reduce(Column.__or__, [F.coalesce(F.length(x), F.lit(0)) > limit for x in fields]))
     long = long.select(F.col(key), f.alias("f")).select(key, "f.*").filter(F.length("text") > limit).distinct()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

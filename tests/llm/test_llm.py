@@ -233,6 +233,37 @@ def test_pieces(text):
     assert all(b - s == S.OVERLAP for s, b, *_ in p[1:]) and len(p) >= 2
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_boundaries_at_any_line_end(end):
+    """A blank line is the strongest boundary, whatever ends its lines; the end of one line is no blank line."""
+    text = ("word " * 290).strip() + end + end + "x" * 60 + ";" + end + "y" * 700 + end + "z" * 300
+    (cut, strength), *_ = S.cuts(text)
+    assert strength == 5 and text[:cut].endswith(end + end)
+    at, strengths = S.boundaries(f"a{end}b{end}  c")
+    assert strengths[0] == 4 and 5 not in strengths
+
+
+def test_no_cut_before_a_mark():
+    text = "e\u0301" * 2000
+    assert all(not unicodedata.combining(text[e]) for e, _ in S.cuts(text)[:-1])
+
+
+def test_checks_of_pieces_and_containers(spark):
+    rows = [("a", "s" * 5000), ("b", "line\r\n\r\n" * 900), ("c", None), ("d", "é" * 2001)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    import hashlib
+
+    got = {r.id: (r.n_chars, r.digest, r.fits) for r in S.cover(S.split_oversized(df, ["text"])).collect()}
+    assert got == {i: (len(t), hashlib.md5(t.encode()).hexdigest(), True) for i, t in rows if t}
+    d = spark.createDataFrame([(i, "word " * (i * 90)) for i in range(40)] + [(99, None)], "doc_id long, text string")
+    own = P.packed(d, capacity=512, shard_containers=4)
+    assert {(r.doc_id, r.whole, r.fits) for r in P.checked(own, 512).collect()} == {(i, True, True) for i in range(1, 40)}
+    bad = own.withColumn("n_tokens", F.when(F.col("doc_id") == 39, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")))
+    assert any(not r.whole or not r.fits for r in P.checked(bad, 512).collect())
+    file = P.default_tokenizer()
+    assert {tuple(r) for r in P.token_counts(d, file).collect()} == {tuple(r) for r in P.token_counts(d).collect()}
+
+
 def test_split_oversized(spark):
     rows = [("a", "s" * 2000, "t" * 2001), ("b", None, None), ("c", "line\n" * 900, ""), (None, "z" * 2001, None)]
     df = spark.createDataFrame(rows + rows, "id string, snippet string, text string").withColumns({"piece": F.lit(1), "field_name": F.lit("x")})
@@ -475,6 +506,20 @@ def test_every_query_runs(spark):
         assert df.count() == df.distinct().count() or not name.endswith("_found")
 
 
+def test_every_query_against_its_sql(spark):
+    import os
+
+    import oracle
+
+    from codeloom.llm.queries import QUERIES, SQL
+
+    base = os.environ.get("CODELOOM_TESTDATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
+    for name, sql in SQL.items():
+        assert not oracle.same(*oracle.rows(spark, base, QUERIES[name], sql)), name
+
+
 def test_edges(spark, tmp_path):
     """Every query over empty tables and over tables with nulls in every column."""
     import os
