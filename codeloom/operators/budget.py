@@ -33,9 +33,10 @@ def budget_cut(ranked: DataFrame, by: list[str], tokens: str, budget: int) -> Da
     return x.withColumn("_s", stopped).filter("_s = 0").drop("_s")
 
 
-def adaptive_cut(ranked: DataFrame, by: list[str], forms: dict[str, str], budget: int) -> DataFrame:
+def adaptive_cut(ranked: DataFrame, by: list[str], forms: dict[str, str], budget: int, full_needs: int = 300, signature_needs: int = 100) -> DataFrame:
     """The rows that fit when each one's form depends on its rank and on what is left: forms names the token columns of
-    'full', 'signature' and 'minimal'. A fold over each group's ordered array, which ends where even the cheapest forms
+    'full', 'signature' and 'minimal'; `full_needs` and `signature_needs` are the tokens that must be left for the richer
+    forms (500 and 150 in verbose output). A fold over each group's ordered array, which ends where even the cheapest forms
     exceed the budget: no row after that can fit, so the result is the same. Rows that cost nothing stay in it."""
     least = F.least(*[F.coalesce(c, F.lit(0)) for c in forms.values()])
     spent = F.sum(least).over(Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
@@ -47,7 +48,7 @@ def adaptive_cut(ranked: DataFrame, by: list[str], forms: dict[str, str], budget
 
     def step(acc: Column, item: Column) -> Column:
         r = item.r
-        level = detail_level(r.rank, F.lit(budget) - acc.used)
+        level = detail_level(r.rank, F.lit(budget) - acc.used, full_needs=full_needs, signature_needs=signature_needs)
         cost = F.when(level == "full", r["_full"]).when(level == "signature", r["_signature"]).otherwise(r["_minimal"]).cast("bigint")
         over = acc["over"] | ((acc.used + cost > budget) & (r.rank > 0))
         entry = F.array(F.struct(r.rank.cast("int").alias("rank"), level.alias("level"), cost.alias("tokens")))

@@ -24,6 +24,14 @@ def outcomes(events: DataFrame) -> DataFrame:
     return x.withColumn("error_percent", F.round(share * 100, 2)).withColumn("health", F.when(share > 0.1, "unhealthy").when(share > 0, "degraded").otherwise("healthy"))
 
 
+def worst_status(events: DataFrame, by: str, severity: dict[str, int]) -> DataFrame:
+    """by, status: the worst of a group's checks. severity maps kinds of events to 2 (error: unhealthy) or 1 (warning:
+    degraded); all others are 0."""
+    n = F.coalesce(F.max(F.create_map(*[F.lit(x) for kv in severity.items() for x in kv])[F.col("event_type")]), F.lit(0)) if severity else F.lit(0)
+    x = events.groupBy(by).agg(n.alias("n"))
+    return x.select(by, F.when(F.col("n") >= 2, "unhealthy").when(F.col("n") == 1, "degraded").otherwise("healthy").alias("status"))
+
+
 def properties(events: DataFrame) -> DataFrame:
     """event_id, k: from the JSON properties; malformed JSON gives null."""
     return events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))

@@ -7,10 +7,13 @@ all of its declarations. A parser isn't needed, and `span_agreement` says how we
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.classes import language_of
+from codeloom.functions.classes import extension, language_of
 from codeloom.operators.files import declared_fields, declared_lines, family, generated_go, source_lines
 
 #: What a margin line ends with if its declaration goes on, and how one begins that closes it.
@@ -110,6 +113,28 @@ def go_members(files: DataFrame) -> DataFrame:
     )
 
 
+def scan_with(files: DataFrame, scan: Callable[[str, str], Iterable[dict]], extensions: list[str]) -> DataFrame:
+    """(file, name, type, start_line, end_line, text, error): what a scanner of one's own finds in the files of its
+    extensions: `scan` gets a path and its content and yields rows. A file at which it fails yields one row with the
+    error, and the scan goes on. Files delivered twice are scanned once; null content counts as empty."""
+    fields = ["name", "type", "start_line", "end_line", "text"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    rows += [(path, *[r.get(f) for f in fields], None) for r in scan(path, content)]
+                except Exception as e:  # noqa: BLE001 - whatever a scanner raises becomes a row
+                    rows.append((path, *[None] * len(fields), f"{type(e).__name__}: {e}"))
+            out = pd.DataFrame(rows, columns=["file", *fields, "error"])
+            yield out.astype({"start_line": "Int64", "end_line": "Int64"})
+
+    x = files.filter(F.col("path").isNotNull() & extension(F.col("path")).isin(extensions)).select("path", F.coalesce("content", F.lit("")).alias("content"))
+    x = x.mapInPandas(run, "file string, name string, type string, start_line long, end_line long, text string, error string")
+    return x.distinct()
+
+
 def scan_errors(files: DataFrame) -> DataFrame:
     """(language, error, files): files that a scan passes over, and why: binary or blank content, generated Go."""
     c = F.coalesce("content", F.lit(""))

@@ -144,6 +144,11 @@ def _nearest_of_tiles(k: int, id_col: str):
     return run
 
 
+def all_rows(vectors: DataFrame, limit: int = 10_000, id_col: str = "vec_id") -> DataFrame:
+    """The first rows by id without a search, each with the score 1; the limit is the contract's."""
+    return vectors.orderBy(id_col).limit(limit).withColumn("score", F.lit(1.0))
+
+
 def upsert(table: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     """The table with the rows of delta put in: all columns replaced where the key exists, else inserted. Of several
     delta rows for a key the last in column order stays; null keys are inserted, never matched."""

@@ -25,6 +25,11 @@ def detail_levels(spark, d):
     return _ranked(spark, d).select("id", "rank", B.detail_level(F.col("rank")).alias("level"))
 
 
+def token_budget_verbose(spark, d):
+    forms = {"full": "t_full", "signature": "t_signature", "minimal": "t_minimal"}
+    return B.adaptive_cut(_ranked(spark, d), ["file"], forms, BUDGET, 500, 150).select("id", "file", "rank", "level", "tokens")
+
+
 def token_budget_adaptive(spark, d):
     forms = {"full": "t_full", "signature": "t_signature", "minimal": "t_minimal"}
     return B.adaptive_cut(_ranked(spark, d), ["file"], forms, BUDGET).select("id", "file", "rank", "level", "tokens")
@@ -53,6 +58,10 @@ def request_health(spark, d):
     return R.outcomes(_e(spark, d))
 
 
+def health_status(spark, d):
+    return R.worst_status(_e(spark, d), "user_id", {"error": 2, "click": 1})
+
+
 def event_props(spark, d):
     return R.property_stats(_e(spark, d))
 
@@ -77,7 +86,7 @@ def task_counts(spark, d):
     return R.status_counts(table(spark, d, "orders"), ["F", "O", "P"])
 
 
-_F = (token_budget_cut, detail_levels, token_budget_adaptive, component_texts, request_metrics, request_by_tool, request_health, event_props, recent_history, request_correlation, daily_events, task_order, task_counts)
+_F = (token_budget_cut, detail_levels, token_budget_adaptive, token_budget_verbose, component_texts, request_metrics, request_by_tool, request_health, health_status, event_props, recent_history, request_correlation, daily_events, task_order, task_counts)
 QUERIES = {f.__name__: f for f in _F}
 
 
@@ -122,3 +131,6 @@ FROM events WHERE event_type IN ('view', 'purchase')) WHERE event_type = 'view')
     "task_order": "SELECT o_custkey, place, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_orderkey)::INT AS place FROM orders WHERE o_orderstatus = 'O') WHERE place <= 3",
     "task_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1",
 }
+
+SQL["token_budget_verbose"] = SQL["token_budget_adaptive"].replace(" > 300 ", " > 500 ").replace(" > 100 ", " > 150 ")
+SQL["health_status"] = "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'unhealthy' WHEN bool_or(event_type = 'click') THEN 'degraded' ELSE 'healthy' END AS status FROM events GROUP BY user_id"

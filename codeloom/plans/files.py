@@ -86,6 +86,17 @@ def type_parameters(spark, d):
     return c.filter(F.size("parameters") > 0)
 
 
+def _markers(path, content):
+    for n, line in enumerate(content.split("\n"), 1):
+        if "TODO" in line:
+            yield {"name": "TODO", "type": "marker", "start_line": n, "end_line": n}
+
+
+def scan_custom(spark, d):
+    """A scanner of one's own: lines that hold a mark."""
+    return N.scan_with(_f(spark, d), _markers, ["ts", "go", "py"]).filter("error is null").select("file", "name", "start_line")
+
+
 def scan_errors(spark, d):
     return N.scan_errors(_f(spark, d))
 
@@ -134,7 +145,7 @@ def compare_patterns(spark, d):
     return P.compare(P.file_patterns(_f(spark, d)), P.type_coverage(table(spark, d, "components")), ["repository", "language"])
 
 
-_F = (discover_files, validate_files, related_tests, change_detect, update_plan, state_of_components, state_drift, incremental_update, scan_declarations, scan_methods, scan_agreement, scan_spans, scan_variables, go_members, type_parameters, scan_errors, go_docs, file_imports, markdown_sections, folder_sizes, file_patterns, import_style, error_style, type_coverage, size_deviation, testing_share, compare_patterns)
+_F = (discover_files, validate_files, related_tests, change_detect, update_plan, state_of_components, state_drift, incremental_update, scan_declarations, scan_methods, scan_agreement, scan_spans, scan_variables, go_members, type_parameters, scan_custom, scan_errors, go_docs, file_imports, markdown_sections, folder_sizes, file_patterns, import_style, error_style, type_coverage, size_deviation, testing_share, compare_patterns)
 QUERIES = {f.__name__: f for f in _F}
 
 _CTE = r"""
@@ -209,6 +220,7 @@ t AS (SELECT *, regexp_extract(line, '^type\s+([A-Za-z_]\w*)(?:\[[^\]]*\])?\s+(?
 n AS (SELECT *, CASE WHEN a.n <> '' AND a.k NOT IN ('struct', 'interface') THEN a.n END AS ty FROM t)
 SELECT path || ':' || coalesce(ty, c) || ':' || line_no AS id, CASE WHEN ty IS NULL THEN 'variable' ELSE 'type' END AS type, ascii(coalesce(ty, c)) BETWEEN 65 AND 90 AS exported, trim(regexp_replace(line, '\s*//.*$', '')) AS signature FROM n WHERE coalesce(ty, c) IS NOT NULL""",
     "type_parameters": "SELECT DISTINCT id, list_filter(list_transform(string_split(replace(regexp_extract(signature, '\\[([^\\]]+)\\]', 1), ', ', ','), ','), lambda x: trim(x)), lambda x: x <> '') AS parameters FROM components WHERE lower(language) = 'go' AND regexp_matches(signature, '\\[[^\\]]+\\]')",
+    "scan_custom": "SELECT DISTINCT path AS file, 'TODO' AS name, line_no AS start_line FROM (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM source_files) WHERE contains(line, 'TODO') AND (ends_with(path, '.ts') OR ends_with(path, '.go') OR ends_with(path, '.py'))",
     "scan_errors": """SELECT language, error, count(*) AS files FROM (SELECT DISTINCT path, CASE string_split(path, '.')[-1] WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'md' THEN 'markdown' ELSE 'unknown' END AS language,
 CASE WHEN contains(content, chr(0)) THEN 'binary' WHEN length(regexp_replace(content, '\\s+', '', 'g')) = 0 THEN 'empty' WHEN ends_with(path, '.go') AND regexp_matches(split_part(content, chr(10), 1), 'Code generated|DO NOT EDIT') THEN 'generated' END AS error FROM source_files) WHERE error IS NOT NULL GROUP BY ALL""",
     "markdown_sections": _CTE + r""", a AS (SELECT path, line, line_no, regexp_matches(line, '^\s{0,3}(?:```|~~~)') AS fence, sum(regexp_matches(line, '^\s{0,3}(?:```|~~~)')::INT) OVER (PARTITION BY path ORDER BY line_no) % 2 = 1 AS open FROM ln WHERE regexp_matches(path, '\.(md|mdx|markdown)$')),

@@ -48,6 +48,10 @@ def vectors_by_label(spark, d):
     return v.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 5).alias("mean_square"))
 
 
+def all_vectors(spark, d):
+    return V.all_rows(_v(spark, d)).select("vec_id", "label", "score")
+
+
 def _delta(v):
     """An update: a quarter of the rows come with another label, and as many are new."""
     part = v.filter("vec_id % 4 = 0")
@@ -87,7 +91,7 @@ def test_search(spark, d):
     return S.related_test_components(_components(spark, d), "cache snapshot").select("file")
 
 
-_F = (vector_topk, vector_topk_threshold, vector_query, similar_by_id_exclude_group, topk_per_query, vectors_by_label, vectors_upsert, vectors_delete, text_search, symbol_search, test_search, similar_by_path)
+_F = (vector_topk, vector_topk_threshold, vector_query, similar_by_id_exclude_group, topk_per_query, all_vectors, vectors_by_label, vectors_upsert, vectors_delete, text_search, symbol_search, test_search, similar_by_path)
 QUERIES = {f.__name__: f for f in _F}
 _TEXTS = "WITH c AS (SELECT DISTINCT ON (id) * FROM components), t AS (SELECT id, concat_ws(chr(10) || chr(10), CASE WHEN coalesce(name, '') <> '' THEN concat_ws(': ', type, name) END, nullif(text, '')) AS text FROM c), "
 
@@ -112,6 +116,7 @@ SELECT vec_id, label, round(dist, 6) AS distance, round(exp(-dist*dist), 6) AS s
     "similar_by_id_exclude_group": _CTE + ", n AS (SELECT 10 + count(*) AS k FROM embeddings, q WHERE label = q.g), r AS (SELECT *, row_number() OVER (ORDER BY dist, vec_id) AS rn FROM s) " + _OUT + "r, n, q WHERE rn <= n.k AND label <> q.g",
     "topk_per_query": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.v, b.v) AS dist FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, vec_id, round(dist, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id)::INT AS rank FROM p) WHERE rank <= 3""",
+    "all_vectors": "SELECT vec_id, label, 1.0::DOUBLE AS score FROM embeddings ORDER BY vec_id LIMIT 10000",
     "vectors_by_label": "SELECT label, count(*) AS n, round(avg(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS mean_square FROM embeddings GROUP BY label",
     "vectors_upsert": "SELECT label, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM (SELECT vec_id, label FROM embeddings WHERE vec_id % 4 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 4 = 0 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 4 = 0) GROUP BY label",
     "text_search": _searched("('q', 'parse the socket cache of a worker')") + " SELECT id, round(exp(-distance * distance), 4) AS score FROM hit ORDER BY distance, id LIMIT 10",

@@ -391,3 +391,23 @@ def test_one_scan_of_texts_for_all_pattern_modes(spark):
     p = x._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in p
     assert {(r.repository, r.common_import_style, r.common_coverage) for r in x.collect()} == {("r", "esm", "none"), (None, "esm", "none")}
+
+
+def test_scanners_of_ones_own(spark):
+    from codeloom.operators import scanner as N
+
+    def scan(path, content):
+        if "bad" in content:
+            raise ValueError("no")
+        for n, line in enumerate(content.split("\n"), 1):
+            yield {"name": line, "start_line": n}
+
+    f = spark.createDataFrame([("a.ts", "x\ny"), ("a.ts", "x\ny"), ("b.ts", "bad"), ("c.go", "z"), ("n.ts", None), (None, "x")], "path string, content string")
+    got = {(r.file, r.name, r.start_line, r.type, r.error) for r in N.scan_with(f, scan, ["ts"]).collect()}
+    assert got == {("a.ts", "x", 1, None, None), ("a.ts", "y", 2, None, None), ("b.ts", None, None, None, "ValueError: no"), ("n.ts", "", 1, None, None)}
+    assert N.scan_with(f.limit(0), scan, ["ts"]).count() == 0
+
+
+def test_worst_status(spark):
+    e = spark.createDataFrame([("u", "a"), ("u", "b"), ("v", "b"), ("w", None), (None, "a")], "user_id string, event_type string")
+    assert {(r.user_id, r.status) for r in R.worst_status(e, "user_id", {"a": 2, "b": 1}).collect()} == {("u", "unhealthy"), ("v", "degraded"), ("w", "healthy"), (None, "unhealthy")}
