@@ -453,6 +453,51 @@ def test_near_passages(spark):
     assert got == near | {7: ("phrase", 13, 13)} | {100 + i: ("phrase", 24, 24) for i in range(3)}
 
 
+def _near_by_brute_force(doc, item):
+    """'phrase', 'proximity' or None by the definition, over all alignments."""
+    at = {}
+    for p, w in enumerate(doc):
+        for o, v in enumerate(item):
+            if v == w:
+                at.setdefault(p - o, set()).add(o)
+    runs = {}
+    for shift, offs in at.items():
+        begin = None
+        for o in range(len(item) + 1):
+            if o in offs and begin is None:
+                begin = o
+            if o not in offs and begin is not None:
+                runs.setdefault(shift, []).append((begin, o - begin))
+                begin = None
+    most = lambda offs: max((sum(1 for x in offs if o <= x < o + L.NEAR_SPAN) for o in offs), default=0)
+    if any(n >= L.PHRASE_WORDS for r in runs.values() for _, n in r):
+        return "phrase"
+    for shift in {s - k for s in at for k in range(L.NEAR_SHIFT + 1)}:
+        words = {o for s in range(shift, shift + L.NEAR_SHIFT + 1) for b, n in runs.get(s, []) if n >= L.TRIPLE for o in range(b, b + n)}
+        if most(words) >= L.NEAR_WORDS:
+            return "proximity"
+    return "proximity" if any(most(o) >= L.NEAR_WORDS for o in at.values()) else None
+
+
+def test_recall_of_near_passages_on_random_edits(spark):
+    rnd = random.Random(12)
+    words = [f"v{i}" for i in range(150)] + ["the", "of", "to"] * 8
+    items = [(i, "s", "k", " ".join(rnd.choice(words) for _ in range(rnd.randrange(24, 50)))) for i in range(20)]
+    docs = []
+    for i in range(300):
+        text = []
+        for w in items[i % 20][3].split():
+            r = rnd.random()
+            text += [w] if r > 0.16 else [] if r < 0.04 else [rnd.choice(words)] if r < 0.12 else [w, rnd.choice(words)]
+        docs.append((i, " ".join([rnd.choice(words) for _ in range(rnd.randrange(30))] + text)))
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, suite string, kind string, text string")
+    got = {(r.doc_id, r.item_id): r.match_kind for r in L.leaks(d, e).collect()}
+    want = {(i, j): k for i, t in docs for j, *_, q in items if (k := _near_by_brute_force(t.split(), q.split()))}
+    near = {p for p, k in want.items() if k == "proximity"}
+    assert len(near) > 60 and all(want.get(p) == k for p, k in got.items())
+    assert set(want) == set(got)  # a recall of 1: the candidates lose nothing
+
+
 # ---- 9 ----------------------------------------------------------------------------------------------------------
 def test_consistent_form(spark):
     pairs = [("résumé", "re\u0301sume\u0301"), ("file", "ﬁle"), ("abc １", "ａｂｃ 1"), ("a b", "a\u00a0b"), ("cope", "соре"), ("co\u200bpe\u00ad", "cope"), ("É", "\uff25\u200d\u0301"), ("x²", "x2"), ("Οmega", "Omega")]
