@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: What `stored` wrote, for `clear_stored`.
 WRITTEN: list[str] = []
 #: Most bytes of a table that is broadcast, as measured before it is.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
