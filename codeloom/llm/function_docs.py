@@ -143,68 +143,78 @@ FUNCTION_HEADER = (
 LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "go": "go"}
 
 
-def _source_tokens(files: DataFrame, pattern: str, extensions: str, lane: int) -> DataFrame:
-    """(copy, digest, pos, raw): every token with the white space before it, so that joining them gives the text. A file
-    delivered twice keeps its copies apart until the end; its path isn't repeated with every token. Two scans
-    number their files in lanes of their own."""
-    x = files.filter(F.col("path").rlike(rf"(?i)\.({extensions})$") & F.col("content").isNotNull())
-    x = x.select("content", F.xxhash64("content").alias("digest"), (F.monotonically_increasing_id() * 2 + lane).alias("copy"))
-    head, body = ("(?s)", pattern[4:]) if pattern.startswith("(?s)") else ("", pattern)
-    x = x.select("copy", "digest", F.posexplode(F.regexp_extract_all("content", F.lit(rf"{head}\s*(?:{body})"), F.lit(0))).alias("pos", "raw"))
-    return x
+def files_once(files: DataFrame, extensions: str) -> DataFrame:
+    """(path, digest, content) of the files with one of the extensions, once each and spread by path: what comes after is
+    told apart by path and digest and shuffles nothing more, so a text is shuffled once and its tokens never."""
+    x = files.filter(F.col("path").rlike(rf"(?i)\.({extensions})$") & F.col("content").isNotNull()).select("path", "content")
+    return x.repartition("path").dropDuplicates(["path", "content"]).select("path", F.md5("content").alias("digest"), "content")
+
+
+#: What a piece of code between delimiters consists of, besides plain characters. Possessive, as above.
+BRACE_VALUES = (
+    r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`"
+    r"|(?<=[(,=:\[!&|?{};\n]\s{0,8})/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[A-Za-z]*+"
+)
+GO_VALUES = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`]*+`"
+
+
+def _pieces(values: str) -> str:
+    """A comment, or the code up to a brace or semicolon and that: one row where finer tokens would be many."""
+    code = rf"(?:[^{{}};/\"'`]++|{values}|/(?![/*])|[\"'`])"
+    return rf"(?s)\s*+(?:/\*.*?\*/|//[^\n]*+|{code}*+[;{{}}]|{code}++|\S)"
 
 
 def brace_functions(files: DataFrame) -> DataFrame:
     """Functions of TypeScript, JavaScript and Go files: path, name, signature, code, doc."""
-    t = _source_tokens(files, BRACE_TOKENS, "tsx?|js", 0).unionByName(_source_tokens(files, GO_TOKENS, "go", 1))
-    token = F.trim(F.regexp_replace("raw", r"^\s+", ""))  # behind the shuffle: rows carry each token once
-    file = Window.partitionBy("copy").orderBy("pos")
+    whole = files_once(files, "tsx?|js|go")
+    go = F.col("path").rlike(r"(?i)\.go$")
+    # (path, digest, pos, raw): pieces with the white space before them, so that joining them gives the text.
+    pieces = F.when(go, F.regexp_extract_all("content", F.lit(_pieces(GO_VALUES)), F.lit(0))).otherwise(F.regexp_extract_all("content", F.lit(_pieces(BRACE_VALUES)), F.lit(0)))
+    t = whole.select("path", "digest", go.alias("go"), F.posexplode(pieces).alias("pos", "raw"))
+    t = t.withColumn("token", F.ltrim("raw", F.lit(" \t\r\n\f\x0b"))).withColumn("comment", F.col("token").startswith("//") | F.col("token").startswith("/*"))
+    bare = F.when(F.col("go"), F.regexp_replace("raw", rf"(?s){GO_VALUES}", "")).otherwise(F.regexp_replace("raw", rf"(?s){BRACE_VALUES}", ""))
+    t = t.withColumn("bare", F.when(~F.col("comment") & F.col("raw").rlike(r"[\[\]()]"), bare).otherwise(F.lit("")))
+    count = lambda c: F.length("bare") - F.length(F.translate("bare", c, ""))
+    end = F.when(~F.col("comment"), F.right("raw", F.lit(1)))
+    t = t.withColumn("step", count("([") - count(")]")).withColumn("end", F.when(end.isin(";", "{", "}"), end))
+    t = t.drop("go", "bare")
+    file = Window.partitionBy("path", "digest").orderBy("pos")
     upto, before = file.rowsBetween(Window.unboundedPreceding, 0), file.rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("token").isin("(", "["), 1).when(F.col("token").isin(")", "]"), -1).otherwise(0)
-    brace = F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
-    t = t.withColumn("chars", F.sum(F.length("raw")).over(upto)).withColumn("token", token)
-    t = t.withColumn("comment", F.col("token").rlike(COMMENT_TOKEN)).withColumn("parens", F.sum(step).over(upto))
-    t = t.withColumn("depth", F.sum(brace).over(upto) + F.when(F.col("token") == "}", 1).otherwise(0))
-    # A statement ends with a brace or a semicolon outside parentheses, or where the next token begins a line at an operand.
-    ends = (F.col("parens") == 0) & F.col("token").isin(";", "{", "}")
-    t = t.withColumn("statement", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(before), F.lit(0)))
-    inside = Window.partitionBy("copy", "statement").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("code_so_far", F.count_if(~F.col("comment")).over(inside))
+    brace = F.when(F.col("end") == "{", 1).when(F.col("end") == "}", -1).otherwise(0)
+    t = t.withColumn("chars", F.sum(F.length("raw")).over(upto)).withColumn("parens", F.sum("step").over(upto))
+    t = t.withColumn("depth", F.sum(brace).over(upto) + F.when(F.col("end") == "}", 1).otherwise(0))
+    # A statement ends with a brace or a semicolon outside parentheses.
+    t = t.withColumn("ends", F.when((F.col("parens") == 0) & F.col("end").isNotNull(), 1).otherwise(0)).withColumn("statement", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    # Comments stand before the statement's code or in it: the last piece of code before it is in another statement, or not.
+    t = t.withColumn("code_at", F.last(F.when(~F.col("comment"), F.col("statement")), ignorenulls=True).over(upto)).drop("step", "ends")
+    # An opening brace closes with the next closing brace of its depth, seen from the end of the file.
+    back = Window.partitionBy("path", "digest", "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("closes", F.last(F.when(F.col("end") == "}", F.col("chars")), ignorenulls=True).over(back))
+    joined = lambda c, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", F.col(v).alias("v"))))), lambda x: x.v), "" if v == "raw" else "\n")
+    parts = t.groupBy("path", "digest", "statement").agg(
+        F.max_by(F.struct("pos", "end", "chars", "closes"), "pos").alias("last"),
+        joined(~F.col("comment"), "raw").alias("text"),
+        joined(F.col("comment") & ~F.col("code_at").eqNullSafe(F.col("statement")), "token").alias("lead"),
+        joined(F.col("comment") & F.col("code_at").eqNullSafe(F.col("statement")), "token").alias("later"),
+    )
     # Of what a statement holds before its brace, the lines before the last blank-line or import boundary are dropped by
     # the header pattern, which must match from the last line that begins a declaration.
-    parts = t.groupBy("copy", "statement").agg(
-        F.max_by("pos", "pos").alias("at"),
-        F.max_by("token", "pos").alias("last"),
-        F.max_by("depth", "pos").alias("depth"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("comment"), F.struct("pos", "raw")))), lambda x: x.raw), "").alias("text"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("comment") & (F.col("code_so_far") == 0), F.struct("pos", "token")))), lambda x: x.token), "\n").alias("lead"),
-        F.min("pos").alias("starts"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("comment") & (F.col("code_so_far") > 0), F.struct("pos", "token")))), lambda x: x.token), "\n").alias("later"),
-    )
     text = F.trim(F.regexp_replace(F.regexp_replace("text", r"\{$", ""), r"(?m)^(?:import|package|type)\b[^\n]*$", ""))
     text = F.regexp_replace(text, r"(?s)^.*\n(?=(?:export|async|function|func|const|let|var)\b)", "")
-    parts = parts.filter("last = '{'").withColumn("signature", F.regexp_replace(text, r"^\s+", ""))
+    parts = parts.filter("last.end = '{' and last.closes is not null").withColumn("signature", F.regexp_replace(text, r"^\s+", ""))
     names = [F.nullif(F.regexp_extract("signature", FUNCTION_HEADER, i), F.lit("")) for i in (1, 2, 3, 4)]
     heads = parts.withColumn("name", F.coalesce(*names)).filter("name is not null")
-    # The k-th opening brace of a depth closes with the k-th closing brace of that depth.
-    nth = Window.partitionBy("copy", "depth", "token").orderBy("pos")
-    braces = t.filter(F.col("token").isin("{", "}")).withColumn("nth", F.row_number().over(nth))
-    opened = braces.filter("token = '{'").select("copy", "digest", "depth", "nth", F.col("pos").alias("at"), F.col("chars").alias("first"))
-    closed = braces.filter("token = '}'").select("copy", "depth", "nth", F.col("chars").alias("last_char"))
-    spans = heads.join(opened, ["copy", "depth", "at"]).join(closed, ["copy", "depth", "nth"])
-    spans = spans.select("digest", "at", "first", "last_char", "name", "signature", F.coalesce(F.nullif("later", F.lit("")), "lead").alias("doc")).distinct()
+    heads = heads.select("path", F.col("digest").alias("of"), "last", "name", "signature", F.coalesce(F.nullif("later", F.lit("")), "lead").alias("doc"))
     # Bodies are cut out of the text by character positions: no token meets every function of its file.
-    whole = files.filter(F.col("content").isNotNull()).select("path", F.xxhash64("content").alias("digest"), "content")
-    body = F.substring("content", F.col("first"), F.col("last_char") - F.col("first") + 1)
-    x = spans.join(whole.filter(F.col("path").rlike(r"(?i)\.(tsx?|js|go)$")), "digest")
-    return x.select("path", "name", "signature", F.concat("signature", F.lit(" "), body).alias("code"), "doc", "at").distinct()
+    body = F.substring("content", F.col("last.chars"), F.col("last.closes") - F.col("last.chars") + 1)
+    x = heads.join(whole, "path").filter(F.col("of") == F.col("digest"))
+    return x.select("path", "name", "signature", F.concat("signature", F.lit(" "), body).alias("code"), "doc", F.col("last.pos").alias("at"))
 
 
 def python_functions(files: DataFrame) -> DataFrame:
     """Functions of Python files: path, name, signature, code, doc. A function is an island of logical lines that are
     indented deeper than its def line; each level of indentation at which a file has a def is numbered by itself."""
-    x = files.filter(F.col("path").rlike(r"(?i)\.py$") & F.col("content").isNotNull())
-    x = x.select("path", F.regexp_replace("content", r"^﻿|\r", "").alias("content"), F.monotonically_increasing_id().alias("copy"))
+    x = files_once(files, "py").select("path", F.col("digest").alias("copy"), F.regexp_replace("content", r"^﻿|\r", "").alias("content"))
     pattern = r"(?s)\n[ \t]*|" + PYTHON_TOKENS[4:].replace(r"[^\s#", r"[^\s#", 1)
     t = x.select("path", "copy", F.posexplode(F.regexp_extract_all(F.concat(F.lit("\n"), "content"), F.lit(pattern + r"|[ \t]+"), F.lit(0))).alias("pos", "token"))
     file = Window.partitionBy("path", "copy").orderBy("pos")
@@ -231,7 +241,7 @@ def python_functions(files: DataFrame) -> DataFrame:
     second = F.trim(F.regexp_replace(F.try_element_at("rows", F.lit(2)), r"^\s+", ""))
     doc = F.when(second.rlike(STRING_TOKEN), F.regexp_extract(second, r"(?s)^[rRbBuUfF]{0,2}(\"\"\".*?\"\"\"|'''.*?'''|\"[^\"\n]*\"|'[^'\n]*')", 1)).otherwise(F.lit(""))
     text = F.regexp_replace(F.array_join("rows", ""), r"^\n", "")
-    return f.select("path", F.col("f.name").alias("name"), F.trim("f.text").alias("signature"), text.alias("code"), doc.alias("doc"), "at").distinct()
+    return f.select("path", F.col("f.name").alias("name"), F.trim("f.text").alias("signature"), text.alias("code"), doc.alias("doc"), "at")
 
 
 def source_functions(files: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
