@@ -37,3 +37,10 @@ def test_threshold_stays_above_the_cut(spark):
 def test_columns_are_pruned(spark):
     p = plan(QUERIES["call_edges"](spark, BASE))
     assert "snippet" not in p and "docstring" not in p
+
+
+@pytest.mark.parametrize(("name", "scans", "shuffles"), [("package_stats", 2, 6), ("p3_found", 3, 2), ("compare_patterns", 2, 5), ("scan_declarations", 1, 1), ("scan_spans", 2, 4), ("dir_rollup", 1, 3)])
+def test_scans_and_shuffles(spark, name, scans, shuffles):
+    """How often a query reads a table and shuffles, in what is left to run of it."""
+    p = plan(QUERIES[name](spark, BASE))
+    assert p.count("FileScan") <= scans and p.count("Exchange hashpartitioning") + p.count("Exchange rangepartitioning") <= shuffles, p
