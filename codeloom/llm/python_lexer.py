@@ -25,6 +25,8 @@ TOKEN = re.compile(
 STRING = re.compile(rf"(?:[bB][rR]?|[rR][bB]?|[uU])?(?:{_TEXT})")
 FSTRING = re.compile(r"(?:[fFtT][rR]?|[rR][fFtT])(\"\"\"|'''|\"|')")
 PLAIN = re.compile(r"[^{}\\\"'\r\n]+")
+#: Fixed value: how deep the language lets replacement fields lie in each other.
+NESTED = 149
 ZEROS = re.compile(r"0[\d_]*[1-9][\d_]*$")
 PAIRS = {")": "(", "}": "{", "]": "["}
 VALUES = frozenset("None True False".split())
@@ -41,9 +43,11 @@ NOT_FIRST = frozenset("= % & | ^ / // @ == != <= >= < > << >> -> := += -= *= /=
 AFTER = {"else": {"if", "elif", "for", "while", "except"}, "elif": {"if", "elif"}, "except": {"try", "except"}, "finally": {"try", "except", "else"}}
 
 
-def string_end(s: str, pos: int, quote: str) -> int | None:
-    """Behind the f-string whose text begins at pos, or None."""
+def string_end(s: str, pos: int, quote: str, depth: int = 0) -> int | None:
+    """Behind the f-string whose text begins at pos, or None; also where more than NESTED lie in each other."""
     n, long = len(s), len(quote) == 3
+    if depth > NESTED:
+        return None
     while pos < n:
         if m := PLAIN.match(s, pos):
             pos = m.end()
@@ -61,7 +65,7 @@ def string_end(s: str, pos: int, quote: str) -> int | None:
         elif c in "{}" and s[pos + 1 : pos + 2] == c:
             pos += 2
         elif c == "{":
-            if (end := field_end(s, pos + 1)) is None:
+            if (end := field_end(s, pos + 1, depth + 1)) is None:
                 return None
             pos = end
         elif c == "}":
@@ -71,13 +75,13 @@ def string_end(s: str, pos: int, quote: str) -> int | None:
     return None
 
 
-def field_end(s: str, pos: int) -> int | None:
+def field_end(s: str, pos: int, depth: int = 0) -> int | None:
     """Behind the '}' of the replacement field whose expression begins at pos, or None."""
     n, stack, begin = len(s), [], pos
     while pos < n:
         c = s[pos]
         if m := FSTRING.match(s, pos):
-            if (end := string_end(s, m.end(), m[1])) is None:
+            if (end := string_end(s, m.end(), m[1], depth + 1)) is None:
                 return None
             pos = end
         elif m := STRING.match(s, pos):
@@ -97,9 +101,11 @@ def field_end(s: str, pos: int) -> int | None:
             pos += 1
         elif c == ":" and not stack:  # the format: text and fields
             pos += 1
+            if depth > NESTED:
+                return None
             while pos < n and s[pos] != "}":
                 if s[pos] == "{":
-                    if (end := field_end(s, pos + 1)) is None:
+                    if (end := field_end(s, pos + 1, depth + 1)) is None:
                         return None
                     pos = end
                 else:
