@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: What `stored` wrote, for `clear_stored`.
 WRITTEN: list[str] = []
 #: Most bytes of a table that is broadcast, as measured before it is.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -61,9 +61,9 @@ def broadcast_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
         if kind == "string" or kind == "binary":
             sizes.append(F.coalesce(F.octet_length(name), F.lit(0)) + 16)
         elif kind.startswith("array"):
-            sizes.append(F.coalesce(F.size(name), F.lit(0)) * 16 + 16)
+            sizes.append(F.coalesce(F.size(name), F.lit(0)) * 8 + 16)
         else:
-            sizes.append(F.lit(16))
+            sizes.append(F.lit(8))
     total = df.agg(F.coalesce(F.sum(sum(sizes[1:], sizes[0]).cast("long")), F.lit(0)).alias("n")).first().n
     return F.broadcast(df) if total <= limit else df
 
