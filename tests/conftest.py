@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from codeloom.io import clear_stored  # noqa: E402
 from codeloom.session import local_session  # noqa: E402
 
 
@@ -13,3 +14,4 @@ def spark():
     s = local_session(4, 4, "4g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear_stored(s)
