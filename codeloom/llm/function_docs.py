@@ -152,7 +152,7 @@ def files_once(files: DataFrame, extensions: str) -> DataFrame:
     apart by f1 and f2 and shuffles nothing more, so a text is shuffled once and its pieces never."""
     x = files.filter(F.col("path").rlike(rf"(?i)\.({extensions})$") & F.col("content").isNotNull()).select("path", "content")
     x = x.select(F.xxhash64("path", "content").alias("f1"), F.xxhash64(F.lit("other"), "content", "path").alias("f2"), "path", "content")
-    return x.repartition("f1").dropDuplicates(FILE)
+    return x.repartition("f1").dropDuplicates([*FILE, "path", "content"])
 
 
 #: What a piece of code between delimiters consists of, besides plain characters. Possessive, as above.
@@ -166,7 +166,7 @@ GO_VALUES = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`]*+`"
 def _pieces(values: str) -> str:
     """A comment, or the code up to a brace or semicolon and that: one row where finer tokens would be many."""
     code = rf"(?:[^{{}};/\"'`]++|{values}|/(?![/*])|[\"'`])"
-    return rf"(?s)\s*+(?:/\*.*?\*/|//[^\n]*+|{code}*+[;{{}}]|{code}++|\S)"
+    return rf"(?s)\s*+(?:/\*.*?\*/|//[^\n]*+|{code}++[;{{}}]?+|\S)"
 
 
 def brace_functions(files: DataFrame) -> DataFrame:
@@ -182,28 +182,28 @@ def brace_functions(files: DataFrame) -> DataFrame:
     count = lambda c: F.length("bare") - F.length(F.translate("bare", c, ""))
     end = F.when(~F.col("comment"), F.right("raw", F.lit(1)))
     t = t.withColumn("step", count("([") - count(")]")).withColumn("end", F.when(end.isin(";", "{", "}"), end))
-    t = t.drop("go", "bare")
+    # A piece is carried once: comments trimmed, code as it stands.
+    t = t.select(*FILE, "pos", F.when(F.col("comment"), F.col("token")).otherwise(F.col("raw")).alias("v"), F.length("raw").alias("size"), "comment", "step", "end")
     file = Window.partitionBy(*FILE).orderBy("pos")
     upto, before = file.rowsBetween(Window.unboundedPreceding, 0), file.rowsBetween(Window.unboundedPreceding, -1)
     brace = F.when(F.col("end") == "{", 1).when(F.col("end") == "}", -1).otherwise(0)
-    t = t.withColumn("chars", F.sum(F.length("raw")).over(upto)).withColumn("parens", F.sum("step").over(upto))
+    t = t.withColumn("chars", F.sum("size").over(upto)).withColumn("parens", F.sum("step").over(upto))
     t = t.withColumn("depth", F.sum(brace).over(upto) + F.when(F.col("end") == "}", 1).otherwise(0))
     # A statement ends with a brace or a semicolon outside parentheses.
     t = t.withColumn("ends", F.when((F.col("parens") == 0) & F.col("end").isNotNull(), 1).otherwise(0)).withColumn("statement", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     # Comments stand before the statement's code or in it: the last piece of code before it is in another statement, or not.
-    t = t.withColumn("code_at", F.last(F.when(~F.col("comment"), F.col("statement")), ignorenulls=True).over(upto)).drop("step", "ends")
+    t = t.withColumn("code_at", F.last(F.when(~F.col("comment"), F.col("statement")), ignorenulls=True).over(upto)).drop("step", "ends", "size", "parens")
     # An opening brace closes with the next closing brace of its depth, seen from the end of the file.
     back = Window.partitionBy(*FILE, "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("closes", F.last(F.when(F.col("end") == "}", F.col("chars")), ignorenulls=True).over(back))
-    joined = lambda c, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", F.col(v).alias("v"))))), lambda x: x.v), "" if v == "raw" else "\n")
+    joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "v")))), lambda x: x.v), by)
+    here = F.col("code_at").eqNullSafe(F.col("statement"))
     parts = t.groupBy(*FILE, "statement").agg(
         F.max_by(F.struct("pos", "end", "chars", "closes"), "pos").alias("last"),
-        joined(~F.col("comment"), "raw").alias("text"),
-        joined(F.col("comment") & ~F.col("code_at").eqNullSafe(F.col("statement")), "token").alias("lead"),
-        joined(F.col("comment") & F.col("code_at").eqNullSafe(F.col("statement")), "token").alias("later"),
+        joined(~F.col("comment"), "").alias("text"),
+        joined(F.col("comment") & ~here, "\n").alias("lead"),
+        joined(F.col("comment") & here, "\n").alias("later"),
     )
-    # Of what a statement holds before its brace, the lines before the last blank-line or import boundary are dropped by
-    # the header pattern, which must match from the last line that begins a declaration.
     text = F.trim(F.regexp_replace(F.regexp_replace("text", r"\{$", ""), r"(?m)^(?:import|package|type)\b[^\n]*$", ""))
     text = F.regexp_replace(text, r"(?s)^.*\n(?=(?:export|async|function|func|const|let|var)\b)", "")
     parts = parts.filter("last.end = '{' and last.closes is not null").withColumn("signature", F.regexp_replace(text, r"^\s+", ""))
