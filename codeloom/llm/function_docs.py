@@ -207,8 +207,9 @@ def brace_functions(files: DataFrame) -> DataFrame:
     text = F.trim(F.regexp_replace(F.regexp_replace("text", r"\{$", ""), r"(?m)^(?:import|package|type)\b[^\n]*$", ""))
     text = F.regexp_replace(text, r"(?s)^.*\n(?=(?:export|async|function|func|const|let|var)\b)", "")
     parts = parts.filter("last.end = '{' and last.closes is not null").withColumn("signature", F.regexp_replace(text, r"^\s+", ""))
-    names = [F.nullif(F.regexp_extract("signature", FUNCTION_HEADER, i), F.lit("")) for i in (1, 2, 3, 4)]
-    heads = parts.withColumn("name", F.coalesce(*names)).filter("name is not null")
+    # The one group of the header that matched; exploded, so that a filter pushed down doesn't match it anew.
+    name = F.regexp_replace(F.regexp_extract("signature", FUNCTION_HEADER, 0), FUNCTION_HEADER, "$1$2$3$4")
+    heads = parts.withColumn("name", F.explode(F.filter(F.array(name), lambda n: n != "")))
     heads = heads.select("f1", F.col("f2").alias("of"), "last", "name", "signature", F.coalesce(F.nullif("later", F.lit("")), "lead").alias("doc"))
     # Bodies are cut out of the text by character positions: no token meets every function of its file.
     body = F.substring("content", F.col("last.chars"), F.col("last.closes") - F.col("last.chars") + 1)
