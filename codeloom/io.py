@@ -68,6 +68,14 @@ def broadcast_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if total <= limit else df
 
 
+def spread(df: DataFrame, small: int = 32 << 20) -> DataFrame:
+    """df over all cores where it comes from fewer files than there are, and small ones: a small file is one task however
+    much work its rows are. Larger tables, and those of many files, are left as they are read. Only the plan is looked at."""
+    n, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    few = 0 < n < cores and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= small
+    return df.repartition(cores) if few else df
+
+
 def running_total(df: DataFrame, by: list[str], order: list[str], n: str) -> DataFrame:
     """df with `upto`, the sum of n over the rows of the same group up to each one in order, itself included, and `total`,
     the sum over the group. Rows are split into ranges of (by, order); ranges are added up first, so a group that holds

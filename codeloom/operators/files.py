@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.classes import extension, language_of
+from codeloom.io import spread
 
 #: Folders and files that discovery leaves out unless told otherwise.
 EXCLUDED_DIRS = [
@@ -148,10 +149,10 @@ def family(language: Column) -> Column:
 def source_lines(files: DataFrame, by_file: bool = False) -> DataFrame:
     """(path, language, line_no, line): one row per line, without byte-order mark and carriage returns. The lines of a file
     delivered twice come twice; with `by_file` they come once and lie together, so that windows by path shuffle nothing more."""
+    x = files.filter("path is not null").select("path", "content")
+    x = x.repartition("path").dropDuplicates(["path", "content"]) if by_file else spread(x)
     text = F.regexp_replace(F.coalesce("content", F.lit("")), "^﻿|\r", "")
-    x = files.filter("path is not null").select("path", language_of(F.col("path")).alias("language"), text.alias("content"))
-    if by_file:
-        x = x.repartition("path").dropDuplicates(["path", "content"])
+    x = x.select("path", language_of(F.col("path")).alias("language"), text.alias("content"))
     x = x.select("path", "language", F.posexplode(F.split("content", "\n", -1)).alias("n", "line"))
     return x.select("path", "language", (F.col("n") + 1).cast("long").alias("line_no"), "line")
 

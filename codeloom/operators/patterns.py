@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.io import stored
+from codeloom.io import spread, stored
 from codeloom.operators.files import is_test_file, line_count
 
 
@@ -38,7 +38,7 @@ def file_patterns(files: DataFrame) -> DataFrame:
     """path, language, lines, bytes, import_style, imports, error_style, is_test: once per path."""
     c = F.coalesce("content", F.lit(""))
     style, n = import_style(c)
-    x = files.filter("path is not null").select(
+    x = spread(files.filter("path is not null").select("path", "repository", "language", "content", "length")).select(
         "path", "repository", F.lower("language").alias("language"), line_count(c).alias("lines"), F.col("length").alias("bytes"),
         style.alias("import_style"), n.cast("long").alias("imports"), error_style(c).alias("error_style"), is_test_file(F.col("path")).alias("is_test"),
     )
