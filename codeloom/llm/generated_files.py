@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.io import spread
+
 #: Folders that hold packages of other projects, and folders that hold tool output.
 VENDOR_DIRS = ["node_modules", "bower_components", "third_party", "vendor", "vendored", "external", "deps"]
 GENERATED_DIRS = ["generated", "__generated__", "gen"]
@@ -106,7 +108,7 @@ def classify_files(files: DataFrame, thresholds: dict[str, dict[str, float]] = L
             out = F.when(lang == k, F.lit(float(thresholds[k][name]))).otherwise(out)
         return out
 
-    x = files.filter("path is not null").select("path", "repository", "language", F.coalesce("content", F.lit("")).alias("_c"))
+    x = spread(files.filter("path is not null").select("path", "repository", "language", F.coalesce("content", F.lit("")).alias("_c")))
     x = x.withColumns(layout(F.col("_c"))).withColumn("_head", opening_comment(F.col("_c")))
     path = F.col("path")
     flags = {

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from codeloom.io import broadcast_small, stored
+from codeloom.io import broadcast_small, spread, stored
 
 from .lookalikes import classes_of_unicode, rewriter
 
@@ -102,7 +102,7 @@ def postings(docs: DataFrame, terms: dict[str, int], classes: dict[str, str], tr
                 names=["term", "doc_id", "pos", "before", "after", "triple"],
             )
 
-    x = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    x = spread(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"))
     return x.mapInArrow(segment, "term int, doc_id long, pos int, before int, after int, triple long")
 
 

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.io import spread
+
 CAPACITY = 2048
 #: Tokens of a shard, in containers.
 SHARD_CONTAINERS = 256
@@ -53,7 +55,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_
         for b in batches:
             yield pd.DataFrame({key: b[key], "n_tokens": np.array([len(encode(t)) for t in b["text"]], np.int64)})
 
-    x = docs.filter(F.col(key).isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select(key, "text")
+    x = spread(docs.filter(F.col(key).isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select(key, "text"))
     counted = x.mapInPandas(count, f"{key} {dict(docs.dtypes)[key]}, n_tokens long")
     return counted.groupBy(key).agg(F.max("n_tokens").alias("n_tokens"))
 

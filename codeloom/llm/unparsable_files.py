@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from codeloom.io import spread
+
 from . import python_lexer
 
 # ---- Fixed values: token patterns ------------------------------------------------------------------------------
@@ -359,7 +361,8 @@ EXTENSIONS = r"(?i)\.(ts|tsx|js|go|py)$"
 
 def parse_verdicts(files: DataFrame) -> DataFrame:
     """One row per path: repository, language, valid, cause, line. Rows delivered twice count once."""
-    x = files.filter(F.col("path").rlike(EXTENSIONS)).select("path", "repository", "language", fault_of("content", "path").alias("_f"))
+    x = spread(files.filter(F.col("path").rlike(EXTENSIONS)).select("path", "repository", "language", "content"))
+    x = x.select("path", "repository", "language", fault_of("content", "path").alias("_f"))
     x = x.groupBy("path").agg(F.max("repository").alias("repository"), F.max("language").alias("language"), F.max("_f").alias("_f"))
     return x.select(
         "path",
